@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bpe, knn_forest, packing, quota, reach
+from stipple.llm import bpe, knn_forest, packing, quota, reach, split
 from stipple.llm.common import current_rows, finite
 
 
@@ -13,6 +13,25 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+# --- scans in pieces
+
+
+def _pieces(spark: SparkSession, at: str) -> DataFrame:
+    scans = current_rows(_table(spark, at, "scans"), ["cloud_id"], ["dataset"])
+    budgets = _table(spark, at, "size_budgets").filter("unit = 'points'").select(F.col("applies_to").alias("dataset"), "capacity", "overlap", "reach")
+    return split.split_oversized(_table(spark, at, "points"), scans.join(F.broadcast(budgets), "dataset"))
+
+
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    """The smallest node of every body of at least 10 nodes of the scans that had to be cut."""
+    return _pieces(spark, at).filter("not shared and node_id = body and body_size >= 10").select("cloud_id", "node_id")
+
+
+def p1_pieces(spark: SparkSession, at: str) -> DataFrame:
+    """``(cloud_id, piece, seq, node_id, body, shared)``: the pieces, point by point."""
+    return _pieces(spark, at).drop("body_size")
+
+
 # --- vectors of feature_nodes
 
 
@@ -97,7 +116,7 @@ def p7_packed(spark: SparkSession, at: str, tokenizer: str = bpe.TOKENIZER) -> D
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_knn, p3_found, p3_report, p3_sample, p5_found, p5_clusters, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p5_found, p5_clusters, p6_ids, p7_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
