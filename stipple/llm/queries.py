@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bpe, knn_forest, packing, quota, reach, split
+from stipple.llm import bpe, knn_forest, overlap, packing, quota, reach, split
 from stipple.llm.common import current_rows, finite
 
 
@@ -100,6 +100,30 @@ def p3_sample(spark: SparkSession, at: str) -> DataFrame:
     return _quota(spark, at).sample().select("object_id", "dataset", "y")
 
 
+# --- shapes across splits
+
+
+def shape_records(spark: SparkSession, at: str) -> DataFrame:
+    """``(object_id, dataset, split, source, pos, train)`` of the current objects; the split in lower case without blanks."""
+    rows = current_rows(_table(spark, at, "objects"), ["object_id"], ["dataset", "split", "source", "pos"])
+    return rows.withColumn("split", F.lower(F.trim("split"))).withColumn("train", F.col("split") == "train").filter(F.col("split").isin("train", "val", "test"))
+
+
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    """Pairs of records of the same shape, exactly one of them in train."""
+    pairs = overlap.near_copies(shape_records(spark, at), "object_id", "pos", "train")
+    return pairs.select(F.least("eval_id", "train_id").alias("object_a"), F.greatest("eval_id", "train_id").alias("object_b"))
+
+
+def p4_report(spark: SparkSession, at: str) -> DataFrame:
+    """``(split, source, records, overlapping, pairs)``: overlaps with train per evaluation split and source."""
+    rows = shape_records(spark, at)
+    pairs = overlap.near_copies(rows, "object_id", "pos", "train")
+    each = pairs.groupBy(F.col("eval_id").alias("object_id")).agg(F.count("*").alias("n"))
+    held = rows.filter("not train").select("object_id", "split", "source").join(each, "object_id", "left")
+    return held.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
+
 # --- tokens of documents
 
 
@@ -116,7 +140,7 @@ def p7_packed(spark: SparkSession, at: str, tokenizer: str = bpe.TOKENIZER) -> D
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p5_found, p5_clusters, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_found, p5_clusters, p6_ids, p7_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
