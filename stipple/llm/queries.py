@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bpe, knn_forest, overlap, packing, quota, reach, split
+from stipple.llm import bpe, knn_forest, overlap, packing, quota, reach, sentences, split
 from stipple.llm.common import current_rows, finite
 
 
@@ -139,8 +139,24 @@ def p7_packed(spark: SparkSession, at: str, tokenizer: str = bpe.TOKENIZER) -> D
     return packing.pack(counts, {r["budget_id"]: r["capacity"] for r in budgets})
 
 
+# --- sentences of documents
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    """The first character of every sentence, headline and advert sentence."""
+    return sentences.sentence_units(_table(spark, at, "documents")).select("doc_id", "start_char")
+
+
+def p8_units(spark: SparkSession, at: str) -> DataFrame:
+    """``(doc_id, unit, start_char, lead)``: every unit with the text of its first line."""
+    pages = _table(spark, at, "documents")
+    units = sentences.sentence_units(pages)
+    lead = F.regexp_extract(F.substring(F.col("text"), F.col("start_char").cast("int") + 1, F.lit(200)), r"^[^\r\n]*", 0)
+    return units.join(pages.select("doc_id", "text"), "doc_id").select("doc_id", "unit", "start_char", lead.alias("lead"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_found, p5_clusters, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_found, p5_clusters, p6_ids, p7_packed, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -52,7 +52,6 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _THAI = re.compile(r"[฀-๿]")
 _DEVA = re.compile(r"[ऀ-ॿ]")
 _ARAB = re.compile(r"[؀-ۿ]")
-_CJK_END = re.compile(r"(?:[。！？!?｡．]|(?<![0-9])[.．](?![0-9.])|…{0}(?<=[。！？!?」』])[」』”\"]*)[」』”’\"）)]*")
 
 
 class Lexicon:
@@ -324,7 +323,7 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
     return out
 
 
-_CJK_TERMS = re.compile(r"[。！？!?｡]+[」』”\"）)]*|(?<![0-9.])[.．](?![0-9.])[」』]*")
+_CJK_TERMS = re.compile(r"[。！？!?｡]+[」』”\"）)]*|(?<![0-9.])[.．](?![0-9.])[」』]*|(?<=[぀-鿿])['·‘’](?=[぀-鿿])")
 _SPACE_TERMS = re.compile(r"[.!?।॥؟۔|…]+\s*[”»“\"')\]]*(?:\s+|$)")
 _JA_REPORT = re.compile(r"[^。！？、「」\s]{1,12}と[^。！？、「」\s]{1,6}た|[^。！？、「」\s]{1,8}[說説问問答道]")
 
@@ -390,6 +389,12 @@ def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon,
             if re.search(r"[”»\"]", m.group()) and word and word.group() in lexicon.reporter:
                 continue
             starts.append(e)
+        if script == "deva":
+            # A word that nearly always ends a sentence in the corpus ends one here, though its mark was lost.
+            for m in re.finditer(r"([^\s.,!?;:।|“”\"]+)\s+(?=[^\s”])", s):
+                if m.group(1) in lexicon.closing:
+                    starts.append(m.end())
+            starts = sorted(set(starts))
     line = np.searchsorted(at, np.array(starts, int), side="right") - 1 if starts else np.zeros(0, int)
     return [int(origin[i] + p - at[i]) for p, i in zip(starts, line, strict=True)]
 
@@ -448,7 +453,7 @@ def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
     kind = df.schema[id_col].dataType.simpleString()
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
-    corner = [F.transform(F.col(boxes_col), lambda b, c=c: b[c].cast("int")) for c in ("x0", "y0", "x1", "y1")] if boxes_col else [F.lit(None).cast("array<int>")] * 4
+    corner = [F.col(f"{boxes_col}.{c}").cast("array<int>") if boxes_col else F.lit(None).cast("array<int>") for c in ("x0", "y0", "x1", "y1")]
     pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"), *[c.alias(n) for c, n in zip(corner, ("x0", "y0", "x1", "y1"), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
