@@ -1,53 +1,8 @@
-"""Helpers shared by the operators of this subpackage."""
+"""What the operators of this subpackage take from the core."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Sequence
+from stipple.lineage import cut, ensure_checkpoint_dir, partitions
+from stipple.operators.model import current_rows, finite
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: what the cluster names, else (tests only) a fresh local one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = sc._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else tempfile.mkdtemp(prefix="stipple-checkpoint-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: later plans start from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def current_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "received_at") -> DataFrame:
-    """One row per key: of the rows with the latest ``at``, each value column's greatest non-null value.
-
-    Rows that share a key and the latest instant differ at most in nulls and spelling, so a value is
-    null only when it is null in all of them. Rows with a null key are dropped; a null ``at`` is the
-    earliest instant. Values must be orderable.
-    """
-    for k in keys:
-        df = df.filter(F.col(k).isNotNull())
-    kept = [F.max(F.struct(F.col(at).alias("t"), F.col(v).alias("v"))).alias(v) for v in values]
-    out = df.groupBy(*keys).agg(*kept)
-    return out.select(*keys, *(F.col(v)["v"].alias(v) for v in values))
-
-
-def finite(pos: Column, dims: int) -> Column:
-    """Whether an array column has exactly ``dims`` finite elements."""
-    bad = F.exists(pos, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.coalesce((F.size(pos) == dims) & ~bad, F.lit(False))
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+__all__ = ["current_rows", "cut", "ensure_checkpoint_dir", "finite", "partitions"]

@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stipple.llm.common import cut
+
 _UPPER = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
 _LOWER = "".join(chr(c) for c in range(0x61, 0x530) if chr(c).islower())
 _UP, _LOW = re.escape(_UPPER), re.escape(_LOWER)
@@ -130,7 +132,7 @@ def word_counts(df: DataFrame, text_col: str, lang_col: str | None, rarest: int
 
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     words = df.select(F.col(text_col).alias("text"), lang.alias("lang")).mapInArrow(run, "lang string, word string, n long, dotted long, ended long, reported long")
-    words = words.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("n", "dotted", "ended", "reported")])
+    words = cut(words.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("n", "dotted", "ended", "reported")]))
     part = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("p")).agg(F.sum("n").alias("n"))
     total = part.agg(F.sum("n").alias("total"))
     return words.crossJoin(F.broadcast(total)).filter(F.col("n") * rarest >= F.col("total")).drop("total")
