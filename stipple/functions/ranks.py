@@ -15,11 +15,12 @@ def ranked(df: DataFrame, sets: Sequence[str], order: Sequence[Column | str], na
 
     ``bucket`` must not decrease along ``order``. Rows are sorted within (set, bucket) and a bucket's
     position starts where the smaller ones end, so a large set is sorted by as many tasks as it has
-    buckets. Without ``bucket`` a set is one task.
+    buckets. Without ``bucket`` a set is one task. ``df`` should be narrow: it is read twice, and so
+    written once before.
     """
     if bucket is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*sets).orderBy(*order)) - 1)
-    keyed = df.withColumn("__b", bucket)
+    keyed = cut(df.withColumn("__b", bucket))
     counts = keyed.groupBy(*sets, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*sets).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*sets, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
@@ -27,13 +28,20 @@ def ranked(df: DataFrame, sets: Sequence[str], order: Sequence[Column | str], na
     return local.join(offsets, [*sets, "__b"]).withColumn(name, F.col("__r") + F.col("__o")).drop("__b", "__n", "__r", "__o")
 
 
-def quantile_bucket(df: DataFrame, key: str, buckets: int = 64) -> Column:
-    """A bucket number that does not decrease with ``key``, of about equal sizes (``buckets`` numbers reach the driver)."""
-    at = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("q")).first()["q"]
-    out = F.lit(0)
-    for q in sorted(set(at or ())):
-        out = out + (F.col(key).cast("double") > F.lit(float(q))).cast("int")
-    return out
+def id_bucket(key: str) -> Column:
+    """A bucket that does not decrease with an integer id and holds at most 65,536 different ids."""
+    return F.shiftright(F.col(key).cast("long"), 16)
+
+
+def unit_bucket(u: Column, buckets: int = 64) -> Column:
+    """A bucket that does not decrease with a number spread over [0, 1)."""
+    return F.floor(u * F.lit(float(buckets))).cast("int")
+
+
+def log_bucket(key: str, per_octave: int = 4) -> Column:
+    """A bucket that does not decrease with a real number: its octave and the part of it."""
+    v = F.col(key)
+    return F.when(v > 0, F.floor(F.log2(v) * F.lit(float(per_octave))).cast("int")).when(v == 0, F.lit(-1_000_000)).when(v < 0, F.lit(-1_000_001)).otherwise(F.lit(-1_000_002))
 
 
 def in_order(df: DataFrame, order: Sequence[str], name: str, value: str | None = None) -> DataFrame:

@@ -26,10 +26,10 @@ def apply_selection(points: DataFrame, selection: DataFrame | None, strict: bool
 
 def apply_mask(points: DataFrame, mask: str) -> DataFrame:
     """A boolean column as a selection: rows where it is true, in node order."""
-    from stipple.functions.ranks import quantile_bucket, ranked
+    from stipple.functions.ranks import id_bucket, ranked
 
     ids = points.filter(F.col(mask)).select("cloud_id", "node_id")
-    return ranked(ids, ["cloud_id"], ["node_id"], "sel_pos", quantile_bucket(ids, "node_id")).select("cloud_id", "node_id", "sel_pos")
+    return ranked(ids, ["cloud_id"], ["node_id"], "sel_pos", id_bucket("node_id")).select("cloud_id", "node_id", "sel_pos")
 
 
 def select_edges(edges: DataFrame, selection: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.functions.kernels import matrix, top_k
+from stipple.lineage import cut
 
 EDGES = "cloud_id {c}, dst long, rank int, src long, dist double"
 
@@ -33,8 +34,9 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, strict: boo
         if not queries.limit(1).count():
             raise ValueError("there are no queries")
     cloud_kind = points.schema["cloud_id"].dataType.simpleString()
-    p = points.select("cloud_id", F.col("node_id").cast("long").alias("node_id"), F.col("pos").cast("array<double>").alias("pos"))
-    q = queries.select("cloud_id", F.col("node_id").cast("long").alias("node_id"), F.col("pos").cast("array<double>").alias("pos"))
+    # Read several times below (sizes, queries, points), so written once.
+    p = cut(points.select("cloud_id", F.col("node_id").cast("long").alias("node_id"), F.col("pos").cast("array<double>").alias("pos")))
+    q = p if same else cut(queries.select("cloud_id", F.col("node_id").cast("long").alias("node_id"), F.col("pos").cast("array<double>").alias("pos")))
     counts = p.groupBy("cloud_id").agg(F.ceil(F.count("*") / point_block).cast("int").alias("np"))
     if same:
         counts = p.groupBy("cloud_id").agg(F.ceil(F.count("*") / point_block).cast("int").alias("np"), F.ceil(F.count("*") / query_block).cast("int").alias("nq"))
@@ -47,9 +49,9 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, strict: boo
     def tile(lq: pa.Table, rp: pa.Table) -> pa.Table:
         if not len(lq) or not len(rp):
             lq = lq.slice(0, 0)
-        ids, dst = rp["node_id"].to_numpy(), lq["node_id"].to_numpy()
+        ids, dst = rp["rn"].to_numpy(), lq["node_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        x, y = matrix(rp["pos"])[order], matrix(lq["pos"])
+        x, y = matrix(rp["rx"])[order], matrix(lq["pos"])
         step = max(1, 2_000_000 // max(1, len(ids)))
         parts = [top_k(x, ids[order], y[i : i + step], k) for i in range(0, len(y), step)]
         near = np.concatenate([a for a, _ in parts]) if parts else np.zeros((0, 0), np.int64)
@@ -60,7 +62,7 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, strict: boo
         return pa.table([lq["lc"].take(at), lq["node_id"].take(at), pa.array(rank), pa.array(near.ravel().astype(np.int64)), pa.array(np.sqrt(d2.ravel())), lq["np"].take(at)], names=["cloud_id", "dst", "rank", "src", "dist", "np"])
 
     left = left.select(F.col("cloud_id").alias("lc"), F.col("qb").alias("lq"), F.col("pb").alias("lp"), "node_id", "pos", "np")
-    right = right.select(F.col("cloud_id").alias("rc"), F.col("qb").alias("rq"), F.col("pb").alias("rp"), "node_id", "pos")
+    right = right.select(F.col("cloud_id").alias("rc"), F.col("qb").alias("rq"), F.col("pb").alias("rp"), F.col("node_id").alias("rn"), F.col("pos").alias("rx"))
     found = left.groupBy("lc", "lq", "lp").cogroup(right.groupBy("rc", "rq", "rp"))
     found = found.applyInArrow(tile, EDGES.format(c=cloud_kind) + ", np int")
     whole = found.filter("np = 1").drop("np")

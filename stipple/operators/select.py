@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from stipple.functions import rng
 from stipple.functions.kernels import farthest, matrix
-from stipple.functions.ranks import quantile_bucket, ranked
+from stipple.functions.ranks import id_bucket, log_bucket, ranked, unit_bucket
 from stipple.functions.vectors import parts
 from stipple.lineage import cut
 
-BUCKETS = 64
-
 
 def _sizes(points: DataFrame, factor: Column, most: int, least: int, capped: bool = True) -> DataFrame:
     """``(cloud_id, n, size)`` of every set."""
@@ -26,20 +24,16 @@ def _sizes(points: DataFrame, factor: Column, most: int, least: int, capped: boo
     return counts.withColumn("size", F.least(size, F.col("n")) if capped else size)
 
 
-def _in_unit_buckets(u: Column) -> Column:
-    return F.floor(u * F.lit(float(BUCKETS))).cast("int")
-
-
 def block_select(points: DataFrame, max_num_points: int = 10**9, min_num_points: int = 1, selection_factor: float = 1.0) -> DataFrame:
     """The first nodes of each set, by node id."""
     ids = points.select("cloud_id", "node_id")
     sizes = _sizes(ids, F.lit(float(selection_factor)), max_num_points, min_num_points)
-    placed = ranked(ids, ["cloud_id"], ["node_id"], "sel_pos", quantile_bucket(ids, "node_id", BUCKETS))
+    placed = ranked(ids, ["cloud_id"], ["node_id"], "sel_pos", id_bucket("node_id"))
     return placed.join(sizes, "cloud_id").filter(F.col("sel_pos") < F.col("size")).select("cloud_id", "node_id", "sel_pos")
 
 
-def _ascending(chosen: DataFrame, buckets: Column) -> DataFrame:
-    return ranked(chosen, ["cloud_id"], ["node_id"], "sel_pos", buckets).select("cloud_id", "node_id", "sel_pos")
+def _ascending(chosen: DataFrame) -> DataFrame:
+    return ranked(chosen, ["cloud_id"], ["node_id"], "sel_pos", id_bucket("node_id")).select("cloud_id", "node_id", "sel_pos")
 
 
 def random_select(points: DataFrame, max_num_points: int = 10**7, selection_factor: float | tuple[float, float] = 1.0, min_num_points: int = 1, replacement: bool = False, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -51,16 +45,15 @@ def random_select(points: DataFrame, max_num_points: int = 10**7, selection_fact
     ids = points.select("cloud_id", "node_id")
     factor = rng.between(*selection_factor, seed, f"factor{epoch}", "cloud_id") if isinstance(selection_factor, tuple) else F.lit(float(selection_factor))
     sizes = _sizes(ids, factor, max_num_points, min_num_points, capped=not replacement)
-    by_node = quantile_bucket(ids, "node_id", BUCKETS)
     if replacement:
         draws = sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
         draws = draws.withColumn("i", F.floor(rng.uniform(seed, f"draw{epoch}", "cloud_id", "j") * F.col("n")))
-        placed = ranked(ids, ["cloud_id"], ["node_id"], "i", by_node)
+        placed = ranked(ids, ["cloud_id"], ["node_id"], "i", id_bucket("node_id"))
         drawn = draws.select("cloud_id", "i", "j").join(placed, ["cloud_id", "i"])
-        return ranked(drawn, ["cloud_id"], ["node_id", "j"], "sel_pos", by_node).select("cloud_id", "node_id", "sel_pos")
+        return ranked(drawn, ["cloud_id"], ["node_id", "j"], "sel_pos", id_bucket("node_id")).select("cloud_id", "node_id", "sel_pos")
     u = rng.uniform(seed, f"pick{epoch}", "cloud_id", "node_id")
-    order = ranked(ids.withColumn("u", u), ["cloud_id"], ["u", "node_id"], "r", _in_unit_buckets(F.col("u")))
-    return _ascending(order.join(sizes, "cloud_id").filter(F.col("r") < F.col("size")).select("cloud_id", "node_id"), by_node)
+    order = ranked(ids.withColumn("u", u), ["cloud_id"], ["u", "node_id"], "r", unit_bucket(F.col("u")))
+    return _ascending(order.join(sizes, "cloud_id").filter(F.col("r") < F.col("size")).select("cloud_id", "node_id"))
 
 
 def random_point_dropout(points: DataFrame, max_dropout: float = 0.9, p: float = 1.0, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -69,9 +62,9 @@ def random_point_dropout(points: DataFrame, max_dropout: float = 0.9, p: float =
     keep = F.lit(1.0) - rng.uniform(seed, f"ratio{epoch}", "cloud_id") * F.lit(float(max_dropout))
     factor = F.when(rng.bernoulli(p, seed, f"drop{epoch}", "cloud_id"), keep).otherwise(F.lit(1.0))
     u = rng.uniform(seed, f"pick{epoch}", "cloud_id", "node_id")
-    order = ranked(ids.withColumn("u", u), ["cloud_id"], ["u", "node_id"], "r", _in_unit_buckets(F.col("u")))
+    order = ranked(ids.withColumn("u", u), ["cloud_id"], ["u", "node_id"], "r", unit_bucket(F.col("u")))
     chosen = order.join(_sizes(ids, factor, 10**12, 1), "cloud_id").filter(F.col("r") < F.col("size"))
-    return _ascending(chosen.select("cloud_id", "node_id"), quantile_bucket(ids, "node_id", BUCKETS))
+    return _ascending(chosen.select("cloud_id", "node_id"))
 
 
 def radius_select(points: DataFrame, max_num_points: int, max_radius: float = float("inf"), max_ratio: float = 1.0, sort_by_distance: bool = False, deterministic: bool = False, dims: int = 3, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -92,11 +85,11 @@ def radius_select(points: DataFrame, max_num_points: int, max_radius: float = fl
     far = slim.join(sets.withColumn("most", most), "cloud_id").select("cloud_id", "node_id", "n", "most", F.sqrt(d2).alias("dist"))
     far = far.withColumn("all", F.col("n") <= F.col("most") if max_radius == float("inf") else F.lit(False))
     close = far.filter(F.col("all") | (F.col("dist") < F.lit(float(max_radius))))
-    near = ranked(close, ["cloud_id"], ["dist", "node_id"], "r", quantile_bucket(cut(close.select("dist")), "dist", BUCKETS))
+    near = ranked(close, ["cloud_id"], ["dist", "node_id"], "r", log_bucket("dist"))
     near = near.filter(F.col("all") | (F.col("r") < F.col("most")))
     if sort_by_distance:
         return near.select("cloud_id", "node_id", F.col("r").alias("sel_pos"))
-    return _ascending(near.select("cloud_id", "node_id"), quantile_bucket(points, "node_id", BUCKETS))
+    return _ascending(near.select("cloud_id", "node_id"))
 
 
 sphere_select = radius_select
@@ -117,7 +110,7 @@ def cluster_select(points: DataFrame, deterministic: bool = False, pick: int | N
         u = rng.uniform(seed, f"cluster{epoch}", "cloud_id", "node_id")
         best = F.max_by("node_id", F.struct(u.alias("u"), F.col("node_id"))).alias("node_id")
         chosen = ids.groupBy(*dict.fromkeys(("cloud_id", *key))).agg(best)
-    return _ascending(chosen.select("cloud_id", "node_id"), quantile_bucket(points, "node_id", BUCKETS))
+    return _ascending(chosen.select("cloud_id", "node_id"))
 
 
 def fps_select(points: DataFrame, max_num_points: int = 10**7, selection_factor: float = 1.0, min_num_points: int = 1, deterministic: bool = True, seed: int = 0, epoch: int = 0, rows_per_set: int = 1_000_000) -> DataFrame:
@@ -175,4 +168,4 @@ def inverse_density_select(points: DataFrame, density: str = "density", seed: in
     """
     key = -F.log(rng.open_uniform(seed, f"inverse{epoch}", "cloud_id", "node_id")) * F.col(density).cast("double")
     keyed = points.select("cloud_id", "node_id", key.alias("key"))
-    return ranked(keyed, ["cloud_id"], ["key", "node_id"], "sel_pos", quantile_bucket(keyed, "key", BUCKETS)).select("cloud_id", "node_id", "sel_pos")
+    return ranked(keyed, ["cloud_id"], ["key", "node_id"], "sel_pos", log_bucket("key")).select("cloud_id", "node_id", "sel_pos")

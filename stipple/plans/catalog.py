@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipple.functions.rng import uniform_sql as U
+from stipple.lineage import cut
 from stipple.operators import affine, attributes, density, neighbors, select, voxel
 from stipple.operators.apply import apply_mask, apply_selection, select_edges
 from stipple.operators.model import as_points, current_rows, finite, ptr
@@ -47,7 +48,7 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
 def scan_points(spark: SparkSession, at: str, *attributes: str) -> DataFrame:
     """Current points with three finite coordinates: ``(cloud_id, node_id, pos, ...)``."""
     rows = current_rows(_table(spark, at, "points"), ["cloud_id", "node_id"], ["pos", *attributes])
-    return rows.filter(finite(F.col("pos"), 3))
+    return cut(rows.filter(finite(F.col("pos"), 3)))
 
 
 def _pts(*attributes: str) -> str:
