@@ -81,7 +81,7 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: slice, k: int, spare: int = 1
 
     Missing neighbours have id -1. A matrix product ranks roughly; the best of it are measured exactly.
     """
-    x = x - x.mean(0)
+    given, x = x, x - x.mean(0)
     q = x[query]
     n, m = len(x), len(q)
     take = min(n, k + spare)
@@ -95,14 +95,15 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: slice, k: int, spare: int = 1
         close = np.flatnonzero(got[:, -1] - got[:, k - 1] <= slack)
     else:
         close = np.zeros(0, int)
-    exact = ((q[:, None, :] - x[near]) ** 2).sum(2)
+    # Measured on the given values, so that every tree finds the very same distance for a pair.
+    exact = ((given[query][:, None, :] - given[near]) ** 2).sum(2)
     names = ids[near].copy()
     own = near == np.arange(query.start, query.stop)[:, None]
     exact[own], names[own] = np.inf, np.iinfo(np.int64).max
     order = np.lexsort((names, exact), axis=1)[:, :k]
     best, dist = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
     for i in close:
-        e = ((q[i] - x) ** 2).sum(1)
+        e = ((given[query.start + i] - given) ** 2).sum(1)
         e[query.start + i] = np.inf
         o = np.lexsort((ids, e))[:k]
         best[i], dist[i] = ids[o], e[o]
@@ -129,7 +130,7 @@ def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5,
     stats = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("r")).first()
     scale = float(stats["r"] or 1.0) or 1.0
     forest = [HashTree(dims, t, scale, seed) for t in range(trees)]
-    tasks = max(partitions(spark), -(-stats["n"] * trees // rows_per_task))
+    per_tree = max(1, -(-stats["n"] // rows_per_task))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +140,9 @@ def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hi), pa.array(lo), batch.column(0), batch.column(1)], names=["tree", "hi", "lo", "id", "pos"])
 
     arrays = rows.mapInArrow(hashed, "tree int, hi long, lo long, id long, pos array<double>")
-    arrays = arrays.repartitionByRange(tasks, "tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
+    # A tree that one task can hold is not cut at all.
+    key = ["tree"] if per_tree == 1 else ["tree", "hi", "lo", "id"]
+    arrays = arrays.repartitionByRange(trees * per_tree, *key).sortWithinPartitions("tree", "hi", "lo", "id")
 
     def search(table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         tree, ids, x = table["tree"], table["id"], table["pos"]
@@ -178,14 +181,16 @@ def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5,
             return
         node, near, d2 = (np.concatenate(p) for p in zip(*parts, strict=True))
         node, near, d2 = node[near >= 0], near[near >= 0], d2[near >= 0]
-        order = np.lexsort((near, d2, node))
+        order = np.lexsort((d2, near, node))
         node, near, d2 = node[order], near[order], d2[order]
         fresh = np.append(True, (node[1:] != node[:-1]) | (near[1:] != near[:-1]))[: len(node)]
         node, near, d2 = node[fresh], near[fresh], d2[fresh]
+        order = np.lexsort((near, d2, node))
+        node, near, d2 = node[order], near[order], d2[order]
         new = np.append(True, node[1:] != node[:-1])[: len(node)]
         rank = np.arange(len(node)) - np.maximum.accumulate(np.where(new, np.arange(len(node)), 0)) + 1
         top = rank <= k
         out = pa.table({"node": node[top], "rank": rank[top].astype(np.int32), "neighbor": near[top], "dist": np.sqrt(d2[top])})
         yield from out.to_batches(max_chunksize=50_000)
 
-    return found.repartition(tasks, "id").mapInArrow(merge, "node long, rank int, neighbor long, dist double")
+    return found.repartition(max(partitions(spark), trees * per_tree), "id").mapInArrow(merge, "node long, rank int, neighbor long, dist double")
