@@ -160,11 +160,57 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    d2 = " + ".join(f"(a.pos[{i}]::double - b.pos[{i}]::double) ** 2" for i in range(1, 21))
     return {
+        "p1_found": _P1,
+        "p2_found": _P2.format(nodes=_NODES, d2=d2),
         "p3_found": _P3.format(last="SELECT dataset, y FROM counted WHERE eligible < required"),
+        "p5_found": _P5.format(nodes=_NODES, d2=d2),
     }
 
 
+_P1 = """
+WITH RECURSIVE
+scan_t AS (SELECT cloud_id, max(received_at) AS t FROM scans WHERE cloud_id IS NOT NULL GROUP BY cloud_id),
+scan AS (SELECT s.cloud_id, max(s.dataset) AS dataset FROM scans s JOIN scan_t t ON s.cloud_id = t.cloud_id AND s.received_at IS NOT DISTINCT FROM t.t GROUP BY s.cloud_id),
+latest AS (SELECT cloud_id, node_id, max(received_at) AS t FROM points WHERE cloud_id IS NOT NULL AND node_id IS NOT NULL GROUP BY cloud_id, node_id),
+cur AS (SELECT p.cloud_id, p.node_id, max(p.pos) AS pos FROM points p JOIN latest l
+        ON p.cloud_id = l.cloud_id AND p.node_id = l.node_id AND p.received_at IS NOT DISTINCT FROM l.t GROUP BY p.cloud_id, p.node_id),
+usable AS (SELECT cloud_id, node_id, pos[1]::double AS x, pos[2]::double AS y, pos[3]::double AS z FROM cur
+           WHERE len(pos) = 3 AND len([v for v in pos if isfinite(v)]) = 3),
+large AS (SELECT u.cloud_id, any_value(b.reach) AS reach FROM usable u JOIN scan s ON u.cloud_id = s.cloud_id
+          JOIN size_budgets b ON s.dataset = b.applies_to AND b.unit = 'points' GROUP BY u.cloud_id HAVING count(*) > any_value(b.capacity)),
+nodes AS (SELECT u.*, l.reach FROM usable u JOIN large l ON u.cloud_id = l.cloud_id),
+links AS (SELECT a.cloud_id, a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.cloud_id = b.cloud_id AND a.node_id <> b.node_id
+          WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= a.reach ** 2),
+labels(cloud_id, node_id, label) USING KEY (cloud_id, node_id) AS (
+  SELECT cloud_id, node_id, node_id FROM nodes
+  UNION
+  SELECT l.cloud_id, l.b, min(r.label) FROM labels r JOIN links l ON r.cloud_id = l.cloud_id AND r.node_id = l.a
+  JOIN recurring.labels c ON c.cloud_id = l.cloud_id AND c.node_id = l.b WHERE r.label < c.label GROUP BY l.cloud_id, l.b)
+SELECT cloud_id, label AS node_id FROM labels GROUP BY cloud_id, label HAVING count(*) >= 10"""
+
+_NODES = """
+latest AS (SELECT node_id, max(received_at) AS t FROM feature_nodes WHERE node_id IS NOT NULL GROUP BY node_id),
+cur AS (SELECT f.node_id, max(f.pos) AS pos FROM feature_nodes f JOIN latest l ON f.node_id = l.node_id AND f.received_at IS NOT DISTINCT FROM l.t GROUP BY f.node_id),
+nodes AS (SELECT node_id, pos FROM cur WHERE len(pos) = 20 AND len([v for v in pos if isfinite(v)]) = 20)"""
+
+_P2 = """
+WITH {nodes},
+pairs AS (SELECT a.node_id AS a, b.node_id AS b, {d2} AS d2 FROM nodes a JOIN nodes b ON a.node_id <> b.node_id),
+ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM pairs WHERE d2 <= 100)
+SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM ranked WHERE r <= 5"""
+
+_P5 = """
+WITH RECURSIVE {nodes},
+links AS (SELECT a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.node_id <> b.node_id AND {d2} <= 100),
+labels(node_id, label) USING KEY (node_id) AS (
+  SELECT node_id, node_id FROM nodes
+  UNION
+  SELECT l.b, min(r.label) FROM labels r JOIN links l ON r.node_id = l.a JOIN recurring.labels c ON c.node_id = l.b WHERE r.label < c.label GROUP BY l.b),
+large AS (SELECT label FROM labels GROUP BY label HAVING count(*) >= 10)
+SELECT l.label AS anchor_id, l.node_id FROM labels l JOIN large g ON l.label = g.label WHERE l.node_id <> l.label"""
+
 _P3 = """
 WITH latest AS (
   SELECT object_id, max(received_at) AS t FROM objects WHERE object_id IS NOT NULL GROUP BY object_id),
