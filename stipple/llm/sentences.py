@@ -18,6 +18,7 @@ capitals use their own terminators, scripts without terminators their spaces.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ _UPPER = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
 _LOWER = "".join(chr(c) for c in range(0x61, 0x530) if chr(c).islower())
 _UP, _LOW = re.escape(_UPPER), re.escape(_LOWER)
 _OPEN = "“„«‘‚‹「『\"'(\\[¿¡—–―★☆◆◇●■□▪•☞☛►▶※§†‡*"
+_ORNAMENTS = "★☆◆◇●■□▪•☞☛►▶※—–―*"
 _CLOSE = "”“»’›」』\"')\\]"
 _MARKS = ".!?…。！？｡．।॥؟۔;·"
 
@@ -41,7 +43,7 @@ _WORD = re.compile(r"[^\s.,!?;:…。、，「」『』«»“”„‘’\"'()|
 _REPORT = re.compile(r"[,،、，]\s?[”»“\"」]\s*([^\s.,…،。、」]+)")
 # A place where a unit of a cased script may begin: openers, then a capital, digit or currency sign;
 # at the start of a line or after a blank, or (lost blank) right after a mark or closing quotation mark.
-_START = re.compile(rf"(?:(?<=\s)|^|(?<=[{_LOW}][.!?])|(?<=[{_LOW}][.!?][”»]))([{_OPEN}]*\s?[{_OPEN}]*)([$£€]?[0-9][^\s]*|[{_UP}][^\s]*)", re.M)
+_START = re.compile(rf"(?:(?<=\s)|^|(?<=[{_LOW}][.!?])|(?<=[{_LOW}][.!?][”»]))([{_OPEN}]*\s?[{_OPEN}]*)([$£€]?[0-9][^\s]*|[{_UP}][^\s.,!?;:”“»«\"]*)", re.M)
 _TAIL = re.compile(rf"([{re.escape(_MARKS)}]+)\s*[{_CLOSE}\s]*$")
 _CLOSER_TAIL = re.compile(rf"[{_CLOSE}]\s*$")
 _ELLIPSIS = re.compile(r"(?:…|\.\s?\.\s?\.)$")
@@ -50,10 +52,8 @@ _CORE = re.compile(rf"^[^\w]*([^\W\d_]+)")
 _LASTWORD = re.compile(r"([^\s“„«‘\"'(\[「]+?)\.$")
 _NAME = re.compile(rf"[{_UP}][{_LOW}]{{0,6}}\.\s+([{_UP}][{_LOW}]+)")
 _HYPHEN = "-‐‑¬=\xad⸗"
-_CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_THAI = re.compile(r"[฀-๿]")
-_DEVA = re.compile(r"[ऀ-ॿ]")
-_ARAB = re.compile(r"[؀-ۿ]")
+_SPANS = {"cjk": [(0x3040, 0x30FF), (0x3400, 0x9FFF)], "thai": [(0x0E00, 0x0E7F)], "deva": [(0x0900, 0x097F)], "arab": [(0x0600, 0x06FF)]}
+_THAI = re.compile(r"[\u0e00-\u0e7f]")
 
 
 class Lexicon:
@@ -205,9 +205,10 @@ def streams(text: str, lines: list[Line], known: bool, right_to_left: bool, comm
             article.append(line)
         if advert:
             adverts.append(advert)
+    article, more = _lift_adverts(text, article)
     out = [("headline", head)] if head else []
     out += [("article", article)] if article else []
-    return out + [("advert", a) for a in adverts]
+    return out + [("advert", a) for a in adverts + more]
 
 
 _ORNAMENT = re.compile(r"^\s*(?:[★☆◆◇●■▪•☞☛►▶※—–―]|\*{2,})")
@@ -228,10 +229,29 @@ def _plain_streams(text: str, lines: list[Line], common: set[str]) -> list[tuple
                     if m and m.group(1)[:1].isupper() and m.group(1).lower() in common:
                         n = i
                         break
-    return ([("headline", lines[:n])] if n else []) + ([("article", lines[n:])] if n < len(lines) else [])
+    article, adverts = _lift_adverts(text, lines[n:])
+    return ([("headline", lines[:n])] if n else []) + ([("article", article)] if article else []) + [("advert", a) for a in adverts]
 
 
-def _abbreviated(tail: str, lexicon: Lexicon, own: Counter) -> bool:
+def _lift_adverts(text: str, lines: list[Line]) -> tuple[list[Line], list[list[Line]]]:
+    """Takes out runs of lines that begin with an ornament and are set in capitals."""
+    kept: list[Line] = []
+    adverts: list[list[Line]] = []
+    inside = False
+    for line in lines:
+        part = text[line.begin : line.end]
+        if _ORNAMENT.match(part) and (_capitals(part) or part.lstrip().startswith("***")):
+            adverts.append([line])
+            inside = _capitals(part)
+        elif inside and _capitals(part):
+            adverts[-1].append(line)
+        else:
+            inside = False
+            kept.append(line)
+    return kept, adverts
+
+
+def _abbreviated(tail: str, lexicon: Lexicon, text: str) -> bool:
     """Whether the last word before the marks is an abbreviation with its stop."""
     m = _LASTWORD.search(tail)
     if not m:
@@ -248,14 +268,14 @@ def _abbreviated(tail: str, lexicon: Lexicon, own: Counter) -> bool:
         return False
     if len(word) == 1:
         return word.isalpha()
-    lower = word.lower()
-    plain, dotted = own[lower], own[lower + "."]
-    if plain >= 2 and plain >= dotted:
+    if word.lower() not in lexicon.abbreviation:
         return False
-    return lower in lexicon.abbreviation
+    # Written without its stop elsewhere on the page, at least as often as with it: an ordinary word here.
+    plain = text.count(f" {word} ") + text.count(f" {word}\n")
+    return plain < 2 or plain < text.count(f"{word}.")
 
 
-def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexicon, own: Counter, names: set[str], german: bool, capitals: bool) -> list[int]:
+def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexicon, names: set[str], german: bool, capitals: bool) -> list[int]:
     """Starts of the units of a stream in a script with capitals; its first character is one."""
     begin = lines[0].begin
     out = [begin + len(text[begin : lines[0].end]) - len(text[begin : lines[0].end].lstrip())]
@@ -264,8 +284,10 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
         part = text[line.begin : line.end]
         shouting = capitals or _capitals(part)
         for m in _START.finditer(part):
-            at = m.start()
-            opener, token = m.group(1).strip(), m.group(2)
+            at, lead, token = m.start(), m.group(1), m.group(2)
+            while lead and lead[0] in "“\"'‘" and at and not part[at - 1].isspace():
+                at, lead = at + 1, lead[1:]  # a closing mark of the word before
+            opener = lead.strip()
             prev = part[:at].rstrip()
             if not prev:
                 prev = before
@@ -282,12 +304,13 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
                 marks = ""
             if marks == ";" and not any("Ͱ" <= c <= "Ͽ" for c in prev):
                 marks = ""
-            core = _CORE.match(token)
+            core = _CORE.match(token if token.isascii() else unicodedata.normalize("NFKC", token))
             word = core.group(1) if core else ""
             digit = not word or not token[0].isalpha()
             lower = word.lower()
-            known = lower in common and lower not in names and not _DOTS.match(token)
-            if marks and not marks.strip(".") and len(marks) == 1 and _abbreviated(stem, lexicon, own):
+            initial = len(word) == 1 and part[m.end() : m.end() + 1] == "."
+            known = not initial and lower in common and lower not in names and not _DOTS.match(part[m.start(2) : m.start(2) + 12].split()[0])
+            if marks and not marks.strip(".") and len(marks) == 1 and _abbreviated(stem, lexicon, text):
                 dotted = True
             else:
                 dotted = False
@@ -316,10 +339,11 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
                     ok = True
             if opener.startswith("(") and not (marks and not dotted and not ellipsis):
                 ok = False
-            if opener and opener[0] in _OPEN and last == ":" and opener[0] not in "★☆◆◇●■□▪•☞☛►▶※—*":
+            if opener and last == ":" and opener[0] not in _ORNAMENTS:
                 ok = False
+            if opener and opener[0] in _ORNAMENTS and at == len(part) - len(part.lstrip()):
+                ok = True
             if ok:
-                lead = m.group(1)
                 out.append(line.begin + at + len(lead) - len(lead.lstrip()))
         before = part.rstrip() or before
     return out
@@ -337,7 +361,7 @@ def _joined(text: str, lines: list[Line], gap: str) -> tuple[str, np.ndarray, np
     return gap.join(parts), np.append(0, ends[:-1]), np.array([v.begin for v in lines])
 
 
-def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon, own: Counter) -> list[int]:
+def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon) -> list[int]:
     """Starts of the units of a stream in a script without capitals."""
     s, at, origin = _joined(text, lines, "" if script == "cjk" else "\n")
     starts = [len(s) - len(s.lstrip())] if s.strip() else []
@@ -381,7 +405,7 @@ def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon,
                     continue
                 if "…" in marks:
                     continue
-                if len(marks) == 1 and _abbreviated(stem, lexicon, own):
+                if len(marks) == 1 and _abbreviated(stem, lexicon, text):
                     continue
                 if len(marks) == 1 and re.search(r"\s\.$", stem):
                     continue
@@ -401,6 +425,18 @@ def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon,
     return [int(origin[i] + p - at[i]) for p, i in zip(starts, line, strict=True)]
 
 
+def _script(text: str) -> str:
+    """The script that decides how units are found: more than four tenths of the letters and vowel signs."""
+    if text.isascii():
+        return "cased"
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = int((c > 0x40).sum()) or 1
+    for name, spans in _SPANS.items():
+        if sum(int(((c >= a) & (c <= b)).sum()) for a, b in spans) > 0.4 * letters:
+            return name
+    return "cased"
+
+
 def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, lexicon: Lexicon) -> list[int]:
     """Offsets of the first characters of a page's units, in order. Null and blank texts have none.
 
@@ -409,16 +445,9 @@ def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, l
     if not text or text.isspace():
         return []
     lines, known = page_lines(text, boxes)
-    sample = text[:4000]
-    script = "cased"
-    letters = sum(c.isalpha() for c in sample) or 1
-    for name, pattern in (("cjk", _CJK), ("thai", _THAI), ("deva", _DEVA), ("arab", _ARAB)):
-        if len(pattern.findall(sample)) > 0.4 * letters:
-            script = name
-    tokens = _WORD.findall(text)
-    own = Counter(t.lower() for t in tokens)
-    lower_here = {t.rstrip(".!?|;") for t in tokens if t[0] in _LOWER}
-    lang = lexicon.language(label, lower_here) if script == "cased" else label or ""
+    script = _script(text)
+    words = set(text.split()) if script == "cased" else set()
+    lang = lexicon.language(label, words) if script == "cased" else label or ""
     common = lexicon.common.get(lang, set())
     german = lang == "de"
     names = {w.lower() for w in _NAME.findall(text)} - common if script == "cased" else set()
@@ -431,15 +460,11 @@ def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, l
         own_script = script
         if kind == "advert":
             s = " ".join(text[v.begin : v.end] for v in part)
-            n = sum(c.isalpha() for c in s) or 1
-            own_script = "cased"
-            for name, pattern in (("cjk", _CJK), ("thai", _THAI), ("deva", _DEVA), ("arab", _ARAB)):
-                if len(pattern.findall(s)) > 0.4 * n:
-                    own_script = name
+            own_script = _script(s)
         if own_script == "cased":
-            out.update(cased_starts(text, part, common, lexicon, own, names, german, kind == "advert" and _capitals(s)))
+            out.update(cased_starts(text, part, common, lexicon, names, german, kind == "advert" and _capitals(s)))
         else:
-            out.update(uncased_starts(text, part, own_script, lexicon, own))
+            out.update(uncased_starts(text, part, own_script, lexicon))
     return sorted(out)
 
 
