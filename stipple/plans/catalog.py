@@ -11,7 +11,7 @@ from stipple.functions.rng import uniform_sql as U
 from stipple.lineage import cut
 from stipple.operators import affine, attributes, density, neighbors, select, voxel
 from stipple.operators.apply import apply_mask, apply_selection, select_edges
-from stipple.operators.model import as_points, current_rows, finite, ptr
+from stipple.operators.model import as_points, current_rows, filter_clouds, finite, ptr, repeat_clouds
 from stipple.sources import labels
 from stipple.sources.readers import read_parquet_objects
 from stipple.streaming.loader import batches
@@ -632,6 +632,31 @@ def loader_batches_shuffled(spark: SparkSession, at: str) -> DataFrame:
     return batches(_table(spark, at, "events").select("event_id"), ["event_id"], 48, shuffle=True, drop_last=True, seed=3, epoch=2)
 
 
+@_query(f"""
+WITH {_pts()}, {_SCANS.replace("latest", "scan_latest").replace("cur AS", "scan_cur AS")}
+SELECT p.cloud_id, p.node_id FROM pts p WHERE p.cloud_id IN (SELECT cloud_id FROM scan_cur WHERE dataset = 'S3DIS')""")
+def filter_scans(spark: SparkSession, at: str) -> DataFrame:
+    scans = current_rows(_table(spark, at, "scans"), ["cloud_id"], ["dataset"])
+    return filter_clouds(scan_points(spark, at), scans, F.col("dataset") == "S3DIS").select("cloud_id", "node_id")
+
+
+@_query(f"""
+WITH {_SCANS.replace("max(s.dataset)", "max(lower(trim(s.split))) AS split, max(s.dataset)")}
+SELECT cloud_id, split, unnest(range(CASE WHEN split = 'train' THEN 3 ELSE 1 END))::int AS loop FROM cur""")
+def repeat_training_scans(spark: SparkSession, at: str) -> DataFrame:
+    rows = _table(spark, at, "scans").withColumn("split", F.lower(F.trim("split")))
+    return repeat_clouds(current_rows(rows, ["cloud_id"], ["split"]), 3, F.col("split") == "train")
+
+
+@_query(f"""
+SELECT object_id, received_at, CASE WHEN variant IN ('clean', 'val') THEN 'clean' WHEN regexp_matches(variant, '^({"|".join(labels.CORRUPTIONS)})_[0-4]$') THEN regexp_extract(variant, '^(.*)_[0-4]$', 1) END AS kind,
+  CASE WHEN regexp_matches(variant, '^({"|".join(labels.CORRUPTIONS)})_[0-4]$') THEN right(variant, 1)::int END AS level
+FROM objects WHERE dataset = 'ShapeNetC'""")
+def corruption_levels(spark: SparkSession, at: str) -> DataFrame:
+    kind, level = labels.corruption(F.col("variant"))
+    return _table(spark, at, "objects").filter("dataset = 'ShapeNetC'").select("object_id", "received_at", kind.alias("kind"), level.alias("level"))
+
+
 _FLAGSHIP = (
     _voxel_sql("0.5::double")
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, v0, v1, v2 ORDER BY node_id) - 1 AS i FROM v),

@@ -88,3 +88,10 @@ def sequence_split(sequence: Column) -> Column:
 def mesh_split(number: Column, train: int = 79) -> Column:
     """Registered meshes by file number: the first 79 train, the rest test."""
     return F.when(number < train, "train").otherwise("test")
+
+
+def corruption(split: Column) -> tuple[Column, Column]:
+    """Kind and level of a corruption split; ``clean`` (and its alias ``val``) is ``clean`` at level null, others null."""
+    at = r"^(" + "|".join(CORRUPTIONS) + r")_([0-4])$"
+    kind = F.when(split.isin("clean", "val"), "clean").when(split.rlike(at), F.regexp_extract(split, at, 1))
+    return kind, F.when(split.rlike(at), F.regexp_extract(split, at, 2)).cast("int")
