@@ -106,7 +106,7 @@ def p3_sample(spark: SparkSession, at: str) -> DataFrame:
 def shape_records(spark: SparkSession, at: str) -> DataFrame:
     """``(object_id, dataset, split, source, pos, train)`` of the current objects; the split in lower case without blanks."""
     rows = current_rows(_table(spark, at, "objects"), ["object_id"], ["dataset", "split", "source", "pos"])
-    return rows.withColumn("split", F.lower(F.trim("split"))).withColumn("train", F.col("split") == "train").filter(F.col("split").isin("train", "val", "test"))
+    return rows.withColumn("split", F.lower(F.trim("split"))).withColumn("train", F.coalesce(F.col("split") == "train", F.lit(False)))
 
 
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
