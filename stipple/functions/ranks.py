@@ -30,7 +30,7 @@ def ranked(df: DataFrame, sets: Sequence[str], order: Sequence[Column | str], na
 
 def id_bucket(key: str) -> Column:
     """A bucket that does not decrease with an integer id and holds at most 65,536 different ids."""
-    return F.shiftright(F.col(key).cast("long"), 16)
+    return F.coalesce(F.shiftright(F.col(key).cast("long"), 16), F.lit(0).cast("long"))
 
 
 def unit_bucket(u: Column, buckets: int = 64) -> Column:
@@ -40,8 +40,10 @@ def unit_bucket(u: Column, buckets: int = 64) -> Column:
 
 def log_bucket(key: str, per_octave: int = 4) -> Column:
     """A bucket that does not decrease with a real number: its octave and the part of it."""
-    v = F.col(key)
-    return F.when(v > 0, F.floor(F.log2(v) * F.lit(float(per_octave))).cast("int")).when(v == 0, F.lit(-1_000_000)).when(v < 0, F.lit(-1_000_001)).otherwise(F.lit(-1_000_002))
+    v = F.least(F.col(key), F.lit(1e300))
+    octave = F.floor(F.log2(v) * F.lit(float(per_octave))).cast("int")
+    ends = F.when(F.col(key).isNull(), F.lit(-1_000_002)).when(F.isnan(F.col(key)), F.lit(1_000_000))
+    return ends.when(v > 0, octave).when(v == 0, F.lit(-1_000_000)).otherwise(F.lit(-1_000_001))
 
 
 def in_order(df: DataFrame, order: Sequence[str], name: str, value: str | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 - points: ``cloud_id, node_id, pos ARRAY<FLOAT|DOUBLE>`` and any attributes
 - selection: ``cloud_id, node_id, sel_pos`` (ids only; applied by a join)
 - edges: ``cloud_id, dst, rank, src, dist``
+
+A row with a null ``cloud_id`` belongs to no set: operators that work on sets leave it out.
 """
 
 from __future__ import annotations

@@ -171,3 +171,12 @@ def test_as_points(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, "c")], "id long, a double, b double, c string")
     assert as_points(df, "id", ["a", "b"]).first()["pos"] == [2.0, 3.0]
     assert as_points(df, "id", ["a"], "c").first()["cloud_id"] == "c"
+
+
+def test_ranks_of_odd_numbers(spark):
+    from stipple.functions.ranks import id_bucket, log_bucket, ranked
+
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate([3.0, float("inf"), 0.0, -5.0, float("nan"), 1e-9, 2.9, None])], "c long, i long, v double")
+    out = {r["i"]: r["r"] for r in ranked(df, ["c"], ["v", "i"], "r", log_bucket("v")).collect()}
+    assert [out[i] for i in (7, 3, 2, 5, 6, 0, 1, 4)] == list(range(8))
+    assert ranked(df.withColumn("i", F.lit(None).cast("long")), ["c"], ["v"], "r", id_bucket("i")).count() == 8
