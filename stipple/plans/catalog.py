@@ -137,6 +137,28 @@ def knn_query_points(spark: SparkSession, at: str) -> DataFrame:
     return neighbors.knn(v, 5, queries=v.filter("node_id % 20 = 0")).select("dst", "rank", "src")
 
 
+@_query("""
+WITH ev AS (SELECT user_id AS cloud_id, event_id AS node_id, epoch_us(ts)::double / 86400000000.0::double AS x, value AS y_ FROM events)
+SELECT cloud_id, dst, rank::int AS rank, src FROM (
+  SELECT a.cloud_id, a.node_id AS dst, b.node_id AS src,
+         row_number() OVER (PARTITION BY a.cloud_id, a.node_id ORDER BY (a.x - b.x) ** 2 + (a.y_ - b.y_) ** 2, b.node_id) AS rank
+  FROM ev a JOIN ev b ON a.cloud_id = b.cloud_id) WHERE rank <= 8""")
+def knn_events(spark: SparkSession, at: str) -> DataFrame:
+    days = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").cast("double") / 86400000000.0
+    p = as_points(_table(spark, at, "events"), "event_id", [days, F.col("value")], "user_id")
+    return neighbors.knn(p, 8).select("cloud_id", "dst", "rank", "src")
+
+
+@_query(f"""
+WITH {_PART}
+SELECT dst, rank::int AS rank, src FROM (
+  SELECT a.node_id AS dst, b.node_id AS src, row_number() OVER (PARTITION BY a.node_id ORDER BY (a.x - b.x) ** 2 + (a.y_ - b.y_) ** 2, b.node_id) AS rank
+  FROM part_pts a, part_pts b) WHERE rank <= 8""")
+def knn_global_part(spark: SparkSession, at: str) -> DataFrame:
+    p = as_points(_table(spark, at, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    return neighbors.knn(p, 8).select("dst", "rank", "src")
+
+
 @_query(_KNN_PARTS.format(k=25) + "SELECT cloud_id, dst AS node_id, string_agg(src::varchar, ',' ORDER BY rank) AS neighbors FROM edges GROUP BY cloud_id, dst")
 def knn_source_graph(spark: SparkSession, at: str) -> DataFrame:
     g = neighbors.source_graph(_parts(spark, at), 25)
