@@ -10,6 +10,10 @@ next differing bit until it holds at most ``leaf`` rows, so the prefix is as lon
 allows. It then ascends again for more: a run is joined by its neighbours in the sorted array, up to
 half a leaf on either side. All trees do so in step, to the same number of rows, and the candidates of
 all trees are merged, ranked by exact distance.
+
+A row is settled when the ball around it that holds its k candidates lies in the cell of its run in some
+tree: no nearer row can then be elsewhere. Rows that are not, as in a dense group that many runs cut,
+ascend further: they are looked up again in as many other trees, in runs four times as long.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipple.llm.common import partitions
+from stipple.llm.common import cut, partitions
 
 _BITS = 18
 _TAKEN = 7
@@ -37,10 +41,25 @@ class HashTree:
         self.shift = rng.uniform(0, 1, _TAKEN)
         self.scale = scale
 
+    def _quantised(self, x: np.ndarray) -> np.ndarray:
+        unit = np.clip((x @ self.turn / self.scale + 1.0 + self.shift) / 3.0, 0.0, 1.0 - 1e-9)
+        return unit * (1 << _BITS)
+
+    def inside(self, x: np.ndarray, depth: int, radius: np.ndarray) -> np.ndarray:
+        """Whether the ball of ``radius`` around each row lies in the cell of the first ``depth`` bits of its string."""
+        at, r = self._quantised(x), radius / self.scale / 3.0 * (1 << _BITS) + 1e-6
+        out = np.ones(len(x), bool)
+        for j in range(_TAKEN):
+            fixed = min(_BITS, (depth - j + _TAKEN - 1) // _TAKEN)
+            if fixed > 0:
+                side = float(1 << (_BITS - fixed))
+                low = np.floor(at[:, j] / side) * side
+                out &= ((at[:, j] - r > low) | (low <= 0)) & ((at[:, j] + r < low + side) | (low + side >= 1 << _BITS))
+        return out
+
     def strings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The string of each row as two non-negative words, the first the more significant."""
-        unit = np.clip((x @ self.turn / self.scale + 1.0 + self.shift) / 3.0, 0.0, 1.0 - 1e-9)
-        q = (unit * (1 << _BITS)).astype(np.int64)
+        q = self._quantised(x).astype(np.int64)
         words = []
         half = _BITS // 2
         for lo in (half, 0):
@@ -52,32 +71,36 @@ class HashTree:
         return words[0], words[1]
 
 
-def runs(hi: np.ndarray, lo: np.ndarray, leaf: int) -> list[tuple[int, int]]:
-    """Division of a sorted array of strings into runs of at most ``leaf`` rows, each with a common prefix.
+def runs(hi: np.ndarray, lo: np.ndarray, leaf: int) -> list[tuple[int, int, int]]:
+    """Division of a sorted array of strings into runs of at most ``leaf`` rows, with the length of each's prefix.
 
-    Runs of equal strings longer than a leaf are cut at every ``leaf`` rows.
+    The prefix is that of the cell the run covers: no other row of the array is in that cell. Runs of
+    equal strings longer than a leaf are cut at every ``leaf`` rows and have no cell (length -1).
     """
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(hi))]
+    half = _BITS * _TAKEN // 2
+    out: list[tuple[int, int, int]] = []
+    todo = [(0, len(hi), 0)]
     while todo:
-        a, b = todo.pop()
+        a, b, depth = todo.pop()
         if b - a <= leaf:
             if b > a:
-                out.append((a, b))
+                out.append((a, b, depth))
             continue
-        word = hi if hi[a] != hi[b - 1] else lo
+        first = hi[a] != hi[b - 1]
+        word = hi if first else lo
         differ = int(word[a]) ^ int(word[b - 1])
         if not differ:
-            out.extend((i, min(i + leaf, b)) for i in range(a, b, leaf))
+            out.extend((i, min(i + leaf, b), -1) for i in range(a, b, leaf))
             continue
         bit = differ.bit_length() - 1
         mid = a + int(np.searchsorted(word[a:b], (int(word[b - 1]) >> bit) << bit))
-        todo += [(mid, b), (a, mid)]
+        below = (half if first else 2 * half) - bit
+        todo += [(mid, b, below), (a, mid, below)]
     return out
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, query: slice, k: int, spare: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and squared distances of the k nearest other rows for the rows of ``query`` (ties: smaller id).
+def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, spare: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances of the k nearest other rows for the rows numbered in ``query`` (ties: smaller id).
 
     Missing neighbours have id -1. A matrix product ranks roughly; the best of it are measured exactly.
     """
@@ -86,7 +109,7 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: slice, k: int, spare: int = 1
     n, m = len(x), len(q)
     take = min(n, k + spare)
     d = (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-    d[np.arange(m), np.arange(query.start, query.stop)] = np.inf
+    d[np.arange(m), query] = np.inf
     near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), (m, n))
     if take < n:
         # Rows whose cut falls within rounding of the k-th distance are ranked over all rows.
@@ -98,13 +121,13 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: slice, k: int, spare: int = 1
     # Measured on the given values, so that every tree finds the very same distance for a pair.
     exact = ((given[query][:, None, :] - given[near]) ** 2).sum(2)
     names = ids[near].copy()
-    own = near == np.arange(query.start, query.stop)[:, None]
+    own = near == query[:, None]
     exact[own], names[own] = np.inf, np.iinfo(np.int64).max
     order = np.lexsort((names, exact), axis=1)[:, :k]
     best, dist = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
     for i in close:
-        e = ((given[query.start + i] - given) ** 2).sum(1)
-        e[query.start + i] = np.inf
+        e = ((given[query[i]] - given) ** 2).sum(1)
+        e[query[i]] = np.inf
         o = np.lexsort((ids, e))[:k]
         best[i], dist[i] = ids[o], e[o]
     best = np.where(np.isinf(dist), -1, best)
@@ -115,82 +138,123 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: slice, k: int, spare: int = 1
     return best, dist
 
 
-def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 8, leaf: int = 2048, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:
-    """``(node, rank, neighbor, dist)``: the k nearest other rows of every row, rank 1 the nearest.
-
-    Approximate: a neighbour is found if it shares a leaf, or a neighbouring one, with the row in at
-    least one tree; distances are exact. Equal distances rank by the smaller id. Ids must be unique and
-    ``pos_col`` must have ``dims`` finite elements (filter first). Tables of at most ``leaf`` rows give
-    the exact answer; rows without any other row give none; an empty table gives an empty result. Other
-    columns are ignored. Every row is indexed; one row of statistics reaches the driver.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(pos_col).cast("array<double>").alias("pos"))
-    norm = F.aggregate("pos", F.lit(0.0), lambda a, v: a + v * v)
-    stats = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("r")).first()
-    scale = float(stats["r"] or 1.0) or 1.0
-    forest = [HashTree(dims, t, scale, seed) for t in range(trees)]
-    per_tree = max(1, -(-stats["n"] // rows_per_task))
+def _look_up(rows: DataFrame, dims: int, k: int, forest: list[HashTree], per_tree: int, leaf: int, rows_per_task: int, radius: float) -> DataFrame:
+    """``(id, near, d2, settled)``: what each tree finds for the rows of ``rows(id, pos, ask)`` that ask."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
             for t, tree in enumerate(forest):
                 hi, lo = tree.strings(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hi), pa.array(lo), batch.column(0), batch.column(1)], names=["tree", "hi", "lo", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hi), pa.array(lo), *batch.columns], names=["tree", "hi", "lo", "id", "pos", "ask"])
 
-    arrays = rows.mapInArrow(hashed, "tree int, hi long, lo long, id long, pos array<double>")
+    arrays = rows.select("id", "pos", "ask").mapInArrow(hashed, "tree int, hi long, lo long, id long, pos array<double>, ask boolean")
     # A tree that one task can hold is not cut at all.
     key = ["tree"] if per_tree == 1 else ["tree", "hi", "lo", "id"]
-    arrays = arrays.repartitionByRange(trees * per_tree, *key).sortWithinPartitions("tree", "hi", "lo", "id")
+    arrays = arrays.repartitionByRange(len(forest) * per_tree, *key).sortWithinPartitions("tree", "hi", "lo", "id")
 
-    def search(table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tree, ids, x = table["tree"], table["id"], table["pos"]
+    def search(table: dict[str, np.ndarray], more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
+        tree, ids, x, ask = table["tree"], table["id"], table["pos"], table["ask"]
         for t in np.unique(tree):
             a, b = np.searchsorted(tree, [t, t + 1])
-            for lo, hi in runs(table["hi"][a:b], table["lo"][a:b], leaf):
+            for lo, hi, depth in runs(table["hi"][a:b], table["lo"][a:b], leaf):
+                # A run at the end of the stretch may go on in another: its cell is not all here.
+                whole = depth >= 0 and not (more_before and lo == 0 and a == 0) and not (more_after and hi + a == len(ids))
                 lo, hi = lo + a, hi + a
-                more = min(leaf // 2, max(0, leaf - (hi - lo)) // 2)
-                fro, to = max(a, lo - more), min(b, hi + more)
-                best, dist = nearest(x[fro:to], ids[fro:to], slice(lo - fro, hi - fro), k)
-                m = len(best)
+                asking = lo + np.flatnonzero(ask[lo:hi])
+                m = len(asking)
+                if not m:
+                    continue
+                spare = min(leaf // 2, max(0, leaf - (hi - lo)) // 2)
+                fro, to = max(a, lo - spare), min(b, hi + spare)
+                best, d2 = nearest(x[fro:to], ids[fro:to], asking - fro, k)
+                reach = np.minimum(np.sqrt(d2[:, -1]), radius)
+                settled = forest[t].inside(x[asking], depth, reach) if whole else np.zeros(m, bool)
                 ends = pa.array(np.arange(0, (m + 1) * k, k, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(ends, pa.array(best.ravel())), pa.ListArray.from_arrays(ends, pa.array(dist.ravel()))], names=["id", "near", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[asking]), pa.ListArray.from_arrays(ends, pa.array(best.ravel())), pa.ListArray.from_arrays(ends, pa.array(d2.ravel())), pa.array(settled)], names=["id", "near", "d2", "settled"])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        cut_before = per_tree > 1
 
-        def whole() -> dict[str, np.ndarray]:
+        def stretch() -> dict[str, np.ndarray]:
             return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             part = {c: batch.column(i).to_numpy() for i, c in enumerate(("tree", "hi", "lo", "id"))}
             part["pos"] = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, dims)
+            part["ask"] = batch.column(5).to_numpy(zero_copy_only=False)
             held.append(part)
             if sum(len(h["id"]) for h in held) >= 4 * rows_per_task:
-                yield from search(whole())
-                held = []
+                yield from search(stretch(), cut_before, True)
+                held, cut_before = [], True
         if held:
-            yield from search(whole())
+            yield from search(stretch(), cut_before, per_tree > 1)
 
-    found = arrays.mapInArrow(descend, "id long, near array<long>, d2 array<double>")
+    return arrays.mapInArrow(descend, "id long, near array<long>, d2 array<double>, settled boolean")
+
+
+def _merged(found: DataFrame, k: int, tasks: int) -> DataFrame:
+    """One row per id: the k best of all its lists, settled if any list is."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.repeat(b.column(0).to_numpy(), k), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()) for b in batches if b.num_rows]
+        parts = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), b.column(3).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if not parts:
             return
-        node, near, d2 = (np.concatenate(p) for p in zip(*parts, strict=True))
-        node, near, d2 = node[near >= 0], near[near >= 0], d2[near >= 0]
+        ids, near, d2, settled = (np.concatenate(p) for p in zip(*parts, strict=True))
+        names, inverse = np.unique(ids, return_inverse=True)
+        sure = np.bincount(inverse, weights=settled) > 0
+        node = np.repeat(inverse, k)
         order = np.lexsort((d2, near, node))
         node, near, d2 = node[order], near[order], d2[order]
-        fresh = np.append(True, (node[1:] != node[:-1]) | (near[1:] != near[:-1]))[: len(node)]
+        fresh = np.append(True, (node[1:] != node[:-1]) | (near[1:] != near[:-1])) & (near >= 0)
         node, near, d2 = node[fresh], near[fresh], d2[fresh]
         order = np.lexsort((near, d2, node))
         node, near, d2 = node[order], near[order], d2[order]
         new = np.append(True, node[1:] != node[:-1])[: len(node)]
-        rank = np.arange(len(node)) - np.maximum.accumulate(np.where(new, np.arange(len(node)), 0)) + 1
-        top = rank <= k
-        out = pa.table({"node": node[top], "rank": rank[top].astype(np.int32), "neighbor": near[top], "dist": np.sqrt(d2[top])})
-        yield from out.to_batches(max_chunksize=50_000)
+        rank = np.arange(len(node)) - np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))
+        best = np.full((len(names), k), -1, np.int64)
+        dist = np.full((len(names), k), np.inf)
+        top = rank < k
+        best[node[top], rank[top]], dist[node[top], rank[top]] = near[top], d2[top]
+        for lo in range(0, len(names), 50_000):
+            hi = min(len(names), lo + 50_000)
+            ends = pa.array(np.arange(0, (hi - lo + 1) * k, k, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[lo:hi].ravel())) for v in (best, dist)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *lists, pa.array(sure[lo:hi])], names=["id", "near", "d2", "settled"])
+
+    return found.repartition(tasks, "id").mapInArrow(merge, "id long, near array<long>, d2 array<double>, settled boolean")
+
+
+def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 8, leaf: int = 2048, radius: float | None = None, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:
+    """``(node, rank, neighbor, dist)``: the k nearest other rows of every row, rank 1 the nearest.
+
+    Exact for settled rows, approximate for the rest: a neighbour is found if it shares a run, or a
+    neighbouring one, with the row in at least one tree; distances are exact. With ``radius`` only
+    neighbours within it need be right: rows are settled as soon as no nearer one is that close. Equal
+    distances rank by the smaller id. Ids must be unique and ``pos_col`` must have ``dims`` finite elements
+    (filter first). Tables of at most ``leaf`` rows give the exact answer; rows without any other row give
+    none; an empty table gives an empty result. Other columns are ignored. Every row is indexed; one row of
+    statistics reaches the driver.
+    """
+    rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(pos_col).cast("array<double>").alias("pos")))
+    norm = F.aggregate("pos", F.lit(0.0), lambda a, v: a + v * v)
+    stats = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("r")).first()
+    scale = float(stats["r"] or 1.0) or 1.0
+    per_tree = max(1, -(-stats["n"] // rows_per_task))
+    tasks = max(partitions(df.sparkSession), trees * per_tree)
+    reach = float("inf") if radius is None else float(radius)
 
-    return found.repartition(max(partitions(spark), trees * per_tree), "id").mapInArrow(merge, "node long, rank int, neighbor long, dist double")
+    first = [HashTree(dims, t, scale, seed) for t in range(trees)]
+    found = cut(_merged(_look_up(rows.withColumn("ask", F.lit(True)), dims, k, first, per_tree, leaf, rows_per_task, reach), k, tasks))
+    hard = found.filter("not settled")
+    if stats["n"] > leaf and hard.limit(1).count():
+        more = [HashTree(dims, trees + t, scale, seed) for t in range(trees)]
+        asking = rows.join(hard.select("id", F.lit(True).alias("ask")), "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        again = _look_up(asking, dims, k, more, per_tree, 4 * leaf, rows_per_task, reach)
+        found = found.filter("settled").unionByName(_merged(again.unionByName(hard), k, tasks))
+    pair = F.posexplode(F.arrays_zip("near", "d2")).alias("i", "n")
+    out = found.select(F.col("id").alias("node"), pair).filter("n.near >= 0")
+    return out.select("node", (F.col("i") + 1).alias("rank"), F.col("n.near").alias("neighbor"), F.sqrt("n.d2").alias("dist"))

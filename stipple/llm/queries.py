@@ -49,7 +49,7 @@ def p2_knn(spark: SparkSession, at: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     """Each pair of nodes at most 10 apart of which one is among the other's 5 nearest."""
-    edges = knn_forest.knn_forest(usable_features(spark, at), "node_id", "pos", 20, k=5)
+    edges = knn_forest.knn_forest(usable_features(spark, at), "node_id", "pos", 20, k=5, radius=10.0)
     near = edges.filter(F.col("dist") <= 10.0)
     return near.select(F.least("node", "neighbor").alias("node_a"), F.greatest("node", "neighbor").alias("node_b")).distinct()
 
