@@ -29,6 +29,7 @@ from stipple.llm.common import cut, partitions
 
 _BITS = 18
 _TAKEN = 7
+_PAIRS = 1_000_000
 
 
 class HashTree:
@@ -105,37 +106,39 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, spare: in
     Missing neighbours have id -1. A matrix product ranks roughly; the best of it are measured exactly.
     """
     given, x = x, x - x.mean(0)
-    q = x[query]
-    n, m = len(x), len(q)
+    n, m = len(x), len(query)
     take = min(n, k + spare)
-    d = (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-    d[np.arange(m), query] = np.inf
-    near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), (m, n))
-    if take < n:
-        # Rows whose cut falls within rounding of the k-th distance are ranked over all rows.
-        got = np.sort(np.take_along_axis(d, near, 1), axis=1)
-        slack = 1e-9 * max(1.0, float((x * x).sum(1).max()))
-        close = np.flatnonzero(got[:, -1] - got[:, k - 1] <= slack)
-    else:
-        close = np.zeros(0, int)
-    # Measured on the given values, so that every tree finds the very same distance for a pair.
-    exact = ((given[query][:, None, :] - given[near]) ** 2).sum(2)
-    names = ids[near].copy()
-    own = near == query[:, None]
-    exact[own], names[own] = np.inf, np.iinfo(np.int64).max
-    order = np.lexsort((names, exact), axis=1)[:, :k]
-    best, dist = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
-    for i in close:
-        e = ((given[query[i]] - given) ** 2).sum(1)
-        e[query[i]] = np.inf
-        o = np.lexsort((ids, e))[:k]
-        best[i], dist[i] = ids[o], e[o]
-    best = np.where(np.isinf(dist), -1, best)
-    if best.shape[1] < k:
-        pad = k - best.shape[1]
-        best = np.pad(best, ((0, 0), (0, pad)), constant_values=-1)
-        dist = np.pad(dist, ((0, 0), (0, pad)), constant_values=np.inf)
-    return best, dist
+    norms = (x * x).sum(1)
+    slack = 1e-9 * max(1.0, float(norms.max()))
+    best, dist = np.full((m, k), -1, np.int64), np.full((m, k), np.inf)
+    step = max(32, _PAIRS // n)
+    for lo in range(0, m, step):
+        mine = query[lo : lo + step]
+        rows = np.arange(len(mine))
+        if take < n:
+            d = x[mine] @ (-2.0 * x.T)
+            d += norms
+            d[rows, mine] = np.inf
+            near = np.argpartition(d, take - 1, axis=1)[:, :take]
+            # Rows whose cut falls within rounding of the k-th distance are ranked over all rows.
+            got = np.sort(np.take_along_axis(d, near, 1), axis=1)
+            close = np.flatnonzero(got[:, -1] - got[:, k - 1] <= slack)
+        else:
+            near, close = np.broadcast_to(np.arange(n), (len(mine), n)), np.zeros(0, int)
+        # Measured on the given values, so that every tree finds the very same distance for a pair.
+        exact = ((given[mine][:, None, :] - given[near]) ** 2).sum(2)
+        names = ids[near].copy()
+        own = near == mine[:, None]
+        exact[own], names[own] = np.inf, np.iinfo(np.int64).max
+        order = np.lexsort((names, exact), axis=1)[:, :k]
+        w = order.shape[1]
+        best[lo + rows, :w], dist[lo + rows, :w] = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
+        for i in close:
+            e = ((given[mine[i]] - given) ** 2).sum(1)
+            e[mine[i]] = np.inf
+            o = np.lexsort((ids, e))[:k]
+            best[lo + i], dist[lo + i] = ids[o], e[o]
+    return np.where(np.isinf(dist), -1, best), dist
 
 
 def _look_up(rows: DataFrame, dims: int, k: int, forest: list[HashTree], per_tree: int, leaf: int, rows_per_task: int, radius: float) -> DataFrame:
