@@ -51,6 +51,7 @@ _DOTS = re.compile(rf"(?:[^\W\d_]{{1,2}}\.){{2,}}$")
 _CORE = re.compile(rf"^[^\w]*([^\W\d_]+)")
 _LASTWORD = re.compile(r"([^\s“„«‘\"'(\[「]+?)\.$")
 _NAME = re.compile(rf"[{_UP}][{_LOW}]{{0,6}}\.\s+([{_UP}][{_LOW}]+)")
+_LOW_RUN = re.compile(rf"[{_LOW}]{{4}}")
 _HYPHEN = "-‐‑¬=\xad⸗"
 _SPANS = {"cjk": [(0x3040, 0x30FF), (0x3400, 0x9FFF)], "thai": [(0x0E00, 0x0E7F)], "deva": [(0x0900, 0x097F)], "arab": [(0x0600, 0x06FF)]}
 _THAI = re.compile(r"[\u0e00-\u0e7f]")
@@ -164,6 +165,8 @@ def page_lines(text: str, boxes: np.ndarray | None) -> tuple[list[Line], bool]:
 
 
 def _capitals(s: str) -> bool:
+    if _LOW_RUN.search(s):
+        return False
     letters = [c for c in s if c.isalpha()]
     return len(letters) > 3 and sum(c.isupper() for c in letters) >= 0.9 * len(letters)
 
