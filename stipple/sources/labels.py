@@ -10,15 +10,21 @@ KITTI_CLASSES = [
     "car", "bicycle", "motorcycle", "truck", "other-vehicle", "person", "bicyclist", "motorcyclist", "road",
     "parking", "sidewalk", "other-ground", "building", "fence", "vegetation", "trunk", "terrain", "pole", "traffic-sign",
 ]
-KITTI_IDS_OF_CLASS = {
-    -1: [0, 1, 52, 99], 0: [10, 252], 1: [11], 2: [15], 3: [18, 258], 4: [13, 16, 20, 256, 257, 259], 5: [30, 254],
-    6: [31, 253], 7: [32, 255], 8: [40, 60], 9: [44], 10: [48], 11: [49], 12: [50], 13: [51], 14: [70], 15: [71],
-    16: [72], 17: [80], 18: [81],
+# Raw id to class; -1 is unlabelled.
+KITTI_LOOKUP = {
+    0: -1, 1: -1, 10: 0, 11: 1, 13: 4, 15: 2, 16: 4, 18: 3, 20: 4, 30: 5, 31: 6, 32: 7, 40: 8, 44: 9, 48: 10, 49: 11,
+    50: 12, 51: 13, 52: -1, 60: 8, 70: 14, 71: 15, 72: 16, 80: 17, 81: 18, 99: -1, 252: 0, 253: 6, 254: 5, 255: 7,
+    256: 4, 257: 4, 258: 3, 259: 4,
 }
-KITTI_ID_WRITTEN = {y: ids[0] for y, ids in KITTI_IDS_OF_CLASS.items() if y >= 0} | {4: 20, -1: -1}
-NUSCENES_IDS_OF_CLASS = {
-    -1: [0, 1, 5, 7, 8, 10, 11, 13, 19, 20, 29, 31], 0: [9], 1: [14], 2: [15, 16], 3: [17], 4: [18], 5: [21],
-    6: [2, 3, 4, 6], 7: [12], 8: [22], 9: [23], 10: [24], 11: [25], 12: [26], 13: [27], 14: [28], 15: [30],
+# Class to the raw id it is written as.
+KITTI_ID_WRITTEN = {
+    -1: -1, 0: 10, 1: 11, 2: 15, 3: 18, 4: 20, 5: 30, 6: 31, 7: 32, 8: 40, 9: 44, 10: 48, 11: 49, 12: 50, 13: 51,
+    14: 70, 15: 71, 16: 72, 17: 80, 18: 81,
+}
+NUSCENES_LOOKUP = {
+    0: -1, 1: -1, 2: 6, 3: 6, 4: 6, 5: -1, 6: 6, 7: -1, 8: -1, 9: 0, 10: -1, 11: -1, 12: 7, 13: -1, 14: 1, 15: 2,
+    16: 2, 17: 3, 18: 4, 19: -1, 20: -1, 21: 5, 22: 8, 23: 9, 24: 10, 25: 11, 26: 12, 27: 13, 28: 14, 29: -1, 30: 15,
+    31: -1,
 }
 ROOM_CLASSES = ["ceiling", "floor", "wall", "beam", "column", "window", "door", "chair", "table", "bookcase", "sofa", "board", "clutter"]
 ROOM_ALIASES = {"stairs": "clutter"}
@@ -47,14 +53,6 @@ def split_names(split: str, known: list[str]) -> list[str]:
     return [s for s in known if s in split]
 
 
-def _lookup(ids_of_class: dict[int, list[int]]) -> dict[int, int]:
-    return {i: y for y, ids in ids_of_class.items() for i in ids}
-
-
-KITTI_LOOKUP = _lookup(KITTI_IDS_OF_CLASS)
-NUSCENES_LOOKUP = _lookup(NUSCENES_IDS_OF_CLASS)
-
-
 def remap(label: Column, lookup: dict[int, int], mask: int | None = None, default: int = -1) -> Column:
     """The class of a raw label id: low bits under ``mask``, looked up; unknown ids and nulls give ``default``."""
     key = label.cast("long")
