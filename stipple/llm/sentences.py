@@ -161,6 +161,12 @@ def page_lines(text: str, boxes: np.ndarray | None) -> tuple[list[Line], bool]:
             lines += [Line(a, g.start(), box, 0), Line(g.end(), b, box, 1)]
         else:
             lines.append(Line(a, b, box, 0))
+    if split and known:
+        # What is left of the right-hand column alone stands far to the right: it goes on with that column.
+        left = min(v.x0 for v in lines)
+        for v in lines:
+            if not v.side and v.x0 - left > 100:
+                v.side, v.x0 = 1, left
     return lines, known
 
 
@@ -171,8 +177,12 @@ def _capitals(s: str) -> bool:
     return len(letters) > 3 and sum(c.isupper() for c in letters) >= 0.9 * len(letters)
 
 
-def streams(text: str, lines: list[Line], known: bool, right_to_left: bool, common: set[str]) -> list[tuple[str, list[Line]]]:
-    """The page's streams in reading order: headlines, articles and adverts, each a list of lines."""
+def streams(text: str, lines: list[Line], known: bool, common: set[str], right_to_left: bool = False) -> list[tuple[str, list[Line]]]:
+    """The page's streams in reading order: headlines, articles and adverts, each a list of lines.
+
+    Columns are read from the left whatever the script (so the pages at hand run on, Arabic ones too)
+    unless told otherwise.
+    """
     if not lines:
         return []
     if not known:
@@ -455,7 +465,7 @@ def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, l
     german = lang == "de"
     names = {w.lower() for w in _NAME.findall(text)} - common if script == "cased" else set()
     out: set[int] = set()
-    for kind, part in streams(text, lines, known, script == "arab", common):
+    for kind, part in streams(text, lines, known, common):
         if kind == "headline":
             s = text[part[0].begin : part[0].end]
             out.add(part[0].begin + len(s) - len(s.lstrip()))

@@ -172,3 +172,14 @@ def test_nulls_blanks_and_openers(spark):
 def test_word_counts_keep_frequent_words_only(spark):
     df = spark.createDataFrame([("a a a a b", "en")], "text string, lang string")
     assert {r["word"]: r["n"] for r in sentences.word_counts(df, "text", "lang", rarest=2).collect()} == {"a": 4}
+
+
+def test_columns_run_together_and_the_rest_of_the_right_one():
+    rows = [("The crew opened\tunder the fair.", 0, 0), ("near the\tThe harbour", 0, 40), ("sold.", 500, 80)]
+    text = "\n".join(r[0] for r in rows)
+    boxes = np.array([(x, y, x + 900, y + 30) for _, x, y in rows])
+    starts = sentences.unit_starts(text, "en", boxes, lexicon())
+    assert [text[s : s + 6] for s in starts] == ["The cr", "The ha"]
+    lines, known = sentences.page_lines(text, boxes)
+    order = [text[v.begin : v.end] for _, part in sentences.streams(text, lines, known, set()) for v in part]
+    assert order == ["The crew opened", "near the", "under the fair.", "The harbour", "sold."]
