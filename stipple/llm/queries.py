@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipple.llm import bpe, knn_forest, overlap, packing, quota, reach, sentences, split
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+def _plain(name: str) -> Column:
+    """A spelling in lower case without blanks of any kind."""
+    return F.lower(F.regexp_replace(name, r"[\s\u00a0]+", ""))
+
+
 # --- scans in pieces
 
 
@@ -78,7 +83,7 @@ def p5_clusters(spark: SparkSession, at: str) -> DataFrame:
 def training_labels(spark: SparkSession, at: str) -> DataFrame:
     """``(object_id, dataset, y)`` of the current ModelNet40 and ScanObjectNN records in train, however spelled."""
     rows = current_rows(_table(spark, at, "objects"), ["object_id"], ["dataset", "split", "y"])
-    return rows.filter(F.lower(F.trim("split")) == "train").filter(F.col("dataset").isin("ModelNet40", "ScanObjectNN")).select("object_id", "dataset", "y")
+    return rows.filter(_plain("split") == "train").filter(F.col("dataset").isin("ModelNet40", "ScanObjectNN")).select("object_id", "dataset", "y")
 
 
 def _quota(spark: SparkSession, at: str) -> quota.QuotaSample:
@@ -106,7 +111,7 @@ def p3_sample(spark: SparkSession, at: str) -> DataFrame:
 def shape_records(spark: SparkSession, at: str) -> DataFrame:
     """``(object_id, dataset, split, source, pos, train)`` of the current objects; the split in lower case without blanks."""
     rows = current_rows(_table(spark, at, "objects"), ["object_id"], ["dataset", "split", "source", "pos"])
-    return rows.withColumn("split", F.lower(F.trim("split"))).withColumn("train", F.coalesce(F.col("split") == "train", F.lit(False)))
+    return rows.withColumn("split", _plain("split")).withColumn("train", F.coalesce(F.col("split") == "train", F.lit(False)))
 
 
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
@@ -219,7 +224,7 @@ rows_now AS (
   FROM objects o JOIN latest l ON o.object_id = l.object_id AND o.received_at IS NOT DISTINCT FROM l.t GROUP BY o.object_id),
 eligible AS (
   SELECT r.dataset, r.y, count(*) AS n FROM rows_now r JOIN target_shares s ON r.dataset = s.dataset AND r.y = s.y
-  WHERE lower(trim(r.split)) = 'train' GROUP BY r.dataset, r.y),
+  WHERE lower(regexp_replace(r.split, '\\s+', '', 'g')) = 'train' GROUP BY r.dataset, r.y),
 sums AS (SELECT dataset, sum(n) AS total FROM eligible GROUP BY dataset),
 counted AS (
   SELECT s.dataset, s.y, coalesce(e.n, 0) AS eligible,
