@@ -8,10 +8,13 @@ most ``rarest`` entries, and is broadcast.
 The second reads each page. Line boxes give its columns, headline lines (taller) and advert lines
 (indented); without boxes the text alone does. Lines of one article, put in reading order, form a
 stream; headlines and adverts are streams of their own. In a stream every place where a unit may begin is
-decided by document-centred evidence with the corpus as fallback: a capitalised word that also occurs in
-lower case in the document (else: in the corpus) is an ordinary word and begins a unit, with or without
-a mark before it; one that does not is a name, which begins one only after a terminator; a word that
-occurs (nearly) always with a full stop is an abbreviation, whose stop is no terminator. Scripts without
+decided by document-centred evidence with the corpus as fallback: a capitalised word that the page has
+more often in lower case than capitalised within sentences is an ordinary word and begins a unit, with or
+without a mark before it; one that it has capitalised there is a name, which begins one only after a
+terminator; a word that it writes with a stop before commas and lower case, and never without, is an
+abbreviation, whose stop is no terminator, and one it writes mostly without is none. Where the page is
+silent or its evidence is even, the corpus decides: frequent words in lower case are ordinary, words
+(nearly) always with a full stop are abbreviations. Scripts without
 capitals use their own terminators, scripts without terminators their spaces.
 """
 
@@ -50,7 +53,7 @@ _ELLIPSIS = re.compile(r"(?:…|\.\s?\.\s?\.)$")
 _DOTS = re.compile(rf"(?:[^\W\d_]{{1,2}}\.){{2,}}$")
 _CORE = re.compile(rf"^[^\w]*([^\W\d_]+)")
 _LASTWORD = re.compile(r"([^\s“„«‘\"'(\[「]+?)\.$")
-_NAME = re.compile(rf"[{_UP}][{_LOW}]{{0,6}}\.\s+([{_UP}][{_LOW}]+)")
+_REPORTED = re.compile(rf"[{_CLOSE}]\s*[{_LOW}]+$")
 _LOW_RUN = re.compile(rf"[{_LOW}]{{4}}")
 _HYPHEN = "-‐‑¬=\xad⸗"
 _SPANS = {"cjk": [(0x3040, 0x30FF), (0x3400, 0x9FFF)], "thai": [(0x0E00, 0x0E7F)], "deva": [(0x0900, 0x097F)], "arab": [(0x0600, 0x06FF)]}
@@ -139,6 +142,69 @@ def word_counts(df: DataFrame, text_col: str, lang_col: str | None, rarest: int
     return words.crossJoin(F.broadcast(total)).filter(F.col("n") * rarest >= F.col("total")).drop("total")
 
 
+class Page:
+    """Evidence of one page about its own words; looked up where a word is in doubt, each word once."""
+
+    def __init__(self, text: str, german: bool = False):
+        self.text, self.german = text, german
+        self._words: dict[str, tuple[int, list[int]]] = {}
+        self._stops: dict[str, bool | None] = {}
+
+    def _places(self, word: str) -> Iterator[int]:
+        text, at, n = self.text, self.text.find(word), len(word)
+        while at >= 0:
+            if not (at and text[at - 1].isalnum()) and not text[at + n : at + n + 1].isalnum():
+                yield at
+            at = text.find(word, at + n)
+
+    def _inside(self, at: int, lexicon: Lexicon) -> bool:
+        """Whether what stands before a place shows it to be within a sentence: a word, a comma or an abbreviation."""
+        before = self.text[max(0, at - 24) : at]
+        bare = before.rstrip(" ")
+        if bare == before or not bare:
+            return False
+        if bare[-1] == ".":
+            title = bare[:-1].rsplit(None, 1)[-1] if len(bare) > 1 else ""
+            return bool(title) and title[0].isupper() and title.isalpha() and (len(title) == 1 or title.lower() in lexicon.abbreviation)
+        return bare[-1] == "," or bare[-1].islower()
+
+    def ordinary(self, word: str, at: int, lexicon: Lexicon) -> bool | None:
+        """Whether a capitalised word, in doubt at ``at``, is an ordinary word here; None if the page does not tell.
+
+        Lower case elsewhere speaks for it, capitals at other places within sentences against it.
+        """
+        if word not in self._words:
+            low = sum(1 for _ in self._places(word.lower()))
+            self._words[word] = (low, [p for p in self._places(word) if self._inside(p, lexicon)])
+        low, capitals = self._words[word]
+        others = sum(p != at for p in capitals)
+        if others > low:
+            return False
+        # One lower-case occurrence may be misread or a name's namesake: the page tells by more of them than of capitals.
+        return True if low >= 2 and low > (2 if self.german else 1) * len(capitals) else None
+
+    def abbreviation(self, word: str) -> bool | None:
+        """Whether the page writes a word with a stop that ends nothing; None if the page does not tell."""
+        if word not in self._stops:
+            plain = dotted = inner = 0
+            for at in self._places(word):
+                rest = self.text[at + len(word) : at + len(word) + 4]
+                if rest[:1] == ".":
+                    dotted += 1
+                    after = rest[1:].lstrip(" ")
+                    inner += after[:1] in (",", ";", ":") if after else False
+                    inner += rest[1:2] == " " and after[:1].islower()
+                elif rest[:1].isspace() or not rest:
+                    plain += 1
+            told = None
+            if plain >= 2 and plain >= dotted:
+                told = False
+            elif not plain and inner and (inner >= 2 or dotted >= 3):
+                told = True
+            self._stops[word] = told
+        return self._stops[word]
+
+
 class Line:
     __slots__ = ("begin", "end", "x0", "x1", "y0", "height", "side")
 
@@ -264,8 +330,8 @@ def _lift_adverts(text: str, lines: list[Line]) -> tuple[list[Line], list[list[L
     return kept, adverts
 
 
-def _abbreviated(tail: str, lexicon: Lexicon, text: str) -> bool:
-    """Whether the last word before the marks is an abbreviation with its stop."""
+def _abbreviated(tail: str, lexicon: Lexicon, page: Page) -> bool:
+    """Whether the last word before the marks is an abbreviation with its stop: by the page, else by the corpus."""
     m = _LASTWORD.search(tail)
     if not m:
         return False
@@ -281,14 +347,11 @@ def _abbreviated(tail: str, lexicon: Lexicon, text: str) -> bool:
         return False
     if len(word) == 1:
         return word.isalpha()
-    if word.lower() not in lexicon.abbreviation:
-        return False
-    # Written without its stop elsewhere on the page, at least as often as with it: an ordinary word here.
-    plain = text.count(f" {word} ") + text.count(f" {word}\n")
-    return plain < 2 or plain < text.count(f"{word}.")
+    told = page.abbreviation(word)
+    return word.lower() in lexicon.abbreviation if told is None else told
 
 
-def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexicon, names: set[str], german: bool, capitals: bool) -> list[int]:
+def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexicon, page: Page, german: bool, capitals: bool) -> list[int]:
     """Starts of the units of a stream in a script with capitals; its first character is one."""
     begin = lines[0].begin
     out = [begin + len(text[begin : lines[0].end]) - len(text[begin : lines[0].end].lstrip())]
@@ -322,13 +385,16 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
             digit = not word or not token[0].isalpha()
             lower = word.lower()
             initial = len(word) == 1 and part[m.end() : m.end() + 1] == "."
-            known = not initial and lower in common and lower not in names and not _DOTS.match(part[m.start(2) : m.start(2) + 12].split()[0])
-            if marks and not marks.strip(".") and len(marks) == 1 and _abbreviated(stem, lexicon, text):
-                dotted = True
-            else:
-                dotted = False
+            dotted = bool(marks) and not marks.strip(".") and len(marks) == 1 and _abbreviated(stem, lexicon, page)
             ellipsis = bool(marks) and bool(_ELLIPSIS.search(stem)) and not re.search(r"(?:…|\.\s?\.\s?\.)\s?\.$", stem)
-            if marks and not dotted and not ellipsis:
+            ends = bool(marks) and not dotted and not ellipsis
+            known = False
+            if not ends and not digit and not shouting and not initial and not _DOTS.match(part[m.start(2) : m.start(2) + 12].split()[0]):
+                told = page.ordinary(word, line.begin + m.start(2), lexicon)
+                # After an abbreviation's stop or a reporting verb a name is due, though it may have a namesake among the page's words.
+                due = told and (dotted or _REPORTED.search(prev))
+                known = lower in common if told is None or due else told
+            if ends:
                 ok = True
                 if digit and not opener and marks in (".", "·") and re.search(r"\d\.$", stem) and not re.search(r"\d[.,]\d+\.$", stem):
                     ok = False
@@ -374,7 +440,7 @@ def _joined(text: str, lines: list[Line], gap: str) -> tuple[str, np.ndarray, np
     return gap.join(parts), np.append(0, ends[:-1]), np.array([v.begin for v in lines])
 
 
-def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon) -> list[int]:
+def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon, page: Page) -> list[int]:
     """Starts of the units of a stream in a script without capitals."""
     s, at, origin = _joined(text, lines, "" if script == "cjk" else "\n")
     starts = [len(s) - len(s.lstrip())] if s.strip() else []
@@ -418,7 +484,7 @@ def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon)
                     continue
                 if "…" in marks:
                     continue
-                if len(marks) == 1 and _abbreviated(stem, lexicon, text):
+                if len(marks) == 1 and _abbreviated(stem, lexicon, page):
                     continue
                 if len(marks) == 1 and re.search(r"\s\.$", stem):
                     continue
@@ -463,7 +529,7 @@ def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, l
     lang = lexicon.language(label, words) if script == "cased" else label or ""
     common = lexicon.common.get(lang, set())
     german = lang == "de"
-    names = {w.lower() for w in _NAME.findall(text)} - common if script == "cased" else set()
+    page = Page(text, german)
     out: set[int] = set()
     for kind, part in streams(text, lines, known, common):
         if kind == "headline":
@@ -475,9 +541,9 @@ def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, l
             s = " ".join(text[v.begin : v.end] for v in part)
             own_script = _script(s)
         if own_script == "cased":
-            out.update(cased_starts(text, part, common, lexicon, names, german, kind == "advert" and _capitals(s)))
+            out.update(cased_starts(text, part, common, lexicon, page, german, kind == "advert" and _capitals(s)))
         else:
-            out.update(uncased_starts(text, part, own_script, lexicon))
+            out.update(uncased_starts(text, part, own_script, lexicon, page))
     return sorted(out)
 
 

@@ -183,3 +183,19 @@ def test_columns_run_together_and_the_rest_of_the_right_one():
     lines, known = sentences.page_lines(text, boxes)
     order = [text[v.begin : v.end] for _, part in sentences.streams(text, lines, known, set()) for v in part]
     assert order == ["The crew opened", "near the", "under the fair.", "The harbour", "sold."]
+
+
+@pytest.mark.parametrize(
+    "text,n",
+    [
+        # Lower case on the page makes a word ordinary that the corpus does not know.
+        ("The crew sold lanterns under lanterns near lanterns. A fair opened Lanterns sold.", 3),
+        # Capitals within sentences make a name of a word that the corpus knows as ordinary.
+        ("Wickbel met Harbour, and Harbour sold. A fair opened, Harbour near Harbour sold.", 2),
+        # Stops before a comma and lower case make an abbreviation, unless the word also stands without.
+        ("The crew sold qtys. to a fair, under qtys., near qtys. Wickbel opened.", 1),
+        ("The crew sold qtys to a fair, under qtys near qtys. Wickbel opened.", 2),
+    ],
+)
+def test_the_page_decides_before_the_corpus(text, n):
+    assert len(units(text)) == n, units(text)
