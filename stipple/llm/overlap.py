@@ -30,24 +30,30 @@ from stipple.llm.common import cut, partitions
 
 BIN = 0.045
 RANKS = 6
-KEEP = 3
+LEAST = 360
 PROBES = 2
 _DELIMITER = "\x01"
 _SYMBOLS = 9
 
 
 def tetrahedra(p: np.ndarray) -> np.ndarray:
-    """``(m, 4)`` rows of indices: each point, one of its farthest points, and two more far from all before."""
+    """``(m, 4)`` rows of indices: each point, one of its farthest points, and two more far from all before.
+
+    Shapes of few points take more of the farthest points, and more choices of the other two, so that they
+    too have ``LEAST`` rows and more.
+    """
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
     n = len(p)
     far = np.argsort(-d, axis=1)
+    depth = max(1, min(4, 64 // n))
     out = []
-    for r in range(min(RANKS, n - 1)):
+    for r in range(min(max(RANKS, -(-LEAST // n)), n - 1)):
         a = far[:, r]
         near = np.minimum(d, d[a])
-        b = near.argmax(1)
-        c = np.minimum(near, d[b]).argmax(1)
-        out.append(np.stack([np.arange(n), a, b, c], 1))
+        for b in np.argsort(-near, axis=1)[:, :depth].T if depth > 1 else [near.argmax(1)]:
+            last = np.minimum(near, d[b])
+            for c in np.argsort(-last, axis=1)[:, :depth].T if depth > 1 else [last.argmax(1)]:
+                out.append(np.stack([np.arange(n), a, b, c], 1))
     q = np.concatenate(out)
     s = np.sort(q, 1)
     return q[(s[:, 1:] != s[:, :-1]).all(1)]
@@ -79,10 +85,7 @@ def _hashes(symbols: np.ndarray) -> np.ndarray:
 
 
 def passages(p: np.ndarray, variants: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, hash and tetrahedron number of each passage, and the tetrahedra.
-
-    A passage is used if its hash is divisible by ``KEEP``, which thins both sides alike.
-    """
+    """Symbols, hash and tetrahedron number of each passage, and the tetrahedra."""
     q = tetrahedra(p)
     v, hand = quantities(p, q)
     t = v / BIN
@@ -102,9 +105,7 @@ def passages(p: np.ndarray, variants: bool) -> tuple[np.ndarray, np.ndarray, np.
             number.append(rows)
     number = np.concatenate(number)
     s = _symbols(np.concatenate(all_f), hand[number])
-    h = _hashes(s)
-    use = h % np.uint64(KEEP) == 0
-    return s[use], h[use], number[use], q
+    return s, _hashes(s), number, q
 
 
 def _turned(p: np.ndarray, up: int) -> np.ndarray:
@@ -204,7 +205,7 @@ def near_copies(records: DataFrame, id_col: str, pos_col: str, train_col: str, l
     members = cut(rows.join(named, "key").select("id", "train", "rep", "in_train", "in_eval"))
     reps = cut(rows.join(members.filter("id = rep").select("id", "in_train", "in_eval"), "id").select(F.col("id").alias("rep"), "in_train", "in_eval", "pts"))
     n_eval = reps.filter("in_eval").count()
-    shards = max(partitions(spark), -(-n_eval * 1000 // passages_per_shard))
+    shards = max(partitions(spark), -(-n_eval * 3000 // passages_per_shard))
 
     def texts(side: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,7 @@ def near_copies(records: DataFrame, id_col: str, pos_col: str, train_col: str, l
                     for up in (0, 1):
                         s, h, number, _ = passages(_turned(p, up), side == "eval")
                         s = np.concatenate([np.full((len(s), 1), ord(_DELIMITER), np.uint8), s], 1)
-                        to = ((h // np.uint64(KEEP)) % np.uint64(shards)).astype(np.int64)
+                        to = (h % np.uint64(shards)).astype(np.int64)
                         order = np.argsort(to, kind="stable")
                         cuts = np.flatnonzero(np.diff(to[order])) + 1
                         for part in np.split(order, cuts):

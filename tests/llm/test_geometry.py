@@ -139,6 +139,19 @@ def test_near_copies(spark):
     assert overlap.near_copies(df.filter("false"), "object_id", "pos", "train").count() == 0
 
 
+def test_near_copies_at_the_limits_of_noise_and_missing_points():
+    for n, least in ((12, 0.5), (20, 0.75), (48, 0.9)):
+        met = 0
+        for seed in range(30):
+            r = np.random.default_rng((n, seed))
+            p = r.uniform(-1, 1, (n, 3)) * r.uniform(0.3, 1, 3)
+            q = moved(p, seed, noise=0.02, drop=n // 5)
+            _, he, ne, _ = overlap.passages(q, True)
+            ht = overlap.passages(p, False)[1]
+            met += len(np.unique(ne[np.isin(he, ht)])) >= 3 and overlap.shared_share(q, p) >= 0.68
+        assert met >= least * 30, (n, met)
+
+
 def scans(seed, sizes, reach_=1.0):
     """Bodies along the x axis, far apart; returns positions."""
     r = np.random.default_rng(seed)
