@@ -13,7 +13,11 @@ all trees are merged, ranked by exact distance.
 
 A row is settled when the ball around it that holds its k candidates lies in the cell of its run in some
 tree: no nearer row can then be elsewhere. Rows that are not, as in a dense group that many runs cut,
-ascend further: they are looked up again in as many other trees, in runs four times as long.
+ascend further: they are looked up again in as many other trees, in runs four times as long. What is
+still not settled is ranked against all rows.
+
+Only distinct vectors are indexed; copies share the list of their vector, in which every vector stands
+for the smallest ids of its copies.
 """
 
 from __future__ import annotations
@@ -33,17 +37,20 @@ _PAIRS = 1_000_000
 
 
 class HashTree:
-    """One tree's hash: rotation, shift, ``_TAKEN`` coordinates of ``_BITS`` bits, interleaved into two words."""
+    """One tree's hash: rotation, shift, ``_TAKEN`` coordinates of ``_BITS`` bits, interleaved into two words.
+
+    Rows farther than ``scale`` from ``centre`` fall into the outermost cells, which have no outer border.
+    """
 
-    def __init__(self, dims: int, tree: int, scale: float, seed: int):
+    def __init__(self, dims: int, tree: int, scale: float, seed: int, centre: np.ndarray | float = 0.0):
         rng = np.random.default_rng((seed, tree))
         q, r = np.linalg.qr(rng.normal(size=(max(dims, _TAKEN), max(dims, _TAKEN))))
         self.turn = (q * np.sign(np.diag(r)))[:dims, :_TAKEN]
         self.shift = rng.uniform(0, 1, _TAKEN)
-        self.scale = scale
+        self.scale, self.centre = scale, centre
 
     def _quantised(self, x: np.ndarray) -> np.ndarray:
-        unit = np.clip((x @ self.turn / self.scale + 1.0 + self.shift) / 3.0, 0.0, 1.0 - 1e-9)
+        unit = np.clip(((x - self.centre) @ self.turn / self.scale + 1.0 + self.shift) / 3.0, 0.0, 1.0 - 1e-9)
         return unit * (1 << _BITS)
 
     def inside(self, x: np.ndarray, depth: int, radius: np.ndarray) -> np.ndarray:
@@ -231,33 +238,76 @@ def _merged(found: DataFrame, k: int, tasks: int) -> DataFrame:
     return found.repartition(tasks, "id").mapInArrow(merge, "id long, near array<long>, d2 array<double>, settled boolean")
 
 
+def _ranked(rows: DataFrame, hard: DataFrame, n: int, dims: int, k: int, rows_per_task: int, hard_per_task: int = 20_000) -> DataFrame:
+    """``(id, near, d2, settled)``: the rows of ``hard(id)`` ranked against blocks of all rows."""
+    blocks, parts = -(-n // rows_per_task), -(-hard.count() // hard_per_task)
+    block, part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts))
+    every = rows.select("id", "pos", block.alias("b")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    asking = rows.join(hard.select("id"), "id", "left_semi").select(F.col("id").alias("ask"), F.col("pos").alias("at"), part.alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+
+    def rank(asked: pa.Table, block: pa.Table) -> pa.Table:
+        ids, x = block["id"].to_numpy(), block["pos"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        mine, y = asked["ask"].to_numpy(), asked["at"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        other = ~np.isin(ids, mine)
+        ids, x = np.concatenate([mine, ids[other]]), np.concatenate([y, x[other]])
+        best, d2 = nearest(x, ids, np.arange(len(mine)), k) if len(mine) else (np.zeros((0, k), np.int64), np.zeros((0, k)))
+        ends = pa.array(np.arange(0, (len(mine) + 1) * k, k, dtype=np.int32))
+        return pa.table({"id": mine, "near": pa.ListArray.from_arrays(ends, pa.array(best.ravel())), "d2": pa.ListArray.from_arrays(ends, pa.array(d2.ravel())), "settled": pa.array(np.ones(len(mine), bool))})
+
+    return asking.groupBy("p", "b").cogroup(every.groupBy("p", "b")).applyInArrow(rank, "id long, near array<long>, d2 array<double>, settled boolean")
+
+
 def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 8, leaf: int = 2048, radius: float | None = None, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:
     """``(node, rank, neighbor, dist)``: the k nearest other rows of every row, rank 1 the nearest.
 
-    Exact for settled rows, approximate for the rest: a neighbour is found if it shares a run, or a
-    neighbouring one, with the row in at least one tree; distances are exact. With ``radius`` only
+    Exact: a row is settled by its cell in some tree or ranked against all rows. With ``radius`` only
     neighbours within it need be right: rows are settled as soon as no nearer one is that close. Equal
     distances rank by the smaller id. Ids must be unique and ``pos_col`` must have ``dims`` finite elements
-    (filter first). Tables of at most ``leaf`` rows give the exact answer; rows without any other row give
-    none; an empty table gives an empty result. Other columns are ignored. Every row is indexed; one row of
-    statistics reaches the driver.
+    (filter first). Rows without any other row give none; an empty table gives an empty result. Other
+    columns are ignored. Every distinct vector is indexed; one row of statistics reaches the driver.
     """
-    rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(pos_col).cast("array<double>").alias("pos")))
-    norm = F.aggregate("pos", F.lit(0.0), lambda a, v: a + v * v)
-    stats = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("r")).first()
-    scale = float(stats["r"] or 1.0) or 1.0
+    given = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(pos_col).cast("array<double>").alias("pos")))
+    # The k + 1 smallest ids of each vector, in two steps: one vector may have a large share of all rows.
+    some = given.groupBy("pos", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
+    whole = some.groupBy("pos").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    rows = cut(whole.select(F.col("ids")[0].alias("id"), "pos", "n", "ids"))
+    copied = rows.filter("n > 1").select("id", "pos", "ids")
+    rows = rows.select("id", "pos")
+    spread = F.percentile_approx
+    stats = rows.agg(F.count("*").alias("n"), *[spread(F.col("pos")[d], [0.01, 0.5, 0.99], 1000).alias(f"c{d}") for d in range(dims)]).first()
+    ranges = np.array([stats[f"c{d}"] or [0.0] * 3 for d in range(dims)])
+    centre, scale = ranges[:, 1], float(np.sqrt((np.maximum(ranges[:, 2] - ranges[:, 1], ranges[:, 1] - ranges[:, 0]) ** 2).sum())) or 1.0
     per_tree = max(1, -(-stats["n"] // rows_per_task))
     tasks = max(partitions(df.sparkSession), trees * per_tree)
     reach = float("inf") if radius is None else float(radius)
 
-    first = [HashTree(dims, t, scale, seed) for t in range(trees)]
+    first = [HashTree(dims, t, scale, seed, centre) for t in range(trees)]
     found = cut(_merged(_look_up(rows.withColumn("ask", F.lit(True)), dims, k, first, per_tree, leaf, rows_per_task, reach), k, tasks))
     hard = found.filter("not settled")
     if stats["n"] > leaf and hard.limit(1).count():
-        more = [HashTree(dims, trees + t, scale, seed) for t in range(trees)]
+        more = [HashTree(dims, trees + t, scale, seed, centre) for t in range(trees)]
         asking = rows.join(hard.select("id", F.lit(True).alias("ask")), "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        again = _look_up(asking, dims, k, more, per_tree, 4 * leaf, rows_per_task, reach)
-        found = found.filter("settled").unionByName(_merged(again.unionByName(hard), k, tasks))
+        again = cut(_merged(_look_up(asking, dims, k, more, per_tree, 4 * leaf, rows_per_task, reach).unionByName(hard), k, tasks))
+        found = found.filter("settled").unionByName(again.filter("settled"))
+        rest = again.filter("not settled")
+        if rest.limit(1).count():
+            found = found.unionByName(_merged(_ranked(rows, rest, stats["n"], dims, k, rows_per_task), k, tasks))
+    if copied.limit(1).count():
+        found = _with_copies(given, found, copied, k)
     pair = F.posexplode(F.arrays_zip("near", "d2")).alias("i", "n")
     out = found.select(F.col("id").alias("node"), pair).filter("n.near >= 0")
     return out.select("node", (F.col("i") + 1).alias("rank"), F.col("n.near").alias("neighbor"), F.sqrt("n.d2").alias("dist"))
+
+
+def _with_copies(given: DataFrame, found: DataFrame, copied: DataFrame, k: int) -> DataFrame:
+    """``(id, near, d2)`` of all rows from that of the distinct vectors; ``copied(id, pos, ids)`` has the smallest ids of those with copies."""
+    ids = copied.select(F.col("id").alias("v"), "ids")
+    flat = found.select("id", F.posexplode(F.arrays_zip("near", "d2")).alias("i", "n")).select("id", F.col("n.near").alias("v"), F.col("n.d2").alias("d2")).filter("v >= 0")
+    flat = flat.unionByName(ids.select(F.col("v").alias("id"), "v", F.lit(0.0).alias("d2")))
+    flat = flat.join(ids, "v", "left").select("id", "d2", F.explode(F.coalesce("ids", F.array("v"))).alias("near"))
+    best = flat.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "near"))), 1, k + 1).alias("best"))
+    members = given.join(copied.select(F.col("id").alias("v"), "pos"), "pos").select("id", "v")
+    alone = best.join(ids.select(F.col("v").alias("id")), "id", "left_anti")
+    shared = members.join(best.withColumnRenamed("id", "v"), "v").select("id", "best")
+    best = alone.unionByName(shared).withColumn("best", F.slice(F.filter("best", lambda b: b["near"] != F.col("id")), 1, k))
+    return best.select("id", F.col("best.near").alias("near"), F.col("best.d2").alias("d2"))

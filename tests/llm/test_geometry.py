@@ -84,6 +84,18 @@ def test_knn_forest_edges(spark):
     assert {(r["node"], r["rank"]): r["neighbor"] for r in many}[(9, 3)] == 2
 
 
+def test_knn_forest_copies_and_a_far_row(spark):
+    r = np.random.default_rng(11)
+    x = np.concatenate([np.full((400, 4), 2.5), r.normal(0, 1, (500, 4)), [[1e9, 0, 0, 0]]])[r.permutation(901)]
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :3]
+    got = np.full((len(x), 3), -1)
+    for e in knn_forest.knn_forest(frame(spark, x, 0), "node_id", "pos", 4, 3, trees=2, leaf=16).collect():
+        got[e["node"], e["rank"] - 1] = e["neighbor"]
+    assert (got == want).all()
+
+
 def test_repaired_counts_are_optimal():
     r = np.random.default_rng(5)
     for seed in range(30):
