@@ -72,9 +72,15 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, at: str) -> DataFrame:
-    """``(anchor_id, size, typical)``: each group with its size and most typical nodes."""
+    """``(anchor_id, size, typical)``: each group, lone nodes among them, with its size and most typical nodes."""
     nodes, groups = _feature_groups(spark, at)
-    return reach.describe_groups(nodes, groups, "node_id", "pos", 20, cell=10.0)
+    return reach.describe_groups(nodes, groups, "node_id", "pos", 20, cell=10.0, least=1)
+
+
+def p5_members(spark: SparkSession, at: str) -> DataFrame:
+    """``(node_id, anchor_id)``: every usable node with the smallest node of its group, which may be itself."""
+    _, groups = _feature_groups(spark, at)
+    return groups.select(F.col("id").alias("node_id"), F.col("label").alias("anchor_id"))
 
 
 # --- samples of objects
@@ -161,7 +167,7 @@ def p8_units(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_found, p5_clusters, p6_ids, p7_packed, p8_found, p8_units)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_found, p5_clusters, p5_members, p6_ids, p7_packed, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:

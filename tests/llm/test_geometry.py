@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stipple.llm import knn_forest, overlap, quota, reach, split
+from stipple.llm import knn_forest, overlap, queries, quota, reach, split
 
 
 def linkage(x, r):
@@ -57,6 +57,16 @@ def test_describe_groups(spark):
     assert [tuple(r) for r in d] == [(100, 11, [100, 101, 102])]
 
 
+def test_clusters_and_members_hold_every_usable_node(spark, tmp_path):
+    x = np.concatenate([np.zeros((12, 20)), np.full((3, 20), 50.0), np.full((1, 20), 500.0)])
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
+    f = spark.createDataFrame(rows, "node_id long, pos array<float>").withColumn("received_at", F.timestamp_seconds(F.lit(1)))
+    f.write.parquet(f"{tmp_path}/feature_nodes.parquet")
+    got = sorted((r["anchor_id"], r["size"]) for r in queries.p5_clusters(spark, str(tmp_path)).collect())
+    assert got == [(0, 12), (12, 3), (15, 1)]
+    assert sorted(tuple(r) for r in queries.p5_members(spark, str(tmp_path)).collect()) == [(i, 0 if i < 12 else min(i, 12) if i < 15 else 15) for i in range(16)]
+
+
 def test_knn_forest_is_exact_when_small_and_close_when_large(spark):
     x = blobs(4, 900, 8, 1.0, 12)
     x[5] = x[4]
