@@ -9,8 +9,9 @@ larger than a piece) it stays at the landmark, else at the maximum. Cuts depend
 only, so an edit alters the pieces around it and the sequence falls back into step after it.
 
 Whole sets are worked on in one task, many at a time, up to ``rows_per_set`` delivered rows. Larger
-sets are grouped by the distributed grid clustering, put in sequence by a range partitioning and cut
-stretch by stretch; there a stretch's end is a cut as well.
+sets are grouped by the distributed grid clustering, put in sequence by a range partitioning and
+numbered; only the places of their landmarks and bodies' borders meet in one task, which finds the same
+cuts as for a whole set.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.llm.common import current_rows, cut, finite, partitions
@@ -29,6 +30,7 @@ from stipple.llm.reach import reach_groups
 OUT = "cloud_id long, piece long, seq int, node_id long, body long, body_size long, shared boolean"
 _HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
 _WINDOW = 16
+_EVERY = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -118,10 +120,12 @@ def landmarks(group_start: np.ndarray, x: np.ndarray, grain: np.ndarray, every:
 
 def cuts(body: np.ndarray, marks: np.ndarray, capacity: int, overlap: int) -> list[int]:
     """Ends of the pieces of one sequence; a piece also holds the ``overlap`` rows before it."""
-    n = len(body)
+    return _cuts(len(body), np.append(np.flatnonzero(body[1:] != body[:-1]) + 1, len(body)), np.flatnonzero(marks) + 1, capacity, overlap)
+
+
+def _cuts(n: int, edge: np.ndarray, mark: np.ndarray, capacity: int, overlap: int) -> list[int]:
+    """The same from the ends of the bodies and the places after landmarks."""
     overlap = min(overlap, capacity - 1)
-    edge = np.append(np.flatnonzero(body[1:] != body[:-1]) + 1, n)
-    mark = np.flatnonzero(marks) + 1
     out, s = [], 0
     while True:
         most = s + capacity - (overlap if s else 0)
@@ -141,23 +145,21 @@ def cuts(body: np.ndarray, marks: np.ndarray, capacity: int, overlap: int) -> li
         s = c
 
 
-def _pieces(cloud: np.ndarray, node: np.ndarray, body: np.ndarray, size: np.ndarray, x: np.ndarray, capacity: np.ndarray, overlap: np.ndarray, reach: np.ndarray, lead: np.ndarray, stretch: np.ndarray) -> pa.Table:
-    """Piece rows of sequences given one after another; ``lead`` marks rows that only lead in (overlap of a stretch)."""
+def _pieces(cloud: np.ndarray, node: np.ndarray, body: np.ndarray, size: np.ndarray, x: np.ndarray, capacity: np.ndarray, overlap: np.ndarray, reach: np.ndarray) -> pa.Table:
+    """Piece rows of sequences given one after another."""
     n = len(cloud)
-    starts = np.flatnonzero(np.append(True, (cloud[1:] != cloud[:-1]) | (stretch[1:] != stretch[:-1])))[: n or 0]
+    starts = np.flatnonzero(np.append(True, cloud[1:] != cloud[:-1]))[: n or 0]
     ends = np.append(starts[1:], n)[: len(starts)]
-    marks = landmarks(np.repeat(starts, ends - starts), x, reach / 4.0, 64)
+    marks = landmarks(np.repeat(starts, ends - starts), x, reach / 4.0, _EVERY)
     index, piece, seq, shared = [], [], [], []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        over, before = int(overlap[a]), int(lead[a:b].sum())
-        fro = a + before
-        room = int(capacity[a])
-        s = fro
-        for p, c in enumerate(cuts(body[fro:b], marks[fro:b], room - before, over) if before else cuts(body[a:b], marks[a:b], room, over)):
-            c += fro
-            head = max(a, s - min(over, room - 1)) if s > a else s
+        over, room = int(overlap[a]), int(capacity[a])
+        s = a
+        for p, c in enumerate(cuts(body[a:b], marks[a:b], room, over)):
+            c += a
+            head = max(a, s - min(over, room - 1))
             index.append(np.arange(head, c))
-            piece.append(np.full(c - head, (int(stretch[a]) << 32) + p))
+            piece.append(np.full(c - head, p))
             seq.append(np.arange(c - head))
             shared.append(np.arange(head, c) < s)
             s = c
@@ -192,13 +194,12 @@ def _split_sets(cols: list[np.ndarray], x: np.ndarray, usable: np.ndarray) -> pa
     _, inverse, counts = np.unique(c, return_inverse=True, return_counts=True)
     order = order[counts[inverse] > capacity[order]]
     if not len(order):
-        return _pieces(*(np.zeros(0, np.int64),) * 4, np.zeros((0, 3)), *(np.zeros(0, np.int64),) * 5)
+        return _pieces(*(np.zeros(0, np.int64),) * 4, np.zeros((0, 3)), *(np.zeros(0, np.int64),) * 3)
     cloud, node, capacity, overlap, reach, x = (v[order] for v in (cloud, node, capacity, overlap, reach, x))
     label = bodies(cloud, x, reach)
     size = np.bincount(label, minlength=len(label))[label]
     seq = np.argsort(label, kind="stable")
-    zero = np.zeros(len(seq), np.int64)
-    return _pieces(cloud[seq], node[seq], node[label[seq]], size[seq], x[seq], capacity[seq], overlap[seq], reach[seq], zero.astype(bool), zero)
+    return _pieces(cloud[seq], node[seq], node[label[seq]], size[seq], x[seq], capacity[seq], overlap[seq], reach[seq])
 
 
 def split_oversized(points: DataFrame, limits: DataFrame, rows_per_set: int = 200_000, rows_per_task: int = 200_000) -> DataFrame:
@@ -279,15 +280,40 @@ def _split_giant(points: DataFrame, limits: DataFrame, rows_per_task: int) -> Da
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     placed = cut(rows.mapInArrow(number, f"{kinds}, part long, i long"))
-    tails = placed.groupBy("cloud_id", "part").agg(F.max("i").alias("end"))
-    tail = placed.join(tails, ["cloud_id", "part"]).filter(F.col("i") > F.col("end") - F.col("overlap")).drop("end").withColumn("part", F.col("part") + 1)
-    tail = tail.join(tails.select("cloud_id", "part"), ["cloud_id", "part"], "left_semi").withColumn("lead", F.lit(True))
-
-    def chunk(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("lead", "descending"), ("i", "ascending")])
+    # Each row's place g in its set: the rows of the set in earlier parts, and those before it in its own.
+    spans = placed.groupBy("cloud_id", "part").agg(F.min("i").alias("first"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("cloud_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = cut(spans.withColumn("start", before))
+    placed = cut(placed.join(F.broadcast(spans.drop("rows")), ["cloud_id", "part"]).withColumn("g", F.col("start") + F.col("i") - F.col("first")).drop("i", "first", "start"))
+
+    # A part also sees the window before it.
+    later = spans.select(F.col("cloud_id").alias("c"), F.col("part").alias("into"), "start")
+    lead = placed.join(F.broadcast(later), (F.col("cloud_id") == F.col("c")) & (F.col("g") < F.col("start")) & (F.col("g") >= F.col("start") - _WINDOW))
+    lead = lead.select("cloud_id", F.col("into").alias("part"), "g", "label", "pos", "reach", "capacity", "overlap", F.lit(True).alias("lead"))
+    seen = placed.select("cloud_id", "part", "g", "label", "pos", "reach", "capacity", "overlap", F.lit(False).alias("lead")).unionByName(lead)
+
+    def places(t: pa.Table) -> pa.Table:
+        t = t.sort_by("g")
         x, _ = _positions(t["pos"].combine_chunks())
-        cols = [t[c].to_numpy() for c in ("cloud_id", "id", "label", "size")]
-        rest = [t[c].to_numpy() for c in ("capacity", "overlap", "reach")]
-        return _pieces(*cols, x, *rest, t["lead"].to_numpy(), t["part"].to_numpy())
-
-    return placed.withColumn("lead", F.lit(False)).unionByName(tail).groupBy("cloud_id", "part").applyInArrow(chunk, OUT)
+        g, label, led = t["g"].to_numpy(), t["label"].to_numpy(), t["lead"].to_numpy()
+        mark = landmarks(np.zeros(len(g), np.int64), x, t["reach"].to_numpy() / 4.0, _EVERY)
+        edge = np.append(False, label[1:] != label[:-1])
+        mark, edge = g[mark & ~led] + 1, g[edge & ~led]
+        n = len(mark) + len(edge)
+        return pa.table({"cloud_id": pa.array(np.full(n, t["cloud_id"][0].as_py())), "at": np.concatenate([mark, edge]), "mark": np.arange(n) < len(mark)})
+
+    def found(t: pa.Table) -> pa.Table:
+        n, room, over = (t[c].drop_null()[0].as_py() for c in ("n", "capacity", "overlap"))
+        at, mark = (t[c].drop_null().to_numpy() for c in ("at", "mark"))
+        ends = np.array(_cuts(n, np.append(np.sort(at[~mark]), n), np.sort(at[mark]), room, over), np.int64)
+        begins = np.append(0, ends[:-1])
+        heads = np.maximum(0, begins - min(over, room - 1))
+        return pa.table({"cloud_id": pa.array(np.full(len(ends), t["cloud_id"][0].as_py())), "piece": np.arange(len(ends)), "head": heads, "begin": begins, "end": ends})
+
+    sparse = seen.groupBy("cloud_id", "part").applyInArrow(places, "cloud_id long, at long, mark boolean")
+    whole = counts.select("cloud_id", F.col("count").alias("n"), "capacity", "overlap")
+    known = sparse.unionByName(whole, allowMissingColumns=True).groupBy("cloud_id").applyInArrow(found, "cloud_id long, piece long, head long, begin long, end long")
+    # A piece is no longer than the capacity, so it lies in two stretches of that length at most.
+    known = known.join(whole.select("cloud_id", "capacity"), "cloud_id").withColumn("b", F.explode(F.sequence(F.floor(F.col("head") / F.col("capacity")), F.floor((F.col("end") - 1) / F.col("capacity"))))).drop("capacity")
+    out = placed.withColumn("b", F.floor(F.col("g") / F.col("capacity"))).join(known, ["cloud_id", "b"]).filter("g >= head and g < end")
+    return out.select("cloud_id", "piece", (F.col("g") - F.col("head")).cast("int").alias("seq"), F.col("id").alias("node_id"), F.col("label").alias("body"), F.col("size").alias("body_size"), (F.col("g") < F.col("begin")).alias("shared"))

@@ -219,6 +219,13 @@ def test_split(spark, rows_per_set):
     check_pieces(got, clouds, limits)
 
 
+def test_split_is_the_same_for_sets_of_any_size(spark):
+    clouds = {1: scans(1, [40, 70, 25, 15, 200]), 3: scans(3, [150])}
+    points, lim = split_frames(spark, clouds, {1: (80, 7, 1.0), 3: (60, 5, 1.0)})
+    whole, parts = (sorted(map(tuple, split.split_oversized(points, lim, rows_per_set=n, rows_per_task=60).collect())) for n in (10**6, 100))
+    assert whole == parts
+
+
 def test_cuts_prefer_bodies_and_are_local():
     body = np.repeat(np.arange(20), 30)
     none = np.zeros(len(body), bool)
