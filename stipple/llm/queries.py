@@ -159,11 +159,8 @@ def p8_found(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p8_units(spark: SparkSession, at: str) -> DataFrame:
-    """``(doc_id, unit, start_char, lead)``: every unit with the text of its first line."""
-    pages = _table(spark, at, "documents")
-    units = sentences.sentence_units(pages)
-    lead = F.regexp_extract(F.substring(F.col("text"), F.col("start_char").cast("int") + 1, F.lit(200)), r"^[^\r\n]*", 0)
-    return units.join(pages.select("doc_id", "text"), "doc_id").select("doc_id", "unit", "start_char", lead.alias("lead"))
+    """``(doc_id, unit, start_char, end_char, spans, text)``: every unit with its end, spans and whole text."""
+    return sentences.sentence_units(_table(spark, at, "documents"), whole=True)
 
 
 def queries() -> dict:

@@ -516,8 +516,8 @@ def _script(text: str) -> str:
     return "cased"
 
 
-def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, lexicon: Lexicon) -> list[int]:
-    """Offsets of the first characters of a page's units, in order. Null and blank texts have none.
+def _stream_starts(text: str | None, label: str | None, boxes: np.ndarray | None, lexicon: Lexicon) -> list[tuple[list[Line], list[int]]]:
+    """A page's streams, each with the offsets of the first characters of its units. Null and blank texts have none.
 
     ``boxes`` has a row (x0, y0, x1, y1) for each line that is not blank, or is None.
     """
@@ -530,26 +530,53 @@ def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, l
     common = lexicon.common.get(lang, set())
     german = lang == "de"
     page = Page(text, german)
-    out: set[int] = set()
+    out: list[tuple[list[Line], list[int]]] = []
     for kind, part in streams(text, lines, known, common):
         if kind == "headline":
             s = text[part[0].begin : part[0].end]
-            out.add(part[0].begin + len(s) - len(s.lstrip()))
+            out.append((part, [part[0].begin + len(s) - len(s.lstrip())]))
             continue
         own_script = script
         if kind == "advert":
             s = " ".join(text[v.begin : v.end] for v in part)
             own_script = _script(s)
         if own_script == "cased":
-            out.update(cased_starts(text, part, common, lexicon, page, german, kind == "advert" and _capitals(s)))
+            out.append((part, cased_starts(text, part, common, lexicon, page, german, kind == "advert" and _capitals(s))))
         else:
-            out.update(uncased_starts(text, part, own_script, lexicon, page))
-    return sorted(out)
+            out.append((part, uncased_starts(text, part, own_script, lexicon, page)))
+    return out
+
+
+def unit_starts(text: str | None, label: str | None, boxes: np.ndarray | None, lexicon: Lexicon) -> list[int]:
+    """Offsets of the first characters of a page's units, in order."""
+    return sorted({s for _, starts in _stream_starts(text, label, boxes, lexicon) for s in starts})
+
+
+def unit_spans(text: str | None, label: str | None, boxes: np.ndarray | None, lexicon: Lexicon) -> list[list[tuple[int, int]]]:
+    """The spans of a page's units in the order of their starts; a unit that nothing interrupts has one."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for lines, starts in _stream_starts(text, label, boxes, lexicon):
+        unit = None
+        for line in lines:
+            inside = sorted({s for s in starts if line.begin <= s < line.end})
+            for a, b in zip([line.begin, *inside], [*inside, line.end], strict=True):
+                unit = out.setdefault(a, []) if a in inside else unit
+                part = text[a:b]
+                if unit is None or not part.strip():
+                    continue
+                a, b = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+                if unit and unit[-1][1] <= a and not text[unit[-1][1] : a].strip():
+                    a = unit.pop()[0]
+                unit.append((a, b))
+    return [out[s] or [(s, s)] for s in sorted(out)]
 
 
-def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", boxes_col: str | None = "line_boxes", rarest: int = 100_000) -> DataFrame:
+def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", boxes_col: str | None = "line_boxes", rarest: int = 100_000, whole: bool = False) -> DataFrame:
     """``(id, unit, start_char)``: one row per unit, ``unit`` counting them in the order of their starts.
 
+    With ``whole`` also ``end_char`` (after its last character), ``spans`` (several where an advert or a
+    column interrupts it) and ``text``, the whole text of the spans, with a line feed between two.
+
     ``start_char`` is the 0-based code-point offset of the unit's first character, marks that open it
     included. Null, empty and blank texts give no rows. The language label is only a hint; boxes that are
     null or do not match the lines are not used. Texts of any length are read whole; repeated ids give
@@ -570,12 +597,26 @@ def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             offsets = corners[0].offsets.to_numpy()
             valid = corners[0].is_valid().to_numpy(zero_copy_only=False)
             flat = np.stack([c.values.fill_null(0).to_numpy(zero_copy_only=False) for c in corners], 1) if len(corners[0].values) else np.zeros((0, 4), int)
-            who, unit, start = [], [], []
+            who, unit, start, spans = [], [], [], []
+            end, full = [], []
             for i, (text, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = unit_starts(text, label, flat[offsets[i] : offsets[i + 1]] if valid[i] else None, lexicon)
+                box = flat[offsets[i] : offsets[i + 1]] if valid[i] else None
+                if whole:
+                    own = unit_spans(text, label, box, lexicon)
+                    found = [u[0][0] for u in own]
+                    spans += [[{"begin": a, "end": b} for a, b in u] for u in own]
+                    end += [u[-1][1] for u in own]
+                    full += ["\n".join(text[a:b] for a, b in u) for u in own]
+                else:
+                    found = unit_starts(text, label, box, lexicon)
                 who += [ids[i]] * len(found)
                 unit += range(len(found))
                 start += found
-            yield pa.RecordBatch.from_arrays([pa.array(who, batch.column(0).type), pa.array(unit, pa.int32()), pa.array(start, pa.int64())], names=["id", "unit", "start_char"])
-
-    return pages.mapInArrow(run, f"id {kind}, unit int, start_char long").withColumnRenamed("id", id_col)
+            cols = {"id": pa.array(who, batch.column(0).type), "unit": pa.array(unit, pa.int32()), "start_char": pa.array(start, pa.int64())}
+            if whole:
+                span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+                cols |= {"end_char": pa.array(end, pa.int64()), "spans": pa.array(spans, pa.list_(span)), "text": pa.array(full, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    more = ", end_char long, spans array<struct<begin: long, end: long>>, text string" if whole else ""
+    return pages.mapInArrow(run, f"id {kind}, unit int, start_char long{more}").withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stipple.llm import bpe, packing, sentences
+from stipple.llm import bpe, packing, queries, sentences
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -199,3 +199,16 @@ def test_columns_run_together_and_the_rest_of_the_right_one():
 )
 def test_the_page_decides_before_the_corpus(text, n):
     assert len(units(text)) == n, units(text)
+
+
+def test_units_with_their_whole_text(spark, tmp_path):
+    long = "The crew opened " + "near the fair " * 40 + "sold."
+    lines = [("A fair sold. The crew", 0, 0), ("***THE FAIR SOLD", 22, 40), ("opened near the fair.", 0, 80)]
+    text = "\n".join(v[0] for v in lines)
+    boxes = [(x, y, x + 400, y + 30, 0.5) for _, x, y in lines]
+    kind = "doc_id long, text string, lang string, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
+    spark.createDataFrame([(1, long + " A fair sold.", "en", None), (2, text, "en", boxes), (3, None, "en", None)], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["unit"]): r for r in queries.p8_units(spark, str(tmp_path)).collect()}
+    assert got[1, 0]["text"] == long and got[1, 0]["end_char"] == len(long) and got[1, 1]["text"] == "A fair sold."
+    assert [got[2, u]["text"] for u in range(3)] == ["A fair sold.", "The crew\nopened near the fair.", "***THE FAIR SOLD"]
+    assert len(got[2, 1]["spans"]) == 2 and all(r["spans"][0]["begin"] == r["start_char"] for r in got.values())
