@@ -242,9 +242,9 @@ def split_oversized(points: DataFrame, limits: DataFrame, rows_per_set: int = 20
                 continue
             held.append(batch)
             rows += batch.num_rows
-            clouds = batch.column(0).to_numpy()
-            if rows >= rows_per_task and (clouds[0] != clouds[-1] or batch.num_rows == 1):
-                end = int(np.searchsorted(clouds, clouds[-1]))
+            sets = batch.column(0).to_numpy()
+            if rows >= rows_per_task and (sets[0] != sets[-1] or batch.num_rows == 1):
+                end = int(np.searchsorted(sets, sets[-1]))
                 yield from work([*held[:-1], batch.slice(0, end)])
                 held, rows = [batch.slice(end)], batch.num_rows - end
         if held:

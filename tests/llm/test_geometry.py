@@ -180,14 +180,14 @@ def scans(seed, sizes, reach_=1.0):
     return np.concatenate([np.cumsum(r.uniform(-0.3, 0.3, (n, 3)), 0) * 0.3 + [i * 40.0, 0, 0] for i, n in enumerate(sizes)])
 
 
-def split_frames(spark, clouds, limits):
-    rows = [(c, i, [float(v) for v in p], 10) for c, x in clouds.items() for i, p in enumerate(x)]
+def split_frames(spark, sets, limits):
+    rows = [(c, i, [float(v) for v in p], 10) for c, x in sets.items() for i, p in enumerate(x)]
     points = spark.createDataFrame(rows, "cloud_id long, node_id long, pos array<double>, t int").withColumn("received_at", F.timestamp_seconds("t")).drop("t")
     return points, spark.createDataFrame([(c, *v) for c, v in limits.items()], "cloud_id long, capacity long, overlap long, reach double")
 
 
-def check_pieces(got, clouds, limits):
-    for c, x in clouds.items():
+def check_pieces(got, sets, limits):
+    for c, x in sets.items():
         cap, over, r = limits[c]
         mine = [v for v in got if v["cloud_id"] == c]
         if len(x) <= cap:
@@ -212,16 +212,16 @@ def check_pieces(got, clouds, limits):
 
 @pytest.mark.parametrize("rows_per_set", [10**6, 100])
 def test_split(spark, rows_per_set):
-    clouds = {1: scans(1, [40, 70, 25, 15, 200]), 2: scans(2, [30, 20]), 3: scans(3, [150])}
+    sets = {1: scans(1, [40, 70, 25, 15, 200]), 2: scans(2, [30, 20]), 3: scans(3, [150])}
     limits = {1: (80, 7, 1.0), 2: (80, 7, 1.0), 3: (60, 5, 1.0)}
-    points, lim = split_frames(spark, clouds, limits)
+    points, lim = split_frames(spark, sets, limits)
     got = split.split_oversized(points, lim, rows_per_set=rows_per_set, rows_per_task=1000).collect()
-    check_pieces(got, clouds, limits)
+    check_pieces(got, sets, limits)
 
 
 def test_split_is_the_same_for_sets_of_any_size(spark):
-    clouds = {1: scans(1, [40, 70, 25, 15, 200]), 3: scans(3, [150])}
-    points, lim = split_frames(spark, clouds, {1: (80, 7, 1.0), 3: (60, 5, 1.0)})
+    sets = {1: scans(1, [40, 70, 25, 15, 200]), 3: scans(3, [150])}
+    points, lim = split_frames(spark, sets, {1: (80, 7, 1.0), 3: (60, 5, 1.0)})
     whole, parts = (sorted(map(tuple, split.split_oversized(points, lim, rows_per_set=n, rows_per_task=60).collect())) for n in (10**6, 100))
     assert whole == parts
 
