@@ -174,7 +174,7 @@ def random_jitter(df: DataFrame, sigma: float = 0.01, clip: float | None = 0.05,
     return df.withColumn("pos", vector([x + e for x, e in zip(parts("pos", dims), noise, strict=True)]))
 
 
-def mix_clouds(df: DataFrame, partners: DataFrame, rotate_partner: bool = False, match_xy: bool = False, seed: int = 0) -> DataFrame:
+def mix_sets(df: DataFrame, partners: DataFrame, rotate_partner: bool = False, match_xy: bool = False, seed: int = 0) -> DataFrame:
     """Each set united with a copy of its partner's rows. ``partners(cloud_id, partner_id)`` lists the sets to mix.
 
     ``origin`` tells the set a row comes from; ids of partner rows are unchanged, so ``(cloud_id, origin,
@@ -196,11 +196,11 @@ def mix_clouds(df: DataFrame, partners: DataFrame, rotate_partner: bool = False,
     return base.select(*cols, F.col("pos").cast("array<double>").alias("pos")).unionByName(copy.select(*cols, F.col("pos").cast("array<double>").alias("pos")))
 
 
-def mix_partners(clouds: DataFrame, p: float, seed: int = 0, epoch: int = 0) -> DataFrame:
+def mix_partners(sets: DataFrame, p: float, seed: int = 0, epoch: int = 0) -> DataFrame:
     """``(cloud_id, partner_id)``: for each set with probability ``p``, another set: the next in a random order."""
     from stipple.functions.ranks import in_order
 
-    order = in_order(clouds.select("cloud_id").distinct().withColumn("__u", rng.uniform(seed, f"order{epoch}", "cloud_id")), ["__u", "cloud_id"], "i")
+    order = in_order(sets.select("cloud_id").distinct().withColumn("__u", rng.uniform(seed, f"order{epoch}", "cloud_id")), ["__u", "cloud_id"], "i")
     n = order.agg(F.count("*").alias("n"))
     after = order.crossJoin(F.broadcast(n)).select(F.col("cloud_id").alias("partner_id"), F.pmod(F.col("i") - 1, F.col("n")).alias("i"))
     return order.join(after, "i").filter(rng.bernoulli(p, seed, f"mix{epoch}", "cloud_id")).select("cloud_id", "partner_id")

@@ -59,20 +59,20 @@ def with_set_stats(df: DataFrame, stats: Sequence[Column], sets: Sequence[str] =
     return df.join(df.groupBy(*sets).agg(*stats), list(sets))
 
 
-def ptr(points: DataFrame, clouds: DataFrame | None = None) -> DataFrame:
-    """``(cloud_id, n, start)``: rows of each set and the rows of all sets before it; empty sets of ``clouds`` keep a slot."""
+def ptr(points: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """``(cloud_id, n, start)``: rows of each set and the rows of all sets before it; empty sets of ``sets`` keep a slot."""
     counts = points.groupBy("cloud_id").agg(F.count("*").alias("n"))
-    if clouds is not None:
-        counts = clouds.select("cloud_id").distinct().join(counts, "cloud_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if sets is not None:
+        counts = sets.select("cloud_id").distinct().join(counts, "cloud_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return in_order(counts, ["cloud_id"], "start", value="n").select("cloud_id", "n", "start")
 
 
-def filter_clouds(points: DataFrame, clouds: DataFrame, predicate: Column) -> DataFrame:
-    """The points of the sets for which ``predicate`` (over the columns of ``clouds``) is true."""
-    return points.join(clouds.filter(predicate).select("cloud_id").distinct(), "cloud_id", "left_semi")
+def filter_sets(points: DataFrame, sets: DataFrame, predicate: Column) -> DataFrame:
+    """The points of the sets for which ``predicate`` (over the columns of ``sets``) is true."""
+    return points.join(sets.filter(predicate).select("cloud_id").distinct(), "cloud_id", "left_semi")
 
 
-def repeat_clouds(df: DataFrame, times: int, when: Column | None = None) -> DataFrame:
+def repeat_sets(df: DataFrame, times: int, when: Column | None = None) -> DataFrame:
     """Every row ``times`` times, numbered by ``loop``; rows for which ``when`` does not hold once."""
     loops = F.sequence(F.lit(0), F.lit(int(times) - 1))
     return df.withColumn("loop", F.explode(loops if when is None else F.when(when, loops).otherwise(F.array(F.lit(0)))))

@@ -11,7 +11,7 @@ from stipple.functions.rng import uniform_sql as U
 from stipple.lineage import cut
 from stipple.operators import affine, attributes, density, neighbors, select, voxel
 from stipple.operators.apply import apply_mask, apply_selection, select_edges
-from stipple.operators.model import as_points, current_rows, filter_clouds, finite, ptr, repeat_clouds
+from stipple.operators.model import as_points, current_rows, filter_sets, finite, ptr, repeat_sets
 from stipple.sources import labels
 from stipple.sources.readers import read_parquet_objects
 from stipple.streaming.loader import batches
@@ -533,8 +533,8 @@ def random_jitter(spark: SparkSession, at: str) -> DataFrame:
 
 
 _MIX = f"""
-WITH {_pts()}, clouds AS (SELECT cloud_id, row_number() OVER (ORDER BY {U(3, "order0", "cloud_id")}, cloud_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cloud_id FROM pts)),
-partners AS (SELECT a.cloud_id, b.cloud_id AS partner_id FROM clouds a JOIN clouds b ON b.i = (a.i + 1) % a.n WHERE {U(3, "mix0", "a.cloud_id")} < 0.5::double)"""
+WITH {_pts()}, each_set AS (SELECT cloud_id, row_number() OVER (ORDER BY {U(3, "order0", "cloud_id")}, cloud_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cloud_id FROM pts)),
+partners AS (SELECT a.cloud_id, b.cloud_id AS partner_id FROM each_set a JOIN each_set b ON b.i = (a.i + 1) % a.n WHERE {U(3, "mix0", "a.cloud_id")} < 0.5::double)"""
 
 
 @_query(
@@ -542,9 +542,9 @@ partners AS (SELECT a.cloud_id, b.cloud_id AS partner_id FROM clouds a JOIN clou
     + """ SELECT cloud_id, cloud_id AS origin, node_id, round(x, 6) AS x, round(y_, 6) AS y_, round(z, 6) AS z FROM pts
 UNION ALL SELECT r.cloud_id, p.cloud_id AS origin, node_id, round(x, 6) AS x, round(y_, 6) AS y_, round(z, 6) AS z FROM partners r JOIN pts p ON p.cloud_id = r.partner_id"""
 )
-def mix_clouds(spark: SparkSession, at: str) -> DataFrame:
+def mix_sets(spark: SparkSession, at: str) -> DataFrame:
     p = scan_points(spark, at)
-    return _xyz(affine.mix_clouds(p, affine.mix_partners(p, 0.5, seed=3)), "origin")
+    return _xyz(affine.mix_sets(p, affine.mix_partners(p, 0.5, seed=3)), "origin")
 
 
 @_query(
@@ -554,9 +554,9 @@ SELECT cloud_id, cloud_id AS origin, node_id, round(x, 5) AS x, round(y_, 5) AS
 UNION ALL SELECT r.cloud_id, p.cloud_id AS origin, node_id, round(x + a.mx - b.mx, 5) AS x, round(y_ + a.my - b.my, 5) AS y_, round(z, 5) AS z
 FROM partners r JOIN pts p ON p.cloud_id = r.partner_id JOIN mean a ON a.cloud_id = r.cloud_id JOIN mean b ON b.cloud_id = r.partner_id"""
 )
-def mix_clouds_matched(spark: SparkSession, at: str) -> DataFrame:
+def mix_sets_matched(spark: SparkSession, at: str) -> DataFrame:
     p = scan_points(spark, at)
-    out = affine.mix_clouds(p, affine.mix_partners(p, 0.5, seed=3), match_xy=True)
+    out = affine.mix_sets(p, affine.mix_partners(p, 0.5, seed=3), match_xy=True)
     return out.select("cloud_id", "origin", "node_id", *[F.round(F.get("pos", F.lit(d)).cast("double"), 5).alias(n) for d, n in enumerate(("x", "y_", "z"))])
 
 
@@ -659,7 +659,7 @@ WITH {_pts()}, {_SCANS.replace("latest", "scan_latest").replace("cur AS", "scan_
 SELECT p.cloud_id, p.node_id FROM pts p WHERE p.cloud_id IN (SELECT cloud_id FROM scan_cur WHERE dataset = 'S3DIS')""")
 def filter_scans(spark: SparkSession, at: str) -> DataFrame:
     scans = current_rows(_table(spark, at, "scans"), ["cloud_id"], ["dataset"])
-    return filter_clouds(scan_points(spark, at), scans, F.col("dataset") == "S3DIS").select("cloud_id", "node_id")
+    return filter_sets(scan_points(spark, at), scans, F.col("dataset") == "S3DIS").select("cloud_id", "node_id")
 
 
 @_query(f"""
@@ -667,7 +667,7 @@ WITH {_SCANS.replace("max(s.dataset)", "max(lower(trim(s.split))) AS split, max(
 SELECT cloud_id, split, unnest(range(CASE WHEN split = 'train' THEN 3 ELSE 1 END))::int AS loop FROM cur""")
 def repeat_training_scans(spark: SparkSession, at: str) -> DataFrame:
     rows = _table(spark, at, "scans").withColumn("split", F.lower(F.trim("split")))
-    return repeat_clouds(current_rows(rows, ["cloud_id"], ["split"]), 3, F.col("split") == "train")
+    return repeat_sets(current_rows(rows, ["cloud_id"], ["split"]), 3, F.col("split") == "train")
 
 
 @_query(f"""

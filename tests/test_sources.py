@@ -78,11 +78,11 @@ def test_labels_and_splits(spark):
 
 
 def test_filter_repeat_and_corruption(spark):
-    from stipple.operators.model import filter_clouds, repeat_clouds
+    from stipple.operators.model import filter_sets, repeat_sets
 
     p = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "cloud_id long, node_id long")
     c = spark.createDataFrame([(1, "train"), (2, "test"), (2, "test")], "cloud_id long, split string")
-    assert filter_clouds(p, c, F.col("split") == "test").count() == 1
-    assert sorted((r["cloud_id"], r["loop"]) for r in repeat_clouds(c, 2, F.col("split") == "train").collect()) == [(1, 0), (1, 1), (2, 0), (2, 0)]
+    assert filter_sets(p, c, F.col("split") == "test").count() == 1
+    assert sorted((r["cloud_id"], r["loop"]) for r in repeat_sets(c, 2, F.col("split") == "train").collect()) == [(1, 0), (1, 1), (2, 0), (2, 0)]
     s = spark.createDataFrame([("clean",), ("add_local_3",), ("PB_T25",), (None,)], "s string")
     assert [tuple(r) for r in s.select(*labels.corruption(F.col("s"))).collect()] == [("clean", None), ("add_local", 3), (None, None), (None, None)]

@@ -87,7 +87,7 @@ def test_shift_and_jitter(cloud):
 
 def test_mix(cloud, spark):
     p = cloud(np.concatenate([X, X + 7]), [0] * 4 + [1] * 4)
-    out = affine.mix_clouds(p, spark.createDataFrame([(0, 1)], "cloud_id long, partner_id long"), rotate_partner=True, match_xy=True, seed=1)
+    out = affine.mix_sets(p, spark.createDataFrame([(0, 1)], "cloud_id long, partner_id long"), rotate_partner=True, match_xy=True, seed=1)
     assert out.count() == 12 and out.filter("cloud_id = 0 and origin = 1").count() == 4
     mixed = np.array([r["pos"] for r in out.filter("origin = 1 and cloud_id = 0").collect()])
     assert np.allclose(mixed.mean(0)[:2], X.mean(0)[:2]) and np.allclose(sorted(mixed[:, 2]), sorted(X[:, 2] + 7))
