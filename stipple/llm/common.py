@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stipple.lineage import cut, ensure_checkpoint_dir, partitions
+from stipple.lineage import cut, dropped, ensure_checkpoint_dir, partitions, written
 from stipple.operators.model import current_rows, finite
 
-__all__ = ["current_rows", "cut", "ensure_checkpoint_dir", "finite", "partitions"]
+__all__ = ["current_rows", "cut", "dropped", "ensure_checkpoint_dir", "finite", "partitions", "written"]

@@ -3,21 +3,20 @@
 Every tree gives each vector a long hash string: the vector is turned by a random rotation, shifted, and
 a few of its coordinates are quantised; the bits of the quantised values, coarse bits first and taken in
 turn, are the string. Strings with a longer common prefix lie in a smaller common cell. Each tree is one
-sorted array of strings (a range partitioning, sorted within partitions).
+sorted array of strings, cut into stretches at strings of a sample, one stretch a task.
 
 A task descends in its stretch of the array: a run of strings with a common prefix is divided at its
 next differing bit until it holds at most ``leaf`` rows, so the prefix is as long as the density there
-allows. It then ascends again for more: a run is joined by its neighbours in the sorted array, up to
-half a leaf on either side. All trees do so in step, to the same number of rows, and the candidates of
-all trees are merged, ranked by exact distance.
+allows; runs of equal strings go on with finer bits. Every asking row is ranked within its run. Then all
+rows that are in doubt ascend together: a row whose ball (the distance of its k-th candidate) may reach
+out of its run is ranked in every other run of the stretch that the ball can touch. It is settled when
+all strings that can lie in its ball are in the stretch: no nearer row can then be elsewhere.
 
-A row is settled when the ball around it that holds its k candidates lies in the cell of its run in some
-tree: no nearer row can then be elsewhere. Rows that are not, as in a dense group that many runs cut,
-ascend further: they are looked up again in as many other trees, in runs four times as long. What is
-still not settled is ranked against all rows.
+Trees come one after another. Settled rows ask no more; the others take what they have found with them
+to the next tree, which cuts the space elsewhere. What no tree settles is ranked against all rows.
 
-Only distinct vectors are indexed; copies share the list of their vector, in which every vector stands
-for the smallest ids of its copies.
+Copies: of equal vectors each task keeps the k + 1 smallest ids. The others have k copies with smaller
+ids, and so these as their neighbours; they are in no array.
 """
 
 from __future__ import annotations
@@ -29,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipple.llm.common import cut, partitions
+from stipple.llm.common import dropped, partitions, written
 
 _BITS = 18
 _TAKEN = 7
 _PAIRS = 1_000_000
+_NONE = np.iinfo(np.int64).max
 
 
 class HashTree:
@@ -49,265 +49,410 @@ class HashTree:
         self.shift = rng.uniform(0, 1, _TAKEN)
         self.scale, self.centre = scale, centre
 
-    def _quantised(self, x: np.ndarray) -> np.ndarray:
+    def quantised(self, x: np.ndarray, fine: int = 0) -> np.ndarray:
+        """Coordinates in units of the last bit; with ``fine`` those bits beyond, of the part left over."""
         unit = np.clip(((x - self.centre) @ self.turn / self.scale + 1.0 + self.shift) / 3.0, 0.0, 1.0 - 1e-9)
+        for _ in range(fine):
+            unit = unit * (1 << _BITS)
+            unit = unit - np.floor(unit)
         return unit * (1 << _BITS)
 
-    def inside(self, x: np.ndarray, depth: int, radius: np.ndarray) -> np.ndarray:
-        """Whether the ball of ``radius`` around each row lies in the cell of the first ``depth`` bits of its string."""
-        at, r = self._quantised(x), radius / self.scale / 3.0 * (1 << _BITS) + 1e-6
-        out = np.ones(len(x), bool)
-        for j in range(_TAKEN):
-            fixed = min(_BITS, (depth - j + _TAKEN - 1) // _TAKEN)
-            if fixed > 0:
-                side = float(1 << (_BITS - fixed))
-                low = np.floor(at[:, j] / side) * side
-                out &= ((at[:, j] - r > low) | (low <= 0)) & ((at[:, j] + r < low + side) | (low + side >= 1 << _BITS))
-        return out
-
-    def strings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The string of each row as two non-negative words, the first the more significant."""
-        q = self._quantised(x).astype(np.int64)
-        words = []
+    @staticmethod
+    def words(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The string of each row of quantised coordinates as two non-negative words, the first the more significant."""
+        q = np.clip(at, 0, (1 << _BITS) - 1).astype(np.int64)
+        out = []
         half = _BITS // 2
         for lo in (half, 0):
-            w = np.zeros(len(x), np.int64)
+            w = np.zeros(len(q), np.int64)
             for b in range(half - 1, -1, -1):
                 for j in range(_TAKEN):
                     w = (w << 1) | ((q[:, j] >> (lo + b)) & 1)
-            words.append(w)
-        return words[0], words[1]
+            out.append(w)
+        return out[0], out[1]
+
+    def keys(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """String and id as bytes that sort like the array."""
+        return as_keys(*self.words(self.quantised(x)), ids)
+
+    def ball(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest string that rows within ``radius`` of each row can have, as bytes; no id makes them smaller or greater."""
+        at, r = self.quantised(x), np.minimum(radius / self.scale / 3.0 * (1 << _BITS) + 1e-6, 1e12)[:, None]
+        low, high = self.words(at - r), self.words(at + r)
+        return as_keys(*low, np.full(len(x), np.iinfo(np.int64).min)), as_keys(*high, np.full(len(x), _NONE))
+
+
+def as_keys(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.empty((len(hi), 3), ">u8")
+    # Every word is offset so that the last byte of a key is never taken for padding of the fixed width.
+    out[:, 0], out[:, 1], out[:, 2] = hi, lo, ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return out.view("S24").ravel()
 
 
-def runs(hi: np.ndarray, lo: np.ndarray, leaf: int) -> list[tuple[int, int, int]]:
-    """Division of a sorted array of strings into runs of at most ``leaf`` rows, with the length of each's prefix.
+def runs(hi: np.ndarray, lo: np.ndarray, leaf: int) -> list[tuple[int, int, bool]]:
+    """Division of a sorted array of strings into runs of at most ``leaf`` rows.
 
-    The prefix is that of the cell the run covers: no other row of the array is in that cell. Runs of
-    equal strings longer than a leaf are cut at every ``leaf`` rows and have no cell (length -1).
+    Runs of equal strings may be longer and are marked.
     """
-    half = _BITS * _TAKEN // 2
-    out: list[tuple[int, int, int]] = []
-    todo = [(0, len(hi), 0)]
+    out: list[tuple[int, int, bool]] = []
+    todo = [(0, len(hi))]
     while todo:
-        a, b, depth = todo.pop()
+        a, b = todo.pop()
         if b - a <= leaf:
             if b > a:
-                out.append((a, b, depth))
+                out.append((a, b, False))
             continue
-        first = hi[a] != hi[b - 1]
-        word = hi if first else lo
+        word = hi if hi[a] != hi[b - 1] else lo
         differ = int(word[a]) ^ int(word[b - 1])
         if not differ:
-            out.extend((i, min(i + leaf, b), -1) for i in range(a, b, leaf))
+            out.append((a, b, True))
             continue
         bit = differ.bit_length() - 1
         mid = a + int(np.searchsorted(word[a:b], (int(word[b - 1]) >> bit) << bit))
-        below = (half if first else 2 * half) - bit
-        todo += [(mid, b, below), (a, mid, below)]
+        todo += [(mid, b), (a, mid)]
     return out
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, spare: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and squared distances of the k nearest other rows for the rows numbered in ``query`` (ties: smaller id).
+def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray, k: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances of the k rows nearest to each row of ``query``, without the row whose id it has (ties: smaller id).
 
-    Missing neighbours have id -1. A matrix product ranks roughly; the best of it are measured exactly.
+    Missing neighbours have id ``_NONE`` and an infinite distance. A matrix product ranks roughly; the
+    best of it are measured exactly, on the given values, so that a pair has the same distance wherever it meets.
     """
-    given, x = x, x - x.mean(0)
     n, m = len(x), len(query)
-    take = min(n, k + spare)
-    norms = (x * x).sum(1)
-    slack = 1e-9 * max(1.0, float(norms.max()))
-    best, dist = np.full((m, k), -1, np.int64), np.full((m, k), np.inf)
+    best, dist = np.full((m, k), _NONE, np.int64), np.full((m, k), np.inf)
+    if not n or not m:
+        return best, dist
+    mid = x.mean(0)
+    rough = x - mid
+    take = min(n, k + 1 + spare)
+    norms = (rough * rough).sum(1)
+    double = -2.0 * rough.T
     step = max(32, _PAIRS // n)
     for lo in range(0, m, step):
-        mine = query[lo : lo + step]
-        rows = np.arange(len(mine))
+        asked, me = query[lo : lo + step], own[lo : lo + step]
+        rows = np.arange(len(asked))
+        close = np.zeros(0, int)
         if take < n:
-            d = x[mine] @ (-2.0 * x.T)
+            y = asked - mid
+            d = y @ double
             d += norms
-            d[rows, mine] = np.inf
             near = np.argpartition(d, take - 1, axis=1)[:, :take]
-            # Rows whose cut falls within rounding of the k-th distance are ranked over all rows.
             got = np.sort(np.take_along_axis(d, near, 1), axis=1)
-            close = np.flatnonzero(got[:, -1] - got[:, k - 1] <= slack)
+            # Rows whose cut falls within rounding of the k-th distance are ranked over all rows.
+            slack = 1e-9 * (np.maximum(1.0, norms.max()) + (y * y).sum(1))
+            close = np.flatnonzero(got[:, -1] - got[:, min(k, take - 1)] <= slack)
         else:
-            near, close = np.broadcast_to(np.arange(n), (len(mine), n)), np.zeros(0, int)
-        # Measured on the given values, so that every tree finds the very same distance for a pair.
-        exact = ((given[mine][:, None, :] - given[near]) ** 2).sum(2)
-        names = ids[near].copy()
-        own = near == mine[:, None]
-        exact[own], names[own] = np.inf, np.iinfo(np.int64).max
+            near = np.broadcast_to(np.arange(n), (len(asked), n))
+        exact = ((asked[:, None, :] - x[near]) ** 2).sum(2)
+        names = ids[near]
+        self_ = names == me[:, None]
+        exact[self_] = np.inf
+        names = np.where(self_, _NONE, names)
         order = np.lexsort((names, exact), axis=1)[:, :k]
         w = order.shape[1]
         best[lo + rows, :w], dist[lo + rows, :w] = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
         for i in close:
-            e = ((given[mine[i]] - given) ** 2).sum(1)
-            e[mine[i]] = np.inf
+            e = ((asked[i] - x) ** 2).sum(1)
+            e[ids == me[i]] = np.inf
             o = np.lexsort((ids, e))[:k]
-            best[lo + i], dist[lo + i] = ids[o], e[o]
-    return np.where(np.isinf(dist), -1, best), dist
-
-
-def _look_up(rows: DataFrame, dims: int, k: int, forest: list[HashTree], per_tree: int, leaf: int, rows_per_task: int, radius: float) -> DataFrame:
-    """``(id, near, d2, settled)``: what each tree finds for the rows of ``rows(id, pos, ask)`` that ask."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
-            for t, tree in enumerate(forest):
-                hi, lo = tree.strings(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hi), pa.array(lo), *batch.columns], names=["tree", "hi", "lo", "id", "pos", "ask"])
-
-    arrays = rows.select("id", "pos", "ask").mapInArrow(hashed, "tree int, hi long, lo long, id long, pos array<double>, ask boolean")
-    # A tree that one task can hold is not cut at all.
-    key = ["tree"] if per_tree == 1 else ["tree", "hi", "lo", "id"]
-    arrays = arrays.repartitionByRange(len(forest) * per_tree, *key).sortWithinPartitions("tree", "hi", "lo", "id")
-
-    def search(table: dict[str, np.ndarray], more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
-        tree, ids, x, ask = table["tree"], table["id"], table["pos"], table["ask"]
-        for t in np.unique(tree):
-            a, b = np.searchsorted(tree, [t, t + 1])
-            for lo, hi, depth in runs(table["hi"][a:b], table["lo"][a:b], leaf):
-                # A run at the end of the stretch may go on in another: its cell is not all here.
-                whole = depth >= 0 and not (more_before and lo == 0 and a == 0) and not (more_after and hi + a == len(ids))
-                lo, hi = lo + a, hi + a
-                asking = lo + np.flatnonzero(ask[lo:hi])
-                m = len(asking)
-                if not m:
-                    continue
-                spare = min(leaf // 2, max(0, leaf - (hi - lo)) // 2)
-                fro, to = max(a, lo - spare), min(b, hi + spare)
-                best, d2 = nearest(x[fro:to], ids[fro:to], asking - fro, k)
-                reach = np.minimum(np.sqrt(d2[:, -1]), radius)
-                settled = forest[t].inside(x[asking], depth, reach) if whole else np.zeros(m, bool)
-                ends = pa.array(np.arange(0, (m + 1) * k, k, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[asking]), pa.ListArray.from_arrays(ends, pa.array(best.ravel())), pa.ListArray.from_arrays(ends, pa.array(d2.ravel())), pa.array(settled)], names=["id", "near", "d2", "settled"])
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        cut_before = per_tree > 1
-
-        def stretch() -> dict[str, np.ndarray]:
-            return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            best[lo + i, : len(o)], dist[lo + i, : len(o)] = np.where(np.isinf(e[o]), _NONE, ids[o]), e[o]
+    return best, dist
+
+
+def merged(near: np.ndarray, d2: np.ndarray, more: np.ndarray, more_d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two lists a row; an id that is in both counts once."""
+    near, d2 = np.concatenate([near, more], 1), np.concatenate([d2, more_d2], 1)
+    order = np.argsort(near, axis=1, kind="stable")
+    near, d2 = np.take_along_axis(near, order, 1), np.take_along_axis(d2, order, 1)
+    again = near[:, 1:] == near[:, :-1]
+    near[:, 1:][again], d2[:, 1:][again] = _NONE, np.inf
+    order = np.lexsort((near, d2), axis=1)[:, :k]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(d2, order, 1)
+
+
+def equal_rows(x: np.ndarray) -> np.ndarray:
+    """For each row the number of the first row equal to it."""
+    words = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64)
+    factor = np.random.default_rng(1).integers(1, 1 << 62, words.shape[1], dtype=np.uint64) | np.uint64(1)
+    mixed = words @ factor
+    order = np.argsort(mixed, kind="stable")
+    first = np.arange(len(x))
+    same = np.flatnonzero(mixed[order][1:] == mixed[order][:-1])
+    # Among equal hashes rows are compared with the first of the hash; others of it (a collision) one by one.
+    for i in same:
+        a, b = order[i], order[i + 1]
+        if np.array_equal(x[first[a]], x[b]):
+            first[b] = first[a]
+    return first
+
+
+class Stretch:
+    """A task's part of one tree's sorted array, its runs and their boxes."""
+
+    def __init__(self, tree: HashTree, x: np.ndarray, ids: np.ndarray, leaf: int):
+        self.tree, self.leaf = tree, leaf
+        hi, lo = tree.words(tree.quantised(x))
+        self.order = np.lexsort((ids, lo, hi))
+        hi, lo = hi[self.order], lo[self.order]
+        self.keys = as_keys(hi, lo, ids[self.order])
+        self.spans: list[tuple[int, int]] = []
+        for a, b, equal in runs(hi, lo, leaf):
+            self.spans += self._finer(x, a, b, 1) if equal else [(a, b)]
+        self.x, self.ids = x[self.order], ids[self.order]
+        self.low = np.array([self.x[a:b].min(0) for a, b in self.spans])
+        self.high = np.array([self.x[a:b].max(0) for a, b in self.spans])
+        self.first = np.array([a for a, _ in self.spans])
+
+    def _finer(self, x: np.ndarray, a: int, b: int, fine: int) -> list[tuple[int, int]]:
+        """Runs of rows with equal strings by the bits that come after; rows equal to the last bit of a float stay one run."""
+        mine = self.order[a:b]
+        hi, lo = self.tree.words(self.tree.quantised(x[mine], fine))
+        by = np.lexsort((mine, lo, hi))
+        self.order[a:b] = mine[by]
+        out: list[tuple[int, int]] = []
+        for c, d, equal in runs(hi[by], lo[by], self.leaf):
+            out += self._finer(x, a + c, a + d, fine + 1) if equal and fine < 2 else [(a + c, a + d)]
+        return out
 
+    def search(self, ask: np.ndarray, near: np.ndarray, d2: np.ndarray, k: int, radius: float, least: bytes | None, most: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of the asking rows (numbers in the stretch, ascending) and whether each is settled.
+
+        ``near`` and ``d2`` are what earlier trees have found. All strings between ``least`` and ``most``
+        are here (None: no bound on that side).
+        """
+        run = np.searchsorted(self.first, ask, side="right") - 1
+        for r in np.unique(run):
+            a, b = self.spans[r]
+            mine = slice(*np.searchsorted(run, [r, r + 1]))
+            got = nearest(self.x[a:b], self.ids[a:b], self.x[ask[mine]], self.ids[ask[mine]], k)
+            near[mine], d2[mine] = merged(near[mine], d2[mine], *got, k)
+        # Rows in doubt ascend: every run their ball can touch, nearest boxes first matter little, so by run.
+        for lo in range(0, len(ask), 4096):
+            part = slice(lo, min(lo + 4096, len(ask)))
+            y, reach2 = self.x[ask[part]], np.minimum(d2[part, -1], radius * radius)
+            gap = np.zeros((len(y), len(self.spans)))
+            for j in range(y.shape[1]):
+                out = np.maximum(self.low[:, j][None] - y[:, j][:, None], y[:, j][:, None] - self.high[:, j][None])
+                gap += np.square(np.maximum(out, 0.0))
+            touch = gap <= reach2[:, None] * (1 + 1e-12)
+            touch[np.arange(len(y)), run[part]] = False
+            for r in np.flatnonzero(touch.any(0)):
+                a, b = self.spans[r]
+                q = np.flatnonzero(touch[:, r])
+                q = q[gap[q, r] <= np.minimum(d2[lo + q, -1], radius * radius) * (1 + 1e-12)]
+                got = nearest(self.x[a:b], self.ids[a:b], y[q], self.ids[ask[lo + q]], k)
+                near[lo + q], d2[lo + q] = merged(near[lo + q], d2[lo + q], *got, k)
+        low, high = self.tree.ball(self.x[ask], np.minimum(np.sqrt(d2[:, -1]), radius))
+        settled = np.ones(len(ask), bool)
+        if least is not None:
+            settled &= low > least
+        if most is not None:
+            settled &= high < most
+        return near, d2, settled
+
+
+def _matrix(col: pa.Array, dims: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _lists(values: np.ndarray, valid: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of ``values`` as lists where ``valid``, else null."""
+    ends = np.append(0, np.cumsum(valid)).astype(np.int32) * values.shape[1]
+    flat = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~valid, False)), pa.array(values[valid].ravel(), kind))
+    return flat
+
+
+def _taken(df: DataFrame, dims: int, k: int) -> DataFrame:
+    """``df(id, pos)`` with, of equal vectors in a task, the k + 1 smallest ids; the others without ``pos`` but with the vector's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = {c: batch.column(i).to_numpy() for i, c in enumerate(("tree", "hi", "lo", "id"))}
-            part["pos"] = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, dims)
-            part["ask"] = batch.column(5).to_numpy(zero_copy_only=False)
-            held.append(part)
-            if sum(len(h["id"]) for h in held) >= 4 * rows_per_task:
-                yield from search(stretch(), cut_before, True)
-                held, cut_before = [], True
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= 200_000:
+                yield from keep(held)
+                held, rows = [], 0
         if held:
-            yield from search(stretch(), cut_before, per_tree > 1)
-
-    return arrays.mapInArrow(descend, "id long, near array<long>, d2 array<double>, settled boolean")
-
-
-def _merged(found: DataFrame, k: int, tasks: int) -> DataFrame:
-    """One row per id: the k best of all its lists, settled if any list is."""
+            yield from keep(held)
+
+    def keep(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids = t["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], _matrix(t["pos"].combine_chunks(), dims)[order] + t["pos"].type.value_type.to_pandas_dtype()(0)
+        first = equal_rows(x)
+        by = np.argsort(first, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        new = np.append(True, first[by][1:] != first[by][:-1])
+        place[by] = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+        more = place > k
+        hashes = np.zeros((len(ids), 2), np.int64)
+        if more.any():
+            hashes[more] = _hashed(x[more])
+        out = [pa.array(ids), _lists(x, ~more, t["pos"].type.value_type), pa.array(hashes[:, 0], mask=~more), pa.array(hashes[:, 1], mask=~more)]
+        yield from pa.Table.from_arrays(out, ["id", "pos", "h1", "h2"]).to_batches(max_chunksize=20_000)
+
+    kind = df.schema["pos"].dataType.simpleString()
+    return df.mapInArrow(run, f"id long, pos {kind}, h1 long, h2 long")
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """Two hash words of each row."""
+    words = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64)
+    factor = np.random.default_rng(2).integers(1, 1 << 62, (words.shape[1], 2), dtype=np.uint64) | np.uint64(1)
+    h = words @ factor
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _tree_pass(table: DataFrame, tree: HashTree, bounds: np.ndarray, dims: int, k: int, leaf: int, radius: float, opening: bool) -> DataFrame:
+    """``table(id, pos, near, d2, ask)`` after one tree: lists of the rows that asked, ``ask`` false for those now settled.
+
+    The first pass (``opening``) takes ``(id, pos)``; every row asks. Rows settled before have no list.
+    """
+    kind = table.schema["pos"].dataType.simpleString()
+    inside = "" if opening else ", near array<long>, d2 array<double>, ask boolean"
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), b.column(3).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not parts:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1), dims).astype(np.float64)
+                part = np.searchsorted(bounds, tree.keys(x, batch.column(0).to_numpy()), side="right").astype(np.int32)
+                yield batch.append_column("part", pa.array(part))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        ids, near, d2, settled = (np.concatenate(p) for p in zip(*parts, strict=True))
-        names, inverse = np.unique(ids, return_inverse=True)
-        sure = np.bincount(inverse, weights=settled) > 0
-        node = np.repeat(inverse, k)
-        order = np.lexsort((d2, near, node))
-        node, near, d2 = node[order], near[order], d2[order]
-        fresh = np.append(True, (node[1:] != node[:-1]) | (near[1:] != near[:-1])) & (near >= 0)
-        node, near, d2 = node[fresh], near[fresh], d2[fresh]
-        order = np.lexsort((near, d2, node))
-        node, near, d2 = node[order], near[order], d2[order]
-        new = np.append(True, node[1:] != node[:-1])[: len(node)]
-        rank = np.arange(len(node)) - np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))
-        best = np.full((len(names), k), -1, np.int64)
-        dist = np.full((len(names), k), np.inf)
-        top = rank < k
-        best[node[top], rank[top]], dist[node[top], rank[top]] = near[top], d2[top]
-        for lo in range(0, len(names), 50_000):
-            hi = min(len(names), lo + 50_000)
-            ends = pa.array(np.arange(0, (hi - lo + 1) * k, k, dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v[lo:hi].ravel())) for v in (best, dist)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *lists, pa.array(sure[lo:hi])], names=["id", "near", "d2", "settled"])
-
-    return found.repartition(tasks, "id").mapInArrow(merge, "id long, near array<long>, d2 array<double>, settled boolean")
-
-
-def _ranked(rows: DataFrame, hard: DataFrame, n: int, dims: int, k: int, rows_per_task: int, hard_per_task: int = 20_000) -> DataFrame:
-    """``(id, near, d2, settled)``: the rows of ``hard(id)`` ranked against blocks of all rows."""
+        t = pa.Table.from_batches(held).combine_chunks()
+        part = t["part"].to_numpy()
+        for p in np.unique(part):
+            yield from one(t.filter(pa.array(part == p)).combine_chunks(), int(p))
+
+    def one(t: pa.Table, p: int) -> Iterator[pa.RecordBatch]:
+        given = _matrix(t["pos"].combine_chunks(), dims)
+        s = Stretch(tree, given.astype(np.float64), t["id"].to_numpy(), leaf)
+        n = len(given)
+        asks = np.ones(n, bool) if opening else t["ask"].to_numpy()[s.order]
+        ask = np.flatnonzero(asks)
+        near, d2 = np.full((len(ask), k), _NONE, np.int64), np.full((len(ask), k), np.inf)
+        if not opening:
+            rows = pa.array(s.order[ask])
+            near, d2 = (t[c].combine_chunks().take(rows).flatten().to_numpy().reshape(-1, k).copy() for c in ("near", "d2"))
+        least = bounds[p - 1] if p else None
+        most = bounds[p] if p < len(bounds) else None
+        near, d2, settled = s.search(ask, near, d2, k, radius, least, most)
+        lists = np.zeros((n, k), np.int64), np.zeros((n, k))
+        lists[0][ask], lists[1][ask] = near, d2
+        still = np.zeros(n, bool)
+        still[ask] = ~settled
+        out = [pa.array(s.ids), _lists(given[s.order], np.ones(n, bool), t["pos"].type.value_type), _lists(lists[0], asks, pa.int64()), _lists(lists[1], asks, pa.float64()), pa.array(still)]
+        yield from pa.Table.from_arrays(out, ["id", "pos", "near", "d2", "ask"]).to_batches(max_chunksize=20_000)
+
+    parts = len(bounds) + 1
+    placed = table.mapInArrow(route, f"id long, pos {kind}{inside}, part int").repartitionById(parts, "part")
+    return placed.mapInArrow(work, f"id long, pos {kind}, near array<long>, d2 array<double>, ask boolean")
+
+
+def _ranked(rows: DataFrame, hard: DataFrame, n: int, dims: int, k: int, radius: float, rows_per_task: int, hard_per_task: int = 20_000) -> DataFrame:
+    """``(id, near, d2)``: the rows of ``hard(id, pos, near, d2)`` ranked against blocks of ``rows(id, pos)``."""
     blocks, parts = -(-n // rows_per_task), -(-hard.count() // hard_per_task)
     block, part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts))
     every = rows.select("id", "pos", block.alias("b")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    asking = rows.join(hard.select("id"), "id", "left_semi").select(F.col("id").alias("ask"), F.col("pos").alias("at"), part.alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    asking = hard.select(F.col("id").alias("ask"), F.col("pos").alias("at"), "near", "d2", part.alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
 
     def rank(asked: pa.Table, block: pa.Table) -> pa.Table:
-        ids, x = block["id"].to_numpy(), block["pos"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
-        mine, y = asked["ask"].to_numpy(), asked["at"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
-        other = ~np.isin(ids, mine)
-        ids, x = np.concatenate([mine, ids[other]]), np.concatenate([y, x[other]])
-        best, d2 = nearest(x, ids, np.arange(len(mine)), k) if len(mine) else (np.zeros((0, k), np.int64), np.zeros((0, k)))
-        ends = pa.array(np.arange(0, (len(mine) + 1) * k, k, dtype=np.int32))
-        return pa.table({"id": mine, "near": pa.ListArray.from_arrays(ends, pa.array(best.ravel())), "d2": pa.ListArray.from_arrays(ends, pa.array(d2.ravel())), "settled": pa.array(np.ones(len(mine), bool))})
+        m = len(asked)
+        ids, x = block["id"].to_numpy(), _matrix(block["pos"].combine_chunks(), dims).astype(np.float64)
+        mine, y = asked["ask"].to_numpy(), _matrix(asked["at"].combine_chunks(), dims).astype(np.float64)
+        near, d2 = (_matrix(asked[c].combine_chunks(), k) for c in ("near", "d2"))
+        if m and len(x):
+            near, d2 = merged(near, d2, *nearest(x, ids, y, mine, k), k)
+        all_ = np.ones(m, bool)
+        return pa.table({"id": mine, "near": _lists(near, all_, pa.int64()), "d2": _lists(d2, all_, pa.float64())})
+
+    found = asking.groupBy("p", "b").cogroup(every.groupBy("p", "b")).applyInArrow(rank, "id long, near array<long>, d2 array<double>")
+    pair = F.explode(F.arrays_zip("d2", "near")).alias("n")
+    best = found.select("id", pair).filter(F.col("n.near") < _NONE).distinct()
+    best = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("n"))
+    return best.select("id", F.col("n.near").alias("near"), F.col("n.d2").alias("d2"))
+
+
+def _copies(base: DataFrame, dims: int, k: int) -> DataFrame:
+    """``(id, near, d2)`` of the rows left out of the arrays: the k smallest ids of their vector."""
+    extra = base.filter("pos is null").select("id", "h1", "h2")
+    kept = base.filter("pos is not null").select("id", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _hashed(_matrix(batch.column(1), dims))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["id", "h1", "h2"])
 
-    return asking.groupBy("p", "b").cogroup(every.groupBy("p", "b")).applyInArrow(rank, "id long, near array<long>, d2 array<double>, settled boolean")
+    held = kept.mapInArrow(run, "id long, h1 long, h2 long").join(extra.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    best = held.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k).alias("near"))
+    return extra.join(best, ["h1", "h2"]).select("id", "near", F.transform("near", lambda _: F.lit(0.0)).alias("d2"))
 
 
-def knn_forest(df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 8, leaf: int = 2048, radius: float | None = None, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:
+def knn_forest(
+    df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 4, leaf: int = 384, radius: float | None = None, seed: int = 7, rows_per_task: int = 50_000, sample: int = 20_000
+) -> DataFrame:
     """``(node, rank, neighbor, dist)``: the k nearest other rows of every row, rank 1 the nearest.
 
-    Exact: a row is settled by its cell in some tree or ranked against all rows. With ``radius`` only
+    Exact: a row is settled by its stretch of some tree or ranked against all rows. With ``radius`` only
     neighbours within it need be right: rows are settled as soon as no nearer one is that close. Equal
     distances rank by the smaller id. Ids must be unique and ``pos_col`` must have ``dims`` finite elements
     (filter first). Rows without any other row give none; an empty table gives an empty result. Other
-    columns are ignored. Every distinct vector is indexed; one row of statistics reaches the driver.
+    columns are ignored.
+
+    Every row is searched for and all but further copies are indexed; only the scale of the hash and the
+    borders of the stretches are fitted on ``sample`` rows (32 a stretch where that is more), which go to the driver.
     """
-    given = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(pos_col).cast("array<double>").alias("pos")))
-    # The k + 1 smallest ids of each vector, in two steps: one vector may have a large share of all rows.
-    some = given.groupBy("pos", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
-    whole = some.groupBy("pos").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    rows = cut(whole.select(F.col("ids")[0].alias("id"), "pos", "n", "ids"))
-    copied = rows.filter("n > 1").select("id", "pos", "ids")
-    rows = rows.select("id", "pos")
-    spread = F.percentile_approx
-    stats = rows.agg(F.count("*").alias("n"), *[spread(F.col("pos")[d], [0.01, 0.5, 0.99], 1000).alias(f"c{d}") for d in range(dims)]).first()
-    ranges = np.array([stats[f"c{d}"] or [0.0] * 3 for d in range(dims)])
-    centre, scale = ranges[:, 1], float(np.sqrt((np.maximum(ranges[:, 2] - ranges[:, 1], ranges[:, 1] - ranges[:, 0]) ** 2).sum())) or 1.0
-    per_tree = max(1, -(-stats["n"] // rows_per_task))
-    tasks = max(partitions(df.sparkSession), trees * per_tree)
+    kind = df.schema[pos_col].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    base = written(_taken(df.select(F.col(id_col).cast("long").alias("id"), F.col(pos_col).cast(f"array<{kind}>").alias("pos")), dims, k))
+    n, extras = base.agg(F.count("pos"), F.count("h1")).first()
+    indexed = base.filter("pos is not null").select("id", "pos")
+    parts = max(1, -(-n // rows_per_task), min(partitions(df.sparkSession), n // (8 * leaf)))
+    wanted = max(sample, 32 * parts)
+    share = max(1, n // wanted)
+    drawn = indexed.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).limit(2 * wanted).toArrow()
     reach = float("inf") if radius is None else float(radius)
-
-    first = [HashTree(dims, t, scale, seed, centre) for t in range(trees)]
-    found = cut(_merged(_look_up(rows.withColumn("ask", F.lit(True)), dims, k, first, per_tree, leaf, rows_per_task, reach), k, tasks))
-    hard = found.filter("not settled")
-    if stats["n"] > leaf and hard.limit(1).count():
-        more = [HashTree(dims, trees + t, scale, seed, centre) for t in range(trees)]
-        asking = rows.join(hard.select("id", F.lit(True).alias("ask")), "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        again = cut(_merged(_look_up(asking, dims, k, more, per_tree, 4 * leaf, rows_per_task, reach).unionByName(hard), k, tasks))
-        found = found.filter("settled").unionByName(again.filter("settled"))
-        rest = again.filter("not settled")
-        if rest.limit(1).count():
-            found = found.unionByName(_merged(_ranked(rows, rest, stats["n"], dims, k, rows_per_task), k, tasks))
-    if copied.limit(1).count():
-        found = _with_copies(given, found, copied, k)
+    ids, x = drawn["id"].to_numpy(), _matrix(drawn["pos"].combine_chunks(), dims).astype(np.float64) if len(drawn) else np.zeros((0, dims))
+    ranges = np.percentile(x, [1, 50, 99], axis=0) if len(x) else np.zeros((3, dims))
+    centre, scale = ranges[1], float(np.sqrt((np.maximum(ranges[2] - ranges[1], ranges[1] - ranges[0]) ** 2).sum())) or 1.0
+
+    table, found, stages = indexed, [], []
+    for t in range(trees):
+        tree = HashTree(dims, t, scale, seed, centre)
+        keys = np.sort(tree.keys(x, ids))
+        bounds = np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if parts > 1 and len(keys) else np.zeros(0, "S24")
+        after = written(_tree_pass(table, tree, bounds, dims, k, leaf, reach, t == 0))
+        if t == 0:
+            if not extras:
+                dropped(base)
+            found.append(after.filter("not ask"))
+        else:
+            found.append(written(after.filter("near is not null and not ask").select("id", "near", "d2")))
+            if t > 1:
+                dropped(stages[-1])
+        stages.append(after)
+        left = after.filter("ask").count()
+        if not left:
+            break
+        # What is settled drops its list before it goes on; ``found`` has it.
+        table = after.select("id", "pos", F.when(F.col("ask"), F.col("near")).alias("near"), F.when(F.col("ask"), F.col("d2")).alias("d2"), "ask")
+    if left:
+        found.append(written(_ranked(stages[0], stages[-1].filter("ask"), n, dims, k, reach, rows_per_task)))
+    if len(stages) > 1:
+        dropped(stages[-1])
+    if extras:
+        found.append(_copies(base, dims, k))
+    out = found[0].select("id", "near", "d2")
+    for f in found[1:]:
+        out = out.unionByName(f.select("id", "near", "d2"))
     pair = F.posexplode(F.arrays_zip("near", "d2")).alias("i", "n")
-    out = found.select(F.col("id").alias("node"), pair).filter("n.near >= 0")
+    out = out.select(F.col("id").alias("node"), pair).filter(F.col("n.near") < _NONE)
     return out.select("node", (F.col("i") + 1).alias("rank"), F.col("n.near").alias("neighbor"), F.sqrt("n.d2").alias("dist"))
-
-
-def _with_copies(given: DataFrame, found: DataFrame, copied: DataFrame, k: int) -> DataFrame:
-    """``(id, near, d2)`` of all rows from that of the distinct vectors; ``copied(id, pos, ids)`` has the smallest ids of those with copies."""
-    ids = copied.select(F.col("id").alias("v"), "ids")
-    flat = found.select("id", F.posexplode(F.arrays_zip("near", "d2")).alias("i", "n")).select("id", F.col("n.near").alias("v"), F.col("n.d2").alias("d2")).filter("v >= 0")
-    flat = flat.unionByName(ids.select(F.col("v").alias("id"), "v", F.lit(0.0).alias("d2")))
-    flat = flat.join(ids, "v", "left").select("id", "d2", F.explode(F.coalesce("ids", F.array("v"))).alias("near"))
-    best = flat.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "near"))), 1, k + 1).alias("best"))
-    members = given.join(copied.select(F.col("id").alias("v"), "pos"), "pos").select("id", "v")
-    alone = best.join(ids.select(F.col("v").alias("id")), "id", "left_anti")
-    shared = members.join(best.withColumnRenamed("id", "v"), "v").select("id", "best")
-    best = alone.unionByName(shared).withColumn("best", F.slice(F.filter("best", lambda b: b["near"] != F.col("id")), 1, k))
-    return best.select("id", F.col("best.near").alias("near"), F.col("best.d2").alias("d2"))
