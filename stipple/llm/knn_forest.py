@@ -10,10 +10,11 @@ next differing bit until it holds at most ``leaf`` rows, so the prefix is as lon
 allows; runs of equal strings go on with finer bits. Every asking row is ranked within its run. Then all
 rows that are in doubt ascend together: a row whose ball (the distance of its k-th candidate) may reach
 out of its run is ranked in every other run of the stretch that the ball can touch. It is settled when
-all strings that can lie in its ball are in the stretch: no nearer row can then be elsewhere.
+no cell that the ball touches belongs to another stretch: no nearer row can then be elsewhere.
 
 Trees come one after another. Settled rows ask no more; the others take what they have found with them
-to the next tree, which cuts the space elsewhere. What no tree settles is ranked against all rows.
+to the next tree, which cuts the space elsewhere. In the last tree rows go to every stretch that their
+ball touches, and are settled by that.
 
 Copies: of equal vectors each task keeps the k + 1 smallest ids. The others have k copies with smaller
 ids, and so these as their neighbours; they are in no array.
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipple.llm.common import dropped, partitions, written
+from stipple.llm.common import partitions, written
 
 _BITS = 18
 _TAKEN = 7
@@ -75,18 +77,57 @@ class HashTree:
         """String and id as bytes that sort like the array."""
         return as_keys(*self.words(self.quantised(x)), ids)
 
-    def ball(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest string that rows within ``radius`` of each row can have, as bytes; no id makes them smaller or greater."""
+    def box(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest quantised coordinates of rows within ``radius`` of each row."""
         at, r = self.quantised(x), np.minimum(radius / self.scale / 3.0 * (1 << _BITS) + 1e-6, 1e12)[:, None]
-        low, high = self.words(at - r), self.words(at + r)
-        return as_keys(*low, np.full(len(x), np.iinfo(np.int64).min)), as_keys(*high, np.full(len(x), _NONE))
+        return tuple(np.clip(np.floor(v), 0, (1 << _BITS) - 1).astype(np.int64) for v in (at - r, at + r))
 
 
-def as_keys(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.empty((len(hi), 3), ">u8")
-    # Every word is offset so that the last byte of a key is never taken for padding of the fixed width.
-    out[:, 0], out[:, 1], out[:, 2] = hi, lo, ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    return out.view("S24").ravel()
+def as_keys(*words: np.ndarray) -> np.ndarray:
+    """Words as bytes that sort like them; the last may be negative."""
+    out = np.empty((len(words[0]), len(words)), ">u8")
+    for i, w in enumerate(words):
+        out[:, i] = w.astype(np.int64).view(np.uint64)
+    if len(words) == 3:
+        out[:, 2] ^= np.uint64(1 << 63)
+    return out.view(f"S{8 * len(words)}").ravel()
+
+
+def touched(low: np.ndarray, high: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the boxes ``low .. high`` and of the stretches whose cells each touches.
+
+    ``bounds`` are the strings (without ids) at which the array is cut. All boxes descend together, one
+    bit at a time; a cell that lies in one stretch, or whole in the box, is not divided further.
+    """
+    parts = len(bounds) + 1
+    which = np.arange(len(low))
+    corner = np.zeros_like(low)
+    words = np.zeros((len(low), 2), np.int64)
+    half = _BITS * _TAKEN // 2
+    pairs = []
+    for depth in range(2 * half + 1):
+        rest = [max(0, half - max(0, depth - w * half)) for w in (0, 1)]
+        ones = [(1 << min(half, r)) - 1 for r in rest]
+        least = np.searchsorted(bounds, as_keys(words[:, 0], words[:, 1]), side="left")
+        most = np.searchsorted(bounds, as_keys(words[:, 0] | ones[0], words[:, 1] | ones[1]), side="right")
+        sizes = np.array([1 << (_BITS - (depth - j + _TAKEN - 1) // _TAKEN) if depth > j else 1 << _BITS for j in range(_TAKEN)])
+        done = (least == most) | (depth == 2 * half) | ((corner >= low[which]) & (corner + sizes - 1 <= high[which])).all(1)
+        count = (most - least)[done] + 1
+        each = np.repeat(np.arange(len(count)), count)
+        pairs.append(which[done][each] * parts + least[done][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count))
+        go = ~done
+        which, corner, words = which[go], corner[go], words[go]
+        if not len(which):
+            break
+        j, level = depth % _TAKEN, _BITS - 1 - depth // _TAKEN
+        middle = corner[:, j] + (1 << level)
+        left, right = low[which, j] < middle, high[which, j] >= middle
+        up, up_words = corner[right].copy(), words[right].copy()
+        up[:, j] += 1 << level
+        up_words[:, depth // half] |= 1 << (half - 1 - depth % half)
+        which, corner, words = np.concatenate([which[left], which[right]]), np.concatenate([corner[left], up]), np.concatenate([words[left], up_words])
+    both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    return both // parts, both % parts
 
 
 def runs(hi: np.ndarray, lo: np.ndarray, leaf: int) -> list[tuple[int, int, bool]]:
@@ -195,14 +236,16 @@ class Stretch:
         hi, lo = tree.words(tree.quantised(x))
         self.order = np.lexsort((ids, lo, hi))
         hi, lo = hi[self.order], lo[self.order]
-        self.keys = as_keys(hi, lo, ids[self.order])
         self.spans: list[tuple[int, int]] = []
         for a, b, equal in runs(hi, lo, leaf):
             self.spans += self._finer(x, a, b, 1) if equal else [(a, b)]
         self.x, self.ids = x[self.order], ids[self.order]
-        self.low = np.array([self.x[a:b].min(0) for a, b in self.spans])
-        self.high = np.array([self.x[a:b].max(0) for a, b in self.spans])
-        self.first = np.array([a for a, _ in self.spans])
+        # Boxes in single precision, wider than the rows by more than its rounding.
+        slack = 1e-6 * (1.0 + float(np.abs(self.x).max()))
+        self.low = np.array([self.x[a:b].min(0) - slack for a, b in self.spans], np.float32).T.copy()
+        self.high = np.array([self.x[a:b].max(0) + slack for a, b in self.spans], np.float32).T.copy()
+        first = [a for a, _ in self.spans]
+        self.first = as_keys(hi[first], lo[first])
 
     def _finer(self, x: np.ndarray, a: int, b: int, fine: int) -> list[tuple[int, int]]:
         """Runs of rows with equal strings by the bits that come after; rows equal to the last bit of a float stay one run."""
@@ -215,40 +258,64 @@ class Stretch:
             out += self._finer(x, a + c, a + d, fine + 1) if equal and fine < 2 else [(a + c, a + d)]
         return out
 
-    def search(self, ask: np.ndarray, near: np.ndarray, d2: np.ndarray, k: int, radius: float, least: bytes | None, most: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lists of the asking rows (numbers in the stretch, ascending) and whether each is settled.
-
-        ``near`` and ``d2`` are what earlier trees have found. All strings between ``least`` and ``most``
-        are here (None: no bound on that side).
+    def _gaps(self, y: np.ndarray, within: np.ndarray, first: int = 8) -> np.ndarray:
+        """Squared distance, or somewhat less, of each row to each run's box; infinite where it is more than ``within``."""
+        y = y.astype(np.float32)
+
+        def part(j: int, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            out = np.maximum(low - at, at - high)
+            np.maximum(out, 0, out=out)
+            out *= out
+            return out
+
+        gap = np.zeros((len(y), len(self.spans)), np.float32)
+        for j in range(min(first, y.shape[1])):
+            gap += part(j, y[:, j][:, None], self.low[j], self.high[j])
+        # The other features only of the pairs that are still close enough.
+        row, run = np.nonzero(gap * np.float32(1 - 1e-5) <= within[:, None])
+        left = gap[row, run]
+        for j in range(first, y.shape[1]):
+            left += part(j, y[row, j], self.low[j][run], self.high[j][run])
+        left *= np.float32(1 - 1e-5)
+        gap[:] = np.inf
+        near = left <= within[row]
+        gap[row[near], run[near]] = left[near]
+        return gap
+
+    def search(self, y: np.ndarray, own: np.ndarray, near: np.ndarray, d2: np.ndarray, k: int, radius: float, bounds: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of the asking rows (``y`` with ids ``own``) after this stretch, number ``part``, and whether each is settled.
+
+        ``near`` and ``d2`` are what other stretches have found.
         """
-        run = np.searchsorted(self.first, ask, side="right") - 1
-        for r in np.unique(run):
-            a, b = self.spans[r]
-            mine = slice(*np.searchsorted(run, [r, r + 1]))
-            got = nearest(self.x[a:b], self.ids[a:b], self.x[ask[mine]], self.ids[ask[mine]], k)
-            near[mine], d2[mine] = merged(near[mine], d2[mine], *got, k)
-        # Rows in doubt ascend: every run their ball can touch, nearest boxes first matter little, so by run.
-        for lo in range(0, len(ask), 4096):
-            part = slice(lo, min(lo + 4096, len(ask)))
-            y, reach2 = self.x[ask[part]], np.minimum(d2[part, -1], radius * radius)
-            gap = np.zeros((len(y), len(self.spans)))
-            for j in range(y.shape[1]):
-                out = np.maximum(self.low[:, j][None] - y[:, j][:, None], y[:, j][:, None] - self.high[:, j][None])
-                gap += np.square(np.maximum(out, 0.0))
-            touch = gap <= reach2[:, None] * (1 + 1e-12)
-            touch[np.arange(len(y)), run[part]] = False
-            for r in np.flatnonzero(touch.any(0)):
+        strings = as_keys(*self.tree.words(self.tree.quantised(y)))
+        run = np.maximum(0, np.searchsorted(self.first, strings, side="right") - 1)
+        order = np.argsort(run, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(run[order])) + 1, len(run))
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            mine = order[lo:hi]
+            if len(mine):
+                a, b = self.spans[run[mine[0]]]
+                near[mine], d2[mine] = merged(near[mine], d2[mine], *nearest(self.x[a:b], self.ids[a:b], y[mine], own[mine], k), k)
+        # Settled at once: all cells that the ball touches are within the run. The others ascend together.
+        low, high = self.tree.box(y, np.minimum(np.sqrt(d2[:, -1]), radius))
+        least, most = as_keys(*self.tree.words(low)), as_keys(*self.tree.words(high))
+        end = bounds[part : part + 1] if part < len(bounds) else np.array([b"\xff" * 16])
+        after = np.append(self.first[1:], end)[run]
+        doubt = np.flatnonzero(~((least > self.first[run]) & (most < after)))
+        for lo in range(0, len(doubt), 4096):
+            rows = doubt[lo : lo + 4096]
+            gap = self._gaps(y[rows], np.minimum(d2[rows, -1], radius * radius))
+            gap[np.arange(len(rows)), run[rows]] = np.inf
+            for r in np.flatnonzero((gap < np.inf).any(0)):
                 a, b = self.spans[r]
-                q = np.flatnonzero(touch[:, r])
-                q = q[gap[q, r] <= np.minimum(d2[lo + q, -1], radius * radius) * (1 + 1e-12)]
-                got = nearest(self.x[a:b], self.ids[a:b], y[q], self.ids[ask[lo + q]], k)
-                near[lo + q], d2[lo + q] = merged(near[lo + q], d2[lo + q], *got, k)
-        low, high = self.tree.ball(self.x[ask], np.minimum(np.sqrt(d2[:, -1]), radius))
-        settled = np.ones(len(ask), bool)
-        if least is not None:
-            settled &= low > least
-        if most is not None:
-            settled &= high < most
+                q = rows[gap[:, r] <= np.minimum(d2[rows, -1], radius * radius)]
+                if len(q):
+                    near[q], d2[q] = merged(near[q], d2[q], *nearest(self.x[a:b], self.ids[a:b], y[q], own[q], k), k)
+        settled = np.ones(len(y), bool)
+        if len(bounds) and len(doubt):
+            low, high = self.tree.box(y[doubt], np.minimum(np.sqrt(d2[doubt, -1]), radius))
+            who, to = touched(low, high, bounds)
+            settled[doubt[who[to != part]]] = False
         return near, d2, settled
 
 
@@ -308,13 +375,19 @@ def _hashed(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _tree_pass(table: DataFrame, tree: HashTree, bounds: np.ndarray, dims: int, k: int, leaf: int, radius: float, opening: bool) -> DataFrame:
-    """``table(id, pos, near, d2, ask)`` after one tree: lists of the rows that asked, ``ask`` false for those now settled.
+def _bare(bounds: np.ndarray) -> np.ndarray:
+    """Bounds without their ids."""
+    return np.array([b.ljust(24, b"\0")[:16] for b in bounds.tolist()], "S16")
+
+
+def _tree_pass(rows: DataFrame, asking: DataFrame | None, tree: HashTree, bounds: np.ndarray, dims: int, k: int, leaf: int, radius: float, last: bool) -> DataFrame:
+    """``(id, pos, near, d2, ask)``: the asking rows after one tree, ``ask`` false for those now settled.
 
-    The first pass (``opening``) takes ``(id, pos)``; every row asks. Rows settled before have no list.
+    ``rows(id, pos)`` is what is searched; without ``asking(id, pos, near, d2)`` every row asks. In the
+    ``last`` tree asking rows go to all stretches that their ball touches, and come back from each.
     """
-    kind = table.schema["pos"].dataType.simpleString()
-    inside = "" if opening else ", near array<long>, d2 array<double>, ask boolean"
+    kind = rows.schema["pos"].dataType.simpleString()
+    strings, opening = _bare(bounds), asking is None
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,6 +396,13 @@ def _tree_pass(table: DataFrame, tree: HashTree, bounds: np.ndarray, dims: int,
                 part = np.searchsorted(bounds, tree.keys(x, batch.column(0).to_numpy()), side="right").astype(np.int32)
                 yield batch.append_column("part", pa.array(part))
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, d2 = _matrix(batch.column(1), dims).astype(np.float64), _matrix(batch.column(3), k)
+                who, to = touched(*tree.box(x, np.minimum(np.sqrt(d2[:, -1]), radius)), strings)
+                yield batch.take(pa.array(who)).append_column("part", pa.array(to.astype(np.int32)))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -333,48 +413,34 @@ def _tree_pass(table: DataFrame, tree: HashTree, bounds: np.ndarray, dims: int,
             yield from one(t.filter(pa.array(part == p)).combine_chunks(), int(p))
 
     def one(t: pa.Table, p: int) -> Iterator[pa.RecordBatch]:
-        given = _matrix(t["pos"].combine_chunks(), dims)
-        s = Stretch(tree, given.astype(np.float64), t["id"].to_numpy(), leaf)
-        n = len(given)
-        asks = np.ones(n, bool) if opening else t["ask"].to_numpy()[s.order]
-        ask = np.flatnonzero(asks)
-        near, d2 = np.full((len(ask), k), _NONE, np.int64), np.full((len(ask), k), np.inf)
+        asks = t
+        if not opening:
+            mine = pa.compute.greater(pa.compute.list_value_length(t["near"]), 0)
+            t, asks = t.filter(pa.compute.invert(mine)), t.filter(mine).combine_chunks()
+        given = _matrix(asks["pos"].combine_chunks(), dims)
+        own, n = asks["id"].to_numpy(), len(given)
+        near, d2 = np.full((n, k), _NONE, np.int64), np.full((n, k), np.inf)
         if not opening:
-            rows = pa.array(s.order[ask])
-            near, d2 = (t[c].combine_chunks().take(rows).flatten().to_numpy().reshape(-1, k).copy() for c in ("near", "d2"))
-        least = bounds[p - 1] if p else None
-        most = bounds[p] if p < len(bounds) else None
-        near, d2, settled = s.search(ask, near, d2, k, radius, least, most)
-        lists = np.zeros((n, k), np.int64), np.zeros((n, k))
-        lists[0][ask], lists[1][ask] = near, d2
-        still = np.zeros(n, bool)
-        still[ask] = ~settled
-        out = [pa.array(s.ids), _lists(given[s.order], np.ones(n, bool), t["pos"].type.value_type), _lists(lists[0], asks, pa.int64()), _lists(lists[1], asks, pa.float64()), pa.array(still)]
+            near, d2 = (_matrix(asks[c].combine_chunks(), k).copy() for c in ("near", "d2"))
+        settled = np.zeros(n, bool)
+        if n and len(t):
+            s = Stretch(tree, _matrix(t["pos"].combine_chunks(), dims).astype(np.float64), t["id"].to_numpy(), leaf)
+            near, d2, settled = s.search(given.astype(np.float64), own, near, d2, k, radius, strings, p)
+        whole = np.ones(n, bool)
+        out = [asks["id"], asks["pos"], _lists(near, whole, pa.int64()), _lists(d2, whole, pa.float64()), pa.array(np.zeros(n, bool) if last else ~settled)]
         yield from pa.Table.from_arrays(out, ["id", "pos", "near", "d2", "ask"]).to_batches(max_chunksize=20_000)
 
-    parts = len(bounds) + 1
-    placed = table.mapInArrow(route, f"id long, pos {kind}{inside}, part int").repartitionById(parts, "part")
-    return placed.mapInArrow(work, f"id long, pos {kind}, near array<long>, d2 array<double>, ask boolean")
-
-
-def _ranked(rows: DataFrame, hard: DataFrame, n: int, dims: int, k: int, radius: float, rows_per_task: int, hard_per_task: int = 20_000) -> DataFrame:
-    """``(id, near, d2)``: the rows of ``hard(id, pos, near, d2)`` ranked against blocks of ``rows(id, pos)``."""
-    blocks, parts = -(-n // rows_per_task), -(-hard.count() // hard_per_task)
-    block, part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts))
-    every = rows.select("id", "pos", block.alias("b")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    asking = hard.select(F.col("id").alias("ask"), F.col("pos").alias("at"), "near", "d2", part.alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def rank(asked: pa.Table, block: pa.Table) -> pa.Table:
-        m = len(asked)
-        ids, x = block["id"].to_numpy(), _matrix(block["pos"].combine_chunks(), dims).astype(np.float64)
-        mine, y = asked["ask"].to_numpy(), _matrix(asked["at"].combine_chunks(), dims).astype(np.float64)
-        near, d2 = (_matrix(asked[c].combine_chunks(), k) for c in ("near", "d2"))
-        if m and len(x):
-            near, d2 = merged(near, d2, *nearest(x, ids, y, mine, k), k)
-        all_ = np.ones(m, bool)
-        return pa.table({"id": mine, "near": _lists(near, all_, pa.int64()), "d2": _lists(d2, all_, pa.float64())})
-
-    found = asking.groupBy("p", "b").cogroup(every.groupBy("p", "b")).applyInArrow(rank, "id long, near array<long>, d2 array<double>")
+    placed = rows.mapInArrow(route, f"id long, pos {kind}, part int")
+    if asking is not None:
+        to = asking.mapInArrow(spread if last else route, f"id long, pos {kind}, near array<long>, d2 array<double>, part int")
+        # Empty lists, not nulls: a batch of null lists takes the square of its rows to convert.
+        none = [F.array().cast(f"array<{v}>").alias(c) for c, v in (("near", "long"), ("d2", "double"))]
+        placed = placed.select("id", "pos", *none, "part").unionByName(to)
+    return placed.repartitionById(len(bounds) + 1, "part").mapInArrow(work, f"id long, pos {kind}, near array<long>, d2 array<double>, ask boolean")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """One list per id from the lists of several stretches."""
     pair = F.explode(F.arrays_zip("d2", "near")).alias("n")
     best = found.select("id", pair).filter(F.col("n.near") < _NONE).distinct()
     best = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("n"))
@@ -397,15 +463,16 @@ def _copies(base: DataFrame, dims: int, k: int) -> DataFrame:
 
 
 def knn_forest(
-    df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 4, leaf: int = 384, radius: float | None = None, seed: int = 7, rows_per_task: int = 50_000, sample: int = 20_000
+    df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 3, leaf: int = 1536, radius: float | None = None, seed: int = 7, rows_per_task: int = 50_000, sample: int = 20_000
 ) -> DataFrame:
     """``(node, rank, neighbor, dist)``: the k nearest other rows of every row, rank 1 the nearest.
 
-    Exact: a row is settled by its stretch of some tree or ranked against all rows. With ``radius`` only
-    neighbours within it need be right: rows are settled as soon as no nearer one is that close. Equal
-    distances rank by the smaller id. Ids must be unique and ``pos_col`` must have ``dims`` finite elements
-    (filter first). Rows without any other row give none; an empty table gives an empty result. Other
-    columns are ignored.
+    Exact: a row is settled by its stretch of some tree, or by all stretches of the last tree that its
+    ball touches. With ``radius`` only neighbours within it need be right: rows are settled as soon as
+    no nearer one is that close. Without, rows far from all others reach many stretches of the last tree.
+    Equal distances rank by the smaller id. Ids must be unique and ``pos_col`` must have ``dims`` finite
+    elements (filter first). Rows without any other row give none; an empty table gives an empty result.
+    Other columns are ignored.
 
     Every row is searched for and all but further copies are indexed; only the scale of the hash and the
     borders of the stretches are fitted on ``sample`` rows (32 a stretch where that is more), which go to the driver.
@@ -414,40 +481,29 @@ def knn_forest(
     kind = kind if kind == "float" else "double"
     base = written(_taken(df.select(F.col(id_col).cast("long").alias("id"), F.col(pos_col).cast(f"array<{kind}>").alias("pos")), dims, k))
     n, extras = base.agg(F.count("pos"), F.count("h1")).first()
-    indexed = base.filter("pos is not null").select("id", "pos")
+    rows = base.filter("pos is not null").select("id", "pos")
     parts = max(1, -(-n // rows_per_task), min(partitions(df.sparkSession), n // (8 * leaf)))
     wanted = max(sample, 32 * parts)
     share = max(1, n // wanted)
-    drawn = indexed.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).limit(2 * wanted).toArrow()
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).limit(2 * wanted).toArrow()
     reach = float("inf") if radius is None else float(radius)
     ids, x = drawn["id"].to_numpy(), _matrix(drawn["pos"].combine_chunks(), dims).astype(np.float64) if len(drawn) else np.zeros((0, dims))
     ranges = np.percentile(x, [1, 50, 99], axis=0) if len(x) else np.zeros((3, dims))
     centre, scale = ranges[1], float(np.sqrt((np.maximum(ranges[2] - ranges[1], ranges[1] - ranges[0]) ** 2).sum())) or 1.0
 
-    table, found, stages = indexed, [], []
+    stages: list[DataFrame] = []
+    trees = max(2, trees)
     for t in range(trees):
         tree = HashTree(dims, t, scale, seed, centre)
         keys = np.sort(tree.keys(x, ids))
         bounds = np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if parts > 1 and len(keys) else np.zeros(0, "S24")
-        after = written(_tree_pass(table, tree, bounds, dims, k, leaf, reach, t == 0))
-        if t == 0:
-            if not extras:
-                dropped(base)
-            found.append(after.filter("not ask"))
-        else:
-            found.append(written(after.filter("near is not null and not ask").select("id", "near", "d2")))
-            if t > 1:
-                dropped(stages[-1])
-        stages.append(after)
-        left = after.filter("ask").count()
-        if not left:
+        asking = stages[-1].filter("ask").drop("ask") if stages else None
+        stages.append(written(_tree_pass(rows, asking, tree, bounds, dims, k, leaf, reach, 0 < t == trees - 1)))
+        if not stages[-1].filter("ask").limit(1).count():
             break
-        # What is settled drops its list before it goes on; ``found`` has it.
-        table = after.select("id", "pos", F.when(F.col("ask"), F.col("near")).alias("near"), F.when(F.col("ask"), F.col("d2")).alias("d2"), "ask")
-    if left:
-        found.append(written(_ranked(stages[0], stages[-1].filter("ask"), n, dims, k, reach, rows_per_task)))
-    if len(stages) > 1:
-        dropped(stages[-1])
+    found = [s.filter("not ask") for s in stages]
+    if 1 < len(found) == trees:
+        found[-1] = _best(found[-1], k)
     if extras:
         found.append(_copies(base, dims, k))
     out = found[0].select("id", "near", "d2")
