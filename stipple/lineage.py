@@ -50,7 +50,7 @@ def written(df: DataFrame) -> DataFrame:
     spark.conf.set(_CLEANUP, "true")
     try:
         # A new frame: what is cleaned up is decided when it is made.
-        df.select("*").write.option("compression", "zstd").parquet(at)
+        df.select("*").write.option("compression", "snappy").parquet(at)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
