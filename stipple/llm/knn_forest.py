@@ -166,34 +166,39 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray,
         return best, dist
     mid = x.mean(0)
     rough = x - mid
-    take = min(n, k + 1 + spare)
+    take = k + 1 + spare
     norms = (rough * rough).sum(1)
     double = -2.0 * rough.T
+    top = np.maximum(1.0, norms.max())
     step = max(32, _PAIRS // n)
     for lo in range(0, m, step):
         asked, me = query[lo : lo + step], own[lo : lo + step]
-        rows = np.arange(len(asked))
-        close = np.zeros(0, int)
-        if take < n:
+        whole = np.zeros(0, int)
+        if take >= n:
+            near = np.broadcast_to(np.arange(n), (len(asked), n))
+        else:
             y = asked - mid
             d = y @ double
             d += norms
-            near = np.argpartition(d, take - 1, axis=1)[:, :take]
-            got = np.sort(np.take_along_axis(d, near, 1), axis=1)
-            # Rows whose cut falls within rounding of the k-th distance are ranked over all rows.
-            slack = 1e-9 * (np.maximum(1.0, norms.max()) + (y * y).sum(1))
-            close = np.flatnonzero(got[:, -1] - got[:, min(k, take - 1)] <= slack)
-        else:
-            near = np.broadcast_to(np.arange(n), (len(asked), n))
+            cut_at = np.partition(d, take - 1, axis=1)[:, take - 1]
+            within = d <= cut_at[:, None]
+            near = np.empty((len(asked), take), np.int64)
+            tied = within.sum(1) > take
+            near[~tied] = (np.flatnonzero(within[~tied] if tied.any() else within) % n).reshape(-1, take)
+            near[tied] = np.argpartition(d[tied], take - 1, axis=1)[:, :take]
         exact = ((asked[:, None, :] - x[near]) ** 2).sum(2)
         names = ids[near]
         self_ = names == me[:, None]
         exact[self_] = np.inf
-        names = np.where(self_, _NONE, names)
+        names[self_] = _NONE
         order = np.lexsort((names, exact), axis=1)[:, :k]
         w = order.shape[1]
-        best[lo + rows, :w], dist[lo + rows, :w] = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
-        for i in close:
+        best[lo : lo + step, :w], dist[lo : lo + step, :w] = np.take_along_axis(names, order, 1), np.take_along_axis(exact, order, 1)
+        if take < n:
+            # Rows whose cut is within rounding of the k-th distance are ranked over all rows.
+            size = (y * y).sum(1)
+            whole = np.flatnonzero(cut_at + size - dist[lo : lo + step, -1] <= 1e-9 * (top + size))
+        for i in whole:
             e = ((asked[i] - x) ** 2).sum(1)
             e[ids == me[i]] = np.inf
             o = np.lexsort((ids, e))[:k]
@@ -282,10 +287,10 @@ class Stretch:
         gap[row[near], run[near]] = left[near]
         return gap
 
-    def search(self, y: np.ndarray, own: np.ndarray, near: np.ndarray, d2: np.ndarray, k: int, radius: float, bounds: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, y: np.ndarray, own: np.ndarray, near: np.ndarray, d2: np.ndarray, k: int, radius: float, bounds: np.ndarray, part: int, fresh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lists of the asking rows (``y`` with ids ``own``) after this stretch, number ``part``, and whether each is settled.
 
-        ``near`` and ``d2`` are what other stretches have found.
+        ``near`` and ``d2`` are what other stretches have found; ``fresh`` that there is nothing yet.
         """
         strings = as_keys(*self.tree.words(self.tree.quantised(y)))
         run = np.maximum(0, np.searchsorted(self.first, strings, side="right") - 1)
@@ -295,7 +300,8 @@ class Stretch:
             mine = order[lo:hi]
             if len(mine):
                 a, b = self.spans[run[mine[0]]]
-                near[mine], d2[mine] = merged(near[mine], d2[mine], *nearest(self.x[a:b], self.ids[a:b], y[mine], own[mine], k), k)
+                got = nearest(self.x[a:b], self.ids[a:b], y[mine], own[mine], k)
+                near[mine], d2[mine] = got if fresh else merged(near[mine], d2[mine], *got, k)
         # Settled at once: all cells that the ball touches are within the run. The others ascend together.
         low, high = self.tree.box(y, np.minimum(np.sqrt(d2[:, -1]), radius))
         least, most = as_keys(*self.tree.words(low)), as_keys(*self.tree.words(high))
@@ -381,7 +387,7 @@ def _bare(bounds: np.ndarray) -> np.ndarray:
 
 
 def _tree_pass(rows: DataFrame, asking: DataFrame | None, tree: HashTree, bounds: np.ndarray, dims: int, k: int, leaf: int, radius: float, last: bool) -> DataFrame:
-    """``(id, pos, near, d2, ask)``: the asking rows after one tree, ``ask`` false for those now settled.
+    """``(id, pos, near, d2, ask)``: the asking rows after one tree; those now settled have ``ask`` false and no ``pos``.
 
     ``rows(id, pos)`` is what is searched; without ``asking(id, pos, near, d2)`` every row asks. In the
     ``last`` tree asking rows go to all stretches that their ball touches, and come back from each.
@@ -425,9 +431,9 @@ def _tree_pass(rows: DataFrame, asking: DataFrame | None, tree: HashTree, bounds
         settled = np.zeros(n, bool)
         if n and len(t):
             s = Stretch(tree, _matrix(t["pos"].combine_chunks(), dims).astype(np.float64), t["id"].to_numpy(), leaf)
-            near, d2, settled = s.search(given.astype(np.float64), own, near, d2, k, radius, strings, p)
-        whole = np.ones(n, bool)
-        out = [asks["id"], asks["pos"], _lists(near, whole, pa.int64()), _lists(d2, whole, pa.float64()), pa.array(np.zeros(n, bool) if last else ~settled)]
+            near, d2, settled = s.search(given.astype(np.float64), own, near, d2, k, radius, strings, p, opening)
+        whole, still = np.ones(n, bool), np.zeros(n, bool) if last else ~settled
+        out = [asks["id"], _lists(given, still, asks["pos"].type.value_type), _lists(near, whole, pa.int64()), _lists(d2, whole, pa.float64()), pa.array(still)]
         yield from pa.Table.from_arrays(out, ["id", "pos", "near", "d2", "ask"]).to_batches(max_chunksize=20_000)
 
     placed = rows.mapInArrow(route, f"id long, pos {kind}, part int")
@@ -463,7 +469,7 @@ def _copies(base: DataFrame, dims: int, k: int) -> DataFrame:
 
 
 def knn_forest(
-    df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 3, leaf: int = 1536, radius: float | None = None, seed: int = 7, rows_per_task: int = 50_000, sample: int = 20_000
+    df: DataFrame, id_col: str, pos_col: str, dims: int, k: int = 5, trees: int = 2, leaf: int = 1536, radius: float | None = None, seed: int = 7, rows_per_task: int = 50_000, sample: int = 20_000
 ) -> DataFrame:
     """``(node, rank, neighbor, dist)``: the k nearest other rows of every row, rank 1 the nearest.
 
