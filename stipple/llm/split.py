@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.llm.common import current_rows, cut, finite, partitions
-from stipple.llm.reach import reach_groups
+from stipple.llm.reach import linked, reach_groups
 
 OUT = "cloud_id long, piece long, seq int, node_id long, body long, body_size long, shared boolean"
 _HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
@@ -47,24 +47,6 @@ def _cell_keys(group: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return h
 
 
-def linked(pairs_a: np.ndarray, pairs_b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Smallest index of each row's component under the given links, starting from ``label``."""
-    a, b = pairs_a, pairs_b
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        if not len(a):
-            break
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-    return label
-
-
 def bodies(group: np.ndarray, x: np.ndarray, reach: np.ndarray, budget: int = 4_000_000) -> np.ndarray:
     """Smallest row index linked to each row by steps of at most its group's ``reach`` within its group.
 

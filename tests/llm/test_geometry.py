@@ -31,6 +31,21 @@ def frame(spark, x, first=100):
     return spark.createDataFrame([(first + i, [float(v) for v in p], "x") for i, p in enumerate(x)], "node_id long, pos array<double>, label string")
 
 
+def test_local_groups_of_many_rows_and_of_one_dense_cell():
+    x = blobs(8, 3000, 6, 6.0, 40)
+    assert (reach.local_groups(x, 10.0) == linkage(x, 10.0)).all()
+    same = np.repeat(np.random.default_rng(3).normal(size=(4, 5)), 5000, 0)
+    assert (reach.local_groups(same, 10.0) == 0).all()
+
+
+def test_reach_groups_of_a_dense_cell(spark):
+    # More rows within a few reaches than a task may hold, two groups and strays among them.
+    r = np.random.default_rng(12)
+    x = np.concatenate([r.normal(0, 0.25, (900, 3)), r.normal(0, 0.25, (500, 3)) + [0, 0, 4.5], r.uniform(-3, 3, (60, 3))])[r.permutation(1460)]
+    got = {v["id"]: v["label"] for v in reach.reach_groups(frame(spark, x, 0), "node_id", "pos", 3, 0.9, rows_per_cell=50, rows_per_task=200).collect()}
+    assert [got[i] for i in range(len(x))] == linkage(x, 0.9).tolist()
+
+
 @pytest.mark.parametrize("task_rows", [10**9, 60])
 def test_reach_groups_over_cells_and_blocks(spark, task_rows):
     x = blobs(3, 400, 5, 2.5)
