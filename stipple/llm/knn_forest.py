@@ -34,7 +34,7 @@ from stipple.llm.common import partitions, written
 
 _BITS = 18
 _TAKEN = 7
-_PAIRS = 1_000_000
+_PAIRS = 200_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -154,7 +154,7 @@ def runs(hi: np.ndarray, lo: np.ndarray, leaf: int) -> list[tuple[int, int, bool
     return out
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray, k: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray, k: int, spare: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Ids and squared distances of the k rows nearest to each row of ``query``, without the row whose id it has (ties: smaller id).
 
     Missing neighbours have id ``_NONE`` and an infinite distance. A matrix product ranks roughly; the
@@ -168,7 +168,7 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray,
     rough = x - mid
     take = k + 1 + spare
     norms = (rough * rough).sum(1)
-    double = -2.0 * rough.T
+    double = np.concatenate([-2.0 * rough.T, norms[None]])
     top = np.maximum(1.0, norms.max())
     step = max(32, _PAIRS // n)
     for lo in range(0, m, step):
@@ -178,14 +178,16 @@ def nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarray,
             near = np.broadcast_to(np.arange(n), (len(asked), n))
         else:
             y = asked - mid
-            d = y @ double
-            d += norms
+            d = np.concatenate([y, np.ones((len(y), 1))], 1) @ double
             cut_at = np.partition(d, take - 1, axis=1)[:, take - 1]
             within = d <= cut_at[:, None]
             near = np.empty((len(asked), take), np.int64)
             tied = within.sum(1) > take
-            near[~tied] = (np.flatnonzero(within[~tied] if tied.any() else within) % n).reshape(-1, take)
-            near[tied] = np.argpartition(d[tied], take - 1, axis=1)[:, :take]
+            if tied.any():
+                near[~tied] = (np.flatnonzero(within[~tied]) % n).reshape(-1, take)
+                near[tied] = np.argpartition(d[tied], take - 1, axis=1)[:, :take]
+            else:
+                near = (np.flatnonzero(within) % n).reshape(-1, take)
         exact = ((asked[:, None, :] - x[near]) ** 2).sum(2)
         names = ids[near]
         self_ = names == me[:, None]
