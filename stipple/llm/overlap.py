@@ -2,15 +2,17 @@
 
 Every shape is written as a normalised text. A passage of it is one tetrahedron of far-apart points,
 described by quantities that a turn about the vertical, an offset and one scale leave alone: height
-differences and edge lengths relative to one edge, and the handedness, each quantised to a symbol. A
-shape has several passages for each of its points, so a fifth of missing or added points leaves many of
-them intact. Both conventions for the vertical axis give a text.
+differences and edge lengths relative to one edge, and on which sides points lie, each quantised to a
+symbol. A shape has a few passages for each of its points, so a fifth of missing or added points leaves
+many of them intact. Both conventions for the vertical axis give a text.
 
 Passages are routed to shards by a hash of themselves. Each shard builds one Aho-Corasick automaton over
-its evaluation passages (and variants in which quantities near the border of their bin fall on the other
-side) and scans the texts of all training shapes. Matched intervals are merged into the coverage of each
-evaluation record by each training record. Pairs above a small coverage are checked exactly: the matched
-passages give poses, the best is refined, and the share of points that fall on each other decides.
+its evaluation passages, each different one once, and scans its part of the texts of all training shapes,
+in which passages also stand with the quantities nearest to the border of their bin on the other side.
+Matched intervals are merged into the coverage of each evaluation record by each training record; only
+passages that agree on the turn and the scale between the two count together. Pairs above a small
+coverage are checked exactly: the common passages give poses, those that carry the most points to points
+are refined, and the share of points that fall on each other decides.
 
 Copies with the very same points are one representative until the end.
 """
@@ -26,86 +28,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipple.llm.common import cut, partitions
+from stipple.llm.common import cut, partitions, written
 
-BIN = 0.045
-RANKS = 6
-LEAST = 360
+BIN = 0.075
+LEAST = 128
 PROBES = 2
 _DELIMITER = "\x01"
-_SYMBOLS = 9
+_QUANTITIES = 7
+_WIDTH = _QUANTITIES + 2
 
 
 def tetrahedra(p: np.ndarray) -> np.ndarray:
-    """``(m, 4)`` rows of indices: each point, one of its farthest points, and two more far from all before.
+    """``(shapes, m, 4)`` indices for ``(shapes, n, 3)`` points: each point, a far one, and two more far from all before.
 
-    Shapes of few points take more of the farthest points, and more choices of the other two, so that they
-    too have ``LEAST`` rows and more.
+    Shapes of few points take more of the farthest points, and more choices of the other two, so that all
+    have about ``LEAST`` rows or more.
     """
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
-    n = len(p)
-    far = np.argsort(-d, axis=1)
-    depth = max(1, min(4, 64 // n))
-    out = []
-    for r in range(min(max(RANKS, -(-LEAST // n)), n - 1)):
-        a = far[:, r]
-        near = np.minimum(d, d[a])
-        for b in np.argsort(-near, axis=1)[:, :depth].T if depth > 1 else [near.argmax(1)]:
-            last = np.minimum(near, d[b])
-            for c in np.argsort(-last, axis=1)[:, :depth].T if depth > 1 else [last.argmax(1)]:
-                out.append(np.stack([np.arange(n), a, b, c], 1))
-    q = np.concatenate(out)
-    s = np.sort(q, 1)
-    return q[(s[:, 1:] != s[:, :-1]).all(1)]
-
+    d = np.sqrt(((p[:, :, None] - p[:, None]) ** 2).sum(3))
+    shapes, n = d.shape[:2]
+    depth = max(1, min(3, 40 // n))
+    ranks = min(n - 1, -(-LEAST // (n * depth * depth)))
+    far = np.argsort(-d, axis=2, kind="stable")[:, :, :ranks]
+    at = np.arange(shapes)[:, None]
+    first = np.broadcast_to(np.arange(n), (shapes, n))
+
+    def farthest(v: np.ndarray) -> list[np.ndarray]:
+        if depth == 1:
+            return [v.argmax(2)]
+        return list(np.moveaxis(np.argsort(-v, axis=2, kind="stable")[:, :, :depth], 2, 0))
 
-def quantities(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eight invariant quantities of each tetrahedron (third coordinate vertical) and its handedness."""
-    a, b, c, d = (p[q[:, k]] for k in range(4))
-    edge = np.sqrt(((a - b) ** 2).sum(1))
-
-    def length(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.sqrt(((x - y) ** 2).sum(1)) / edge
+    out = []
+    for r in range(ranks):
+        a = far[:, :, r]
+        near = np.minimum(d, d[at, a])
+        for b in farthest(near):
+            last = np.minimum(near, d[at, b])
+            out += [np.stack([first, a, b, c], 2) for c in farthest(last)]
+    return np.concatenate(out, 1)
 
-    v = np.stack([(b - a)[:, 2] / edge, (c - a)[:, 2] / edge, (d - a)[:, 2] / edge, length(a, c), length(b, c), length(a, d), length(b, d), length(c, d)], 1)
-    hand = ((b - a) * np.cross(c - a, d - a)).sum(1) > 0
-    return v, hand
 
+def quantities(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Invariant quantities of each tetrahedron (third coordinate vertical) and a number for the sides its last two points lie on.
 
-def _symbols(f: np.ndarray, hand: np.ndarray) -> np.ndarray:
-    return np.concatenate([2 + hand[:, None].astype(np.uint8), np.clip(f + 60, 4, 126).astype(np.uint8)], 1)
+    Also what is not invariant: the directions of two of its edges (256ths of a turn) and the size (16ths of an octave).
+    """
+    at = np.arange(len(p))[:, None]
+    a, b, c, d = (p[at, q[:, :, k]] for k in range(4))
 
+    def length(x: np.ndarray) -> np.ndarray:
+        return np.sqrt((x * x).sum(2))
 
-def _hashes(symbols: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(symbols), np.uint64)
-    for k in range(symbols.shape[1]):
-        h = (h ^ symbols[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+    u, v, w = b - a, c - a, d - a
+    edge = np.maximum(length(u), 1e-300)
+    values = np.stack([u[..., 2], v[..., 2], w[..., 2], length(v), length(c - b), length(w), length(d - b)], 2) / edge[..., None]
+    side = [u[..., 0] * x[..., 1] - u[..., 1] * x[..., 0] > 0 for x in (v, w)]
+    turns = np.stack([np.floor(np.arctan2(x[..., 1], x[..., 0]) * (128 / np.pi)).astype(np.int64) & 255 for x in (u, v)], 2)
+    return values, side[0] + 2 * side[1], turns, np.floor(np.log2(edge) * 16).astype(np.int64)
 
 
 def passages(p: np.ndarray, variants: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, hash and tetrahedron number of each passage, and the tetrahedra."""
+    """``(shapes, m, symbols)`` passages of ``(shapes, n, 3)`` points, the tetrahedron of each, the tetrahedra, and turn and size of each passage.
+
+    Turn and size are one number, ``size * 256 + turn``. The turn is that of the first edge or, where its
+    symbol says that it is upright, of another, so equal passages always mean the same one.
+    """
     q = tetrahedra(p)
-    v, hand = quantities(p, q)
+    v, side, turns, size = quantities(p, q)
     t = v / BIN
     f = np.floor(t).astype(np.int64)
-    all_f, number = [f], [np.arange(len(q))]
+    all_f, number = [f], [np.arange(q.shape[1])]
     if variants:
         part = t - f
         step = np.where(part < 0.5, -1, 1)
-        edge = np.argsort(np.minimum(part, 1 - part), axis=1)
-        rows = np.arange(len(q))
+        edge = np.argsort(np.minimum(part, 1 - part), axis=2, kind="stable")[..., :PROBES]
         for mask in range(1, 1 << PROBES):
             g = f.copy()
             for k in range(PROBES):
                 if mask >> k & 1:
-                    g[rows, edge[:, k]] += step[rows, edge[:, k]]
+                    at = edge[..., k : k + 1]
+                    np.put_along_axis(g, at, np.take_along_axis(g, at, 2) + np.take_along_axis(step, at, 2), 2)
             all_f.append(g)
-            number.append(rows)
-    number = np.concatenate(number)
-    s = _symbols(np.concatenate(all_f), hand[number])
-    return s, _hashes(s), number, q
+            number.append(number[0])
+    # Symbols 2 to 5 are sides, 8 to 126 quantities: no text has a delimiter or a character of two bytes.
+    s = np.clip(np.concatenate(all_f, 1) + 66, 8, 126)
+    copies = len(all_f)
+    side = np.concatenate([side] * copies, 1)[..., None] + 2
+    upright = np.abs((s[..., 0] - 66 + 0.5) * BIN) > 0.9
+    turn = np.where(upright, *(np.concatenate([turns[..., k]] * copies, 1) for k in (1, 0)))
+    return np.concatenate([side, s], 2).astype(np.uint8), np.concatenate(number), q, np.concatenate([size] * copies, 1) * 256 + turn
+
+
+def _hashes(symbols: np.ndarray) -> np.ndarray:
+    h = np.zeros(symbols.shape[:-1], np.uint64)
+    for k in range(symbols.shape[-1]):
+        h = (h ^ symbols[..., k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def _turned(p: np.ndarray, up: int) -> np.ndarray:
@@ -134,42 +152,85 @@ def _nearest(y: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return j, np.sqrt(np.maximum(d[np.arange(len(y)), j], 0.0)), mutual
 
 
-def shared_share(e: np.ndarray, t: np.ndarray, tolerance: float = 0.03, poses: int = 16) -> float:
+def tetrahedra_in_common(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Tetrahedra of two shapes with the same passage, each given as ``(sorted hashes, number of each, tetrahedra)``."""
+    low, high = np.searchsorted(t[0], e[0]), np.searchsorted(t[0], e[0], side="right")
+    hit = np.flatnonzero(high > low)
+    count = (high - low)[hit]
+    ke = np.repeat(e[1][hit], count)
+    kt = t[1][np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    both = np.unique(ke.astype(np.int64) << 32 | kt)
+    return e[2][both >> 32], t[2][both & 0xFFFFFFFF]
+
+
+def described(p: np.ndarray, variants: bool) -> list[tuple[np.ndarray, ...]]:
+    """``(sorted hashes, number of each, tetrahedra)`` of each of ``(shapes, n, 3)``."""
+    s, number, q, _ = passages(p, variants)
+    h = _hashes(s)
+    order = np.argsort(h, axis=1, kind="stable")
+    return [(h[i][o], number[o], q[i]) for i, o in enumerate(order)]
+
+
+def shared_share(e: np.ndarray, t: np.ndarray, qe: np.ndarray | None = None, qt: np.ndarray | None = None, tolerance: float = 0.03) -> float:
     """Share of the larger shape's points that fall on a point of the other after the best alignment.
 
-    Poses come from tetrahedra that both shapes have; without a common one the share is 0.
+    Every tetrahedron that both shapes have (``qe`` is ``qt``) gives a pose. Poses are tried from the one
+    that carries the most points to points on, until one aligns the shapes; without a common tetrahedron
+    the share is 0.
     """
-    se, he, ne, qe = passages(e, True)
-    st, ht, nt, qt = passages(t, False)
-    order = np.argsort(ht, kind="stable")
-    at = np.searchsorted(ht[order], he)
-    hit = at < len(order)
-    hit[hit] = ht[order[at[hit]]] == he[hit]
-    ke, kt = ne[hit], nt[order[at[hit]]]
-    if not len(ke):
+    if qe is None:
+        qe, qt = tetrahedra_in_common(described(e[None], False)[0], described(t[None], True)[0])
+    if not len(qe):
         return 0.0
-    pick = np.unique(np.linspace(0, len(ke) - 1, poses).astype(int))
     extent = float(np.ptp(t, axis=0).max())
     most, best = max(len(e), len(t)), 0.0
-    for i, k in zip(ke[pick], kt[pick], strict=True):
-        fit = _fit(e[qe[i]], t[qt[k]])
+    fits = _fits(e[qe], t[qt])
+    # How many points each pose puts near a point, a bounded number of distances at a time: of a quarter of
+    # the points first, then of all for the poses that carry a fifth of those.
+    kept = np.flatnonzero(fits[0] > 0)
+    close = np.zeros(len(qe), int)
+    for part, least in ((e[::4], 0.2), (e, 0.35)):
+        step = max(1, 200_000 // (len(part) * len(t)))
+        for lo in range(0, len(kept), step):
+            scale, turn, a0, b0 = (v[kept[lo : lo + step]] for v in fits)
+            y = scale[:, None, None] * ((part[None] - a0[:, None]) @ turn.transpose(0, 2, 1)) + b0[:, None]
+            d = (y * y).sum(2)[:, :, None] + (t * t).sum(1) - 2.0 * y @ t.T
+            close[kept[lo : lo + step]] = (d.min(2) <= (2.0 * tolerance * extent) ** 2).sum(1)
+        kept = kept[close[kept] >= least * (len(part) if len(part) < len(e) else most)]
+        if not len(kept):
+            return 0.0
+    for i in kept[np.argsort(-close[kept], kind="stable")]:
+        fit = tuple(v[i] for v in fits)
         share = 0.0
         for r in range(6):
-            if fit is None:
-                break
             scale, turn, a0, b0 = fit
             j, d, mutual = _nearest(scale * ((e - a0) @ turn.T) + b0, t)
             good = mutual & (d <= tolerance * extent * (2.0 if r < 3 else 1.0))
-            share = (mutual & (d <= tolerance * extent)).sum() / most
-            if good.sum() < 4 or (r == 0 and good.sum() < 0.35 * most):
+            share = max(share, (mutual & (d <= tolerance * extent)).sum() / most)
+            # A pose that two refinements leave far from aligned is a chance one.
+            fit = _fit(e[good], t[j[good]]) if good.sum() >= 4 and (r < 2 or share >= 0.5) else None
+            if fit is None:
                 break
-            fit = _fit(e[good], t[j[good]])
         best = max(best, share)
-        if best >= 0.95:
+        if best >= 0.75:
             break
     return best
 
 
+def _fits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_fit`` of many quadruples of points at once; a scale of 0 where there is none."""
+    a0, b0 = a.mean(1), b.mean(1)
+    x, y = a - a0[:, None], b - b0[:, None]
+    p = (x[..., 0] * y[..., 0] + x[..., 1] * y[..., 1]).sum(1)
+    q = (x[..., 0] * y[..., 1] - x[..., 1] * y[..., 0]).sum(1)
+    h, size = np.hypot(p, q), (x * x).sum((1, 2))
+    c, s = np.where(h > 0, p / np.maximum(h, 1e-300), 1.0), np.where(h > 0, q / np.maximum(h, 1e-300), 0.0)
+    turn = np.zeros((len(a), 3, 3))
+    turn[:, 0, 0], turn[:, 0, 1], turn[:, 1, 0], turn[:, 1, 1], turn[:, 2, 2] = c, -s, s, c, 1.0
+    scale = (np.einsum("kij,knj->kni", turn, x) * y).sum((1, 2)) / np.maximum(size, 1e-300)
+    return np.maximum(scale, 0.0), turn, a0, b0
+
+
 def _points(col: pa.Array) -> list[np.ndarray]:
     """Distinct finite points of each row of an array of arrays, in one order."""
     out = []
@@ -180,14 +241,28 @@ def _points(col: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def near_copies(records: DataFrame, id_col: str, pos_col: str, train_col: str, least_points: int = 8, least_passages: int = 3, share: float = 0.68, passages_per_shard: int = 500_000) -> DataFrame:
+def _groups(pts: list[np.ndarray], most: int = 200_000) -> Iterator[list[int]]:
+    """Numbers of shapes with equally many points, a bounded number of distances at a time."""
+    by: dict[int, list[int]] = {}
+    for i, p in enumerate(pts):
+        by.setdefault(len(p), []).append(i)
+    for n, own in by.items():
+        step = max(1, most // (n * n))
+        for lo in range(0, len(own), step):
+            yield own[lo : lo + step]
+
+
+def near_copies(
+    records: DataFrame, id_col: str, pos_col: str, train_col: str, least_points: int = 8, least_passages: int = 4, share: float = 0.68, passages_per_shard: int = 400_000, texts_per_shard: int = 4_000_000
+) -> DataFrame:
     """``(eval_id, train_id)``: every evaluation record with each training record of the same shape.
 
     ``train_col`` is a boolean; null counts as evaluation. ``records`` has one row per id. Records with
     fewer than ``least_points`` different finite points (null, empty and unreadable ones among them) are
     left out. ``least_passages`` is how many passages two records must have in common to be compared,
     ``share`` how much of the larger one must coincide. No partner is dropped: a record with many
-    partners is returned with all. Empty tables give an empty result; other columns are ignored.
+    partners is returned with all. Empty tables give an empty result; other columns are ignored. The number
+    of shards follows from the passages of both sides, so a shard's task holds about as many at any size.
     """
     spark = records.sparkSession
 
@@ -204,89 +279,133 @@ def near_copies(records: DataFrame, id_col: str, pos_col: str, train_col: str, l
     named = rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
     members = cut(rows.join(named, "key").select("id", "train", "rep", "in_train", "in_eval"))
     reps = cut(rows.join(members.filter("id = rep").select("id", "in_train", "in_eval"), "id").select(F.col("id").alias("rep"), "in_train", "in_eval", "pts"))
-    n_eval = reps.filter("in_eval").count()
-    shards = max(partitions(spark), -(-n_eval * 3000 // passages_per_shard))
+    sides = reps.agg(F.count_if("in_eval"), F.count_if("in_train")).first()
+    # About 2 x 240 passages a shape, four variants of each on the training side.
+    shards = max(partitions(spark), -(-sides[0] * 480 // passages_per_shard), -(-sides[1] * 1920 // texts_per_shard))
 
-    def texts(side: str):
+    def texts(train: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: dict[str, list] = {"shard": [], "rep": [], "up": [], "text": [], "at": []}
-                for rep, flat in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    p = flat.values.to_numpy().reshape(-1, 3)
+                reps_, col = b.column(0).to_numpy(), b.column(1)
+                pts = [v.values.to_numpy().reshape(-1, 3) for v in col]
+                to_, who_, at_, text_, pose_ = [], [], [], [], []
+                for own in _groups(pts):
+                    p = np.stack([pts[i] for i in own])
                     for up in (0, 1):
-                        s, h, number, _ = passages(_turned(p, up), side == "eval")
-                        s = np.concatenate([np.full((len(s), 1), ord(_DELIMITER), np.uint8), s], 1)
-                        to = (h % np.uint64(shards)).astype(np.int64)
-                        order = np.argsort(to, kind="stable")
-                        cuts = np.flatnonzero(np.diff(to[order])) + 1
-                        for part in np.split(order, cuts):
-                            if len(part):
-                                out["shard"].append(int(to[part[0]]))
-                                out["rep"].append(rep)
-                                out["up"].append(up)
-                                out["text"].append(s[part].tobytes().decode("ascii"))
-                                out["at"].append(number[part].astype(np.int32))
-                arrays = [pa.array(out["shard"], pa.int32()), pa.array(out["rep"], pa.int64()), pa.array(out["up"], pa.int32()), pa.array(out["text"], pa.string()), pa.array(out["at"] if side == "eval" else [None] * len(out["rep"]), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=list(out))
+                        s, number, _, pose = passages(p if up == 0 else p[:, :, [0, 2, 1]], train)
+                        m = s.shape[1]
+                        s, who = s.reshape(-1, _WIDTH - 1), np.repeat(np.array(own), m) * 2 + up
+                        to_.append((_hashes(s) % np.uint64(shards)).astype(np.int64))
+                        who_.append(who)
+                        at_.append(np.tile(number, len(own)).astype(np.int32))
+                        text_.append(s)
+                        pose_.append(pose.ravel())
+                if not to_:
+                    continue
+                to, who, at, text, pose = (np.concatenate(v) for v in (to_, who_, at_, text_, pose_))
+                order = np.argsort(to, kind="stable")
+                to, who, at, text, pose = to[order], who[order], at[order], text[order], pose[order]
+                text = np.concatenate([np.full((len(text), 1), ord(_DELIMITER), np.uint8), text], 1)
+                first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                last = np.append(first[1:], len(to))
+                ends = pa.array(np.append(first, len(to)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (reps_[who // 2] * 2 + who % 2, at if not train else np.zeros(len(at), np.int32), pose.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[first].astype(np.int32)), *lists, pa.array([text[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())], names=["shard", "who", "at", "pose", "text"]
+                )
 
         return run
 
-    kind = "shard int, rep long, up int, text string, at array<int>"
-    wanted = reps.filter("in_eval").select("rep", "pts").mapInArrow(texts("eval"), kind)
-    corpus = reps.filter("in_train").select("rep", "pts").mapInArrow(texts("train"), kind)
+    kind = "shard int, who array<long>, at array<int>, pose array<int>, text binary"
+    wanted = reps.filter("in_eval").select("rep", "pts").mapInArrow(texts(False), kind)
+    corpus = reps.filter("in_train").select("rep", "pts").mapInArrow(texts(True), kind)
+
+    shape = pa.schema([("e", pa.int64()), ("t", pa.int64()), ("ups", pa.int32()), ("votes", pa.list_(pa.int64()))])
 
     def scan(evals: pa.Table, trains: pa.Table) -> pa.Table:
-        empty = pa.table({"e": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "ups": pa.array([], pa.int32()), "at": pa.array([], pa.list_(pa.int32()))})
         if not len(evals) or not len(trains):
-            return empty
-        width = _SYMBOLS + 1
-        places: dict[str, list[int]] = {}
-        owner, owner_up, number = [], [], []
-        for rep, up, text, at in zip(evals["rep"].to_pylist(), evals["up"].to_pylist(), evals["text"].to_pylist(), evals["at"].to_pylist(), strict=True):
-            for k, a in enumerate(at):
-                places.setdefault(text[k * width : (k + 1) * width], []).append(len(owner))
-                owner.append(rep)
-                owner_up.append(up)
-                number.append(a)
-        automaton = ahocorasick.Automaton()
-        for word, where in places.items():
-            automaton.add_word(word, where)
+            return shape.empty_table()
+        word = np.frombuffer(b"".join(evals["text"].to_pylist()), f"S{_WIDTH}")
+        owner, number, pose = (evals[c].combine_chunks().flatten().to_numpy() for c in ("who", "at", "pose"))
+        order = np.argsort(word, kind="stable")
+        word, owner, number, pose = word[order], owner[order], number[order], pose[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        count = np.diff(np.append(first, len(word)))
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, w in enumerate(word[first].tolist()):
+            automaton.add_word(w.decode("ascii"), i)
         automaton.make_automaton()
-        owner, owner_up, number = np.array(owner), np.array(owner_up), np.array(number, np.int32)
-        got_e, got_t, got_u, got_at = [], [], [], []
-        for rep, up, text in zip(trains["rep"].to_pylist(), trains["up"].to_pylist(), trains["text"].to_pylist(), strict=True):
-            found = [i for _, where in automaton.iter(text) for i in where if owner[i] != rep]
-            if found:
-                got_e.append(found)
-                got_t.append(np.full(len(found), rep))
-                got_u.append(np.full(len(found), up))
-        if not got_e:
-            return empty
-        i = np.concatenate([np.asarray(x, np.int64) for x in got_e])
-        t, u = np.concatenate(got_t), np.concatenate(got_u)
-        e, ups, at = owner[i], owner_up[i] * 2 + u, number[i]
-        order = np.lexsort((at, ups, t, e))
-        e, t, ups, at = e[order], t[order], ups[order], at[order]
-        first = np.append(True, (e[1:] != e[:-1]) | (t[1:] != t[:-1]) | (ups[1:] != ups[:-1]))
-        starts = np.flatnonzero(first)
-        got_at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(e)).astype(np.int32)), pa.array(at))
-        return pa.table({"e": e[starts], "t": t[starts], "ups": ups[starts].astype(np.int32), "at": got_at})
-
-    hits = wanted.groupBy("shard").cogroup(corpus.groupBy("shard")).applyInArrow(scan, "e long, t long, ups int, at array<int>")
-    covered = hits.groupBy("e", "t", "ups").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n")).filter(F.col("n") >= least_passages)
-    best = covered.groupBy("e", "t").agg(F.max_by("ups", F.struct("n", -F.col("ups"))).alias("ups"))
+        found: list[np.ndarray] = []
+        for who, turns, text in zip(trains["who"].combine_chunks(), trains["pose"].combine_chunks(), trains["text"].to_pylist(), strict=True):
+            hits = np.array(list(automaton.iter(text.decode("ascii"))), np.int64).reshape(-1, 2)
+            if len(hits):
+                at = hits[:, 0] // _WIDTH
+                n = count[hits[:, 1]]
+                i = np.repeat(first[hits[:, 1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                t, own = np.repeat(who.values.to_numpy()[at], n), np.repeat(turns.values.to_numpy()[at].astype(np.int64), n)
+                # A vote: the passage, the turn from one record to the other, and the steps of size between them.
+                vote = number[i].astype(np.int64) << 32 | ((own - pose[i]) & 255) << 16 | ((own >> 8) - (pose[i] >> 8)) + (1 << 15)
+                found.append(np.stack([owner[i], t, vote])[:, owner[i] // 2 != t // 2])
+        if not found:
+            return shape.empty_table()
+        e, t, vote = np.concatenate(found, 1)
+        order = np.lexsort((vote, t, e))
+        e, t, vote = e[order], t[order], vote[order]
+        new = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (t[1:] != t[:-1]))) if len(e) else np.zeros(0, int)
+        votes = pa.ListArray.from_arrays(pa.array(np.append(new, len(e)).astype(np.int32)), pa.array(vote))
+        return pa.table([pa.array(e[new] // 2), pa.array(t[new] // 2), pa.array((e[new] % 2 * 2 + t[new] % 2).astype(np.int32)), votes], schema=shape)
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = b.column("votes")
+            row = np.repeat(np.arange(b.num_rows), votes.value_lengths().to_numpy())
+            vote = votes.flatten().to_numpy()
+            turn, size, number = (vote >> 16) & 255, vote & 0xFFFF, vote >> 32
+            # Cells of a sixteenth of a turn and an eighth of an octave overlap by half; a passage counts once in a cell.
+            most = np.zeros(b.num_rows, np.int64)
+            for dt in (0, 8):
+                for ds in (0, 1):
+                    key = np.unique(np.stack([row, ((turn + dt) & 255) >> 4, (size + ds) >> 1, number]), axis=1)
+                    new = np.flatnonzero(np.append(True, (key[:3, 1:] != key[:3, :-1]).any(0))) if key.shape[1] else np.zeros(0, int)
+                    np.maximum.at(most, key[0][new], np.diff(np.append(new, key.shape[1])))
+            keep = np.flatnonzero(most >= least_passages)
+            yield b.select(["e", "t", "ups"]).take(pa.array(keep)).append_column("n", pa.array(most[keep]))
+
+    hits = wanted.groupBy("shard").cogroup(corpus.groupBy("shard")).applyInArrow(scan, "e long, t long, ups int, votes array<long>")
+    covered = hits.groupBy("e", "t", "ups").agg(F.flatten(F.collect_list("votes")).alias("votes")).filter(F.size("votes") >= least_passages)
+    covered = covered.mapInArrow(agree, "e long, t long, ups int, n long")
+    # The convention with the most common passages first; the others are tried where it fails.
+    best = covered.groupBy("e", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "ups"))), lambda v: v["ups"]).alias("ups"))
+    best = written(best)
     pairs = best.join(reps.select(F.col("rep").alias("e"), F.col("pts").alias("pe")), "e").join(reps.select(F.col("rep").alias("t"), F.col("pts").alias("pt")), "t")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ups = b.column("ups").to_pylist()
+            pts = [[v.values.to_numpy().reshape(-1, 3) for v in b.column(c)] for c in ("pe", "pt")]
+            # Each shape of the batch is described once in each convention that is asked for.
+            known: list[dict[tuple[int, int], tuple]] = [{}, {}]
+            for side, c in enumerate(("e", "t")):
+                names = b.column(c).to_pylist()
+                wanted = {(n, (u // 2, u % 2)[side]): i for i, n in enumerate(names) for u in ups[i]}
+                rows, keys = list(wanted.values()), list(wanted)
+                for own in _groups([pts[side][i] for i in rows]):
+                    p = np.stack([_turned(pts[side][rows[j]], keys[j][1]) for j in own])
+                    known[side].update(zip((keys[j] for j in own), described(p, side == 1), strict=True))
             keep = []
-            for k, (ups, pe, pt) in enumerate(zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True)):
-                e, t = (x.values.to_numpy().reshape(-1, 3) for x in (pe, pt))
-                if min(len(e), len(t)) >= share * max(len(e), len(t)) and shared_share(_turned(e, ups // 2), _turned(t, ups % 2)) >= share:
-                    keep.append(k)
+            for k, (e, t) in enumerate(zip(b.column("e").to_pylist(), b.column("t").to_pylist(), strict=True)):
+                pe, pt = pts[0][k], pts[1][k]
+                if min(len(pe), len(pt)) < share * max(len(pe), len(pt)):
+                    continue
+                for u in ups[k]:
+                    common = tetrahedra_in_common(known[0][e, u // 2], known[1][t, u % 2])
+                    if shared_share(_turned(pe, u // 2), _turned(pt, u % 2), *common) >= share:
+                        keep.append(k)
+                        break
             yield b.select(["e", "t"]).take(pa.array(keep, pa.int64()))
 
-    same = pairs.select("e", "t", "ups", "pe", "pt").repartition(shards).mapInArrow(verify, "e long, t long")
+    # The join leaves the pairs of a training shape together, so most are described once.
+    same = pairs.select("e", "t", "ups", "pe", "pt").mapInArrow(verify, "e long, t long")
     same = same.unionByName(members.filter("in_train and in_eval and id = rep").select(F.col("rep").alias("e"), F.col("rep").alias("t")))
     left = members.filter("not train").select(F.col("rep").alias("e"), F.col("id").alias("eval_id"))
     right = members.filter("train").select(F.col("rep").alias("t"), F.col("id").alias("train_id"))
