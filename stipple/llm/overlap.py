@@ -171,6 +171,34 @@ def described(p: np.ndarray, variants: bool) -> list[tuple[np.ndarray, ...]]:
     return [(h[i][o], number[o], q[i]) for i, o in enumerate(order)]
 
 
+def carried(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], tolerance: float = 0.03, few: int = 16, poses: int = 1_000) -> list[np.ndarray]:
+    """Of each pair ``(e, t, qe, qt)`` the poses (tetrahedra ``qe`` on ``qt``) that carry two fifths of some points near a point.
+
+    All pairs at once, a bounded number of poses at a time: ``few`` points of each ``e``, spread over it.
+    """
+    count = np.array([len(q) for _, _, q, _ in pairs], int)
+    out = [np.zeros(0, int)] * len(pairs)
+    if not count.sum():
+        return out
+    who = np.repeat(np.arange(len(pairs)), count)
+    scale, turn, a0, b0 = _fits(np.concatenate([e[q] for e, _, q, _ in pairs]), np.concatenate([t[q] for _, t, _, q in pairs]))
+    part = np.stack([e[np.linspace(0, len(e) - 1, few).astype(int)] for e, _, _, _ in pairs])
+    # Columns -2 t and |t|^2, so that one product with (y, 1) gives the distances but for |y|^2; none is nearest to what is not there.
+    whole = np.zeros((len(pairs), 4, max(len(t) for _, t, _, _ in pairs)))
+    whole[:, 3] = np.inf
+    for i, (_, t, _, _) in enumerate(pairs):
+        whole[i, :3, : len(t)], whole[i, 3, : len(t)] = -2.0 * t.T, (t * t).sum(1)
+    near = np.array([(2.0 * tolerance * np.ptp(t, axis=0).max()) ** 2 for _, t, _, _ in pairs])
+    good = np.zeros(len(who), bool)
+    for lo in range(0, len(who), poses):
+        k = slice(lo, lo + poses)
+        y = scale[k, None, None] * ((part[who[k]] - a0[k, None]) @ turn[k].transpose(0, 2, 1)) + b0[k, None]
+        d = (np.concatenate([y, np.ones((*y.shape[:2], 1))], 2) @ whole[who[k]]).min(2) + (y * y).sum(2)
+        good[k] = ((d <= near[who[k], None]).sum(1) >= 0.4 * few) & (scale[k] > 0)
+    ends = np.append(0, np.cumsum(count))
+    return [np.flatnonzero(good[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def shared_share(e: np.ndarray, t: np.ndarray, qe: np.ndarray | None = None, qt: np.ndarray | None = None, tolerance: float = 0.03) -> float:
     """Share of the larger shape's points that fall on a point of the other after the best alignment.
 
@@ -185,21 +213,18 @@ def shared_share(e: np.ndarray, t: np.ndarray, qe: np.ndarray | None = None, qt:
     extent = float(np.ptp(t, axis=0).max())
     most, best = max(len(e), len(t)), 0.0
     fits = _fits(e[qe], t[qt])
-    # How many points each pose puts near a point, a bounded number of distances at a time: of a quarter of
-    # the points first, then of all for the poses that carry a fifth of those.
-    kept = np.flatnonzero(fits[0] > 0)
+    # How many points each pose puts near a point, a bounded number of distances at a time.
     close = np.zeros(len(qe), int)
-    for part, least in ((e[::4], 0.2), (e, 0.35)):
-        step = max(1, 200_000 // (len(part) * len(t)))
-        for lo in range(0, len(kept), step):
-            scale, turn, a0, b0 = (v[kept[lo : lo + step]] for v in fits)
-            y = scale[:, None, None] * ((part[None] - a0[:, None]) @ turn.transpose(0, 2, 1)) + b0[:, None]
-            d = (y * y).sum(2)[:, :, None] + (t * t).sum(1) - 2.0 * y @ t.T
-            close[kept[lo : lo + step]] = (d.min(2) <= (2.0 * tolerance * extent) ** 2).sum(1)
-        kept = kept[close[kept] >= least * (len(part) if len(part) < len(e) else most)]
-        if not len(kept):
-            return 0.0
-    for i in kept[np.argsort(-close[kept], kind="stable")]:
+    step = max(1, 200_000 // (len(e) * len(t)))
+    for lo in range(0, len(qe), step):
+        scale, turn, a0, b0 = (v[lo : lo + step] for v in fits)
+        y = scale[:, None, None] * ((e[None] - a0[:, None]) @ turn.transpose(0, 2, 1)) + b0[:, None]
+        d = (y * y).sum(2)[:, :, None] + (t * t).sum(1) - 2.0 * y @ t.T
+        close[lo : lo + step] = (d.min(2) <= (2.0 * tolerance * extent) ** 2).sum(1)
+    close[fits[0] <= 0] = 0
+    for i in np.argsort(-close, kind="stable"):
+        if close[i] < 0.5 * most:
+            break
         fit = tuple(v[i] for v in fits)
         share = 0.0
         for r in range(6):
@@ -241,6 +266,13 @@ def _points(col: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that what is made of each takes little memory."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _groups(pts: list[np.ndarray], most: int = 200_000) -> Iterator[list[int]]:
     """Numbers of shapes with equally many points, a bounded number of distances at a time."""
     by: dict[int, list[int]] = {}
@@ -253,7 +285,7 @@ def _groups(pts: list[np.ndarray], most: int = 200_000) -> Iterator[list[int]]:
 
 
 def near_copies(
-    records: DataFrame, id_col: str, pos_col: str, train_col: str, least_points: int = 8, least_passages: int = 4, share: float = 0.68, passages_per_shard: int = 400_000, texts_per_shard: int = 4_000_000
+    records: DataFrame, id_col: str, pos_col: str, train_col: str, least_points: int = 8, least_passages: int = 5, share: float = 0.68, passages_per_shard: int = 60_000, texts_per_shard: int = 600_000
 ) -> DataFrame:
     """``(eval_id, train_id)``: every evaluation record with each training record of the same shape.
 
@@ -285,7 +317,7 @@ def near_copies(
 
     def texts(train: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches, 500):
                 reps_, col = b.column(0).to_numpy(), b.column(1)
                 pts = [v.values.to_numpy().reshape(-1, 3) for v in col]
                 to_, who_, at_, text_, pose_ = [], [], [], [], []
@@ -297,7 +329,7 @@ def near_copies(
                         s, who = s.reshape(-1, _WIDTH - 1), np.repeat(np.array(own), m) * 2 + up
                         to_.append((_hashes(s) % np.uint64(shards)).astype(np.int64))
                         who_.append(who)
-                        at_.append(np.tile(number, len(own)).astype(np.int32))
+                        at_.append(np.tile(number, len(own)).astype(np.int32) if not train else np.zeros(len(s), np.int32))
                         text_.append(s)
                         pose_.append(pose.ravel())
                 if not to_:
@@ -309,7 +341,7 @@ def near_copies(
                 first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
                 last = np.append(first[1:], len(to))
                 ends = pa.array(np.append(first, len(to)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (reps_[who // 2] * 2 + who % 2, at if not train else np.zeros(len(at), np.int32), pose.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (reps_[who // 2] * 2 + who % 2, at, pose.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to[first].astype(np.int32)), *lists, pa.array([text[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())], names=["shard", "who", "at", "pose", "text"]
                 )
@@ -380,7 +412,7 @@ def near_copies(
     pairs = best.join(reps.select(F.col("rep").alias("e"), F.col("pts").alias("pe")), "e").join(reps.select(F.col("rep").alias("t"), F.col("pts").alias("pt")), "t")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 1000):
             ups = b.column("ups").to_pylist()
             pts = [[v.values.to_numpy().reshape(-1, 3) for v in b.column(c)] for c in ("pe", "pt")]
             # Each shape of the batch is described once in each convention that is asked for.
@@ -392,16 +424,17 @@ def near_copies(
                 for own in _groups([pts[side][i] for i in rows]):
                     p = np.stack([_turned(pts[side][rows[j]], keys[j][1]) for j in own])
                     known[side].update(zip((keys[j] for j in own), described(p, side == 1), strict=True))
-            keep = []
+            todo, place = [], []
             for k, (e, t) in enumerate(zip(b.column("e").to_pylist(), b.column("t").to_pylist(), strict=True)):
                 pe, pt = pts[0][k], pts[1][k]
-                if min(len(pe), len(pt)) < share * max(len(pe), len(pt)):
-                    continue
-                for u in ups[k]:
-                    common = tetrahedra_in_common(known[0][e, u // 2], known[1][t, u % 2])
-                    if shared_share(_turned(pe, u // 2), _turned(pt, u % 2), *common) >= share:
-                        keep.append(k)
-                        break
+                if min(len(pe), len(pt)) >= share * max(len(pe), len(pt)):
+                    for u in ups[k]:
+                        todo.append((_turned(pe, u // 2), _turned(pt, u % 2), *tetrahedra_in_common(known[0][e, u // 2], known[1][t, u % 2])))
+                        place.append(k)
+            keep = []
+            for k, (pe, pt, qe, qt), good in zip(place, todo, carried(todo), strict=True):
+                if len(good) and not (keep and keep[-1] == k) and shared_share(pe, pt, qe[good], qt[good]) >= share:
+                    keep.append(k)
             yield b.select(["e", "t"]).take(pa.array(keep, pa.int64()))
 
     # The join leaves the pairs of a training shape together, so most are described once.
