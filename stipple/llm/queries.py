@@ -28,8 +28,9 @@ def _pieces(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
-    """The smallest node of every body of at least 10 nodes of the scans that had to be cut."""
-    return _pieces(spark, at).filter("not shared and node_id = body and body_size >= 10").select("cloud_id", "node_id")
+    """The smallest node of every body of at least 10 nodes of the scans that had to be cut, put together again from the pieces."""
+    own = _pieces(spark, at).filter("not shared").groupBy("cloud_id", "body").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"))
+    return own.filter("n >= 10").select("cloud_id", "node_id")
 
 
 def p1_pieces(spark: SparkSession, at: str) -> DataFrame:

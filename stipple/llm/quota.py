@@ -19,24 +19,32 @@ def repaired_counts(eligible: np.ndarray, target: np.ndarray, floor: np.ndarray,
     """Counts per signature: random start satisfying the floors, repaired by swaps until none improves.
 
     ``target`` are wanted counts (not rounded). A floor above what is eligible is met as far as it goes.
-    The deviation is the sum of squared differences from the targets; a swap takes one from a signature
-    above its floor and gives one to a signature with records left. The best pair is found directly, so
-    the result is a local and, the deviation being convex, global optimum for the size.
+    The deviation is the sum of squared differences from the targets; an exchange takes counts from a
+    signature above its floor and gives them to one with records left, as many at once as lower the deviation
+    most. The best pair is found directly, and none is left that improves by a single count, so the result
+    is a local and, the deviation being convex, global optimum for the size. The number of exchanges does
+    not grow with the counts.
     """
     rng = np.random.default_rng(seed)
     low = np.minimum(floor, eligible).astype(np.int64)
     size = int(min(max(size, low.sum()), eligible.sum()))
     free = eligible - low
-    extra = rng.multivariate_hypergeometric(free, size - low.sum()) if size > low.sum() else np.zeros_like(low)
-    have = low + extra
+    # The generator takes fewer than 10^9 records; more are drawn in units, the rest of a unit at random.
+    unit = 1 + int(free.sum()) // 900_000_000
+    room = free // unit
+    have = low + rng.multivariate_hypergeometric(room, min((size - int(low.sum())) // unit, int(room.sum()))) * unit
+    for i in rng.permutation(len(have)):
+        have[i] += min(size - int(have.sum()), int(eligible[i] - have[i]))
     while True:
         gain_add = np.where(have < eligible, 2 * (target - have) - 1, -np.inf)
         gain_drop = np.where(have > low, 2 * (have - target) - 1, -np.inf)
         a, d = int(np.argmax(gain_add)), int(np.argmax(gain_drop))
         if a == d or not gain_add[a] + gain_drop[d] > 1e-9:
             return have
-        have[a] += 1
-        have[d] -= 1
+        block = round(((target[a] - have[a]) + (have[d] - target[d])) / 2)
+        block = int(max(1, min(block, eligible[a] - have[a], have[d] - low[d])))
+        have[a] += block
+        have[d] -= block
 
 
 class QuotaSample:
@@ -66,14 +74,15 @@ class QuotaSample:
         t["required"] = np.maximum(t.wanted, t.min_rows)
         t["sampled"] = 0
         for _, g in t.groupby(self.strata, dropna=False):
-            size = int(round(float(g.sample_share.iloc[0]) * int(g.n.iloc[0])))
+            size = int(round(float(g.wanted.sum())))
             t.loc[g.index, "sampled"] = repaired_counts(g.eligible.to_numpy(), g.wanted.to_numpy(), g.min_rows.to_numpy(), size, self.seed)
         return t
 
     def report(self) -> DataFrame:
         """Targets with ``eligible``, ``required`` (the larger of the wanted rows and the floor), ``sampled`` and ``met``."""
         t = self.counts()
-        t["met"] = t.eligible >= t.required
+        # A target is missed if the sample falls short of it by more than there is left to take.
+        t["met"] = t.required - t.sampled <= t.eligible - t.sampled
         cols = [*self.signature, "target_share", "min_rows", "eligible", "required", "sampled", "met"]
         kinds = {f.name: f.dataType.simpleString() for f in self.targets.schema} | {"eligible": "bigint", "required": "double", "sampled": "bigint", "met": "boolean"}
         rows = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in t[cols].itertuples(index=False)]

@@ -28,7 +28,9 @@ from stipple.llm.common import current_rows, cut, finite, partitions
 from stipple.llm.reach import linked, reach_groups
 
 OUT = "cloud_id long, piece long, seq int, node_id long, body long, body_size long, shared boolean"
-_HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
+# Half of the cells that are near enough to a cell, nearest first, when a cell's diagonal is the reach.
+_TWO = (-2, -1, 0, 1, 2)
+_NEAR = sorted(((dx, dy, dz) for dx in _TWO for dy in _TWO for dz in _TWO if (dx, dy, dz) > (0, 0, 0)), key=lambda v: sum(u * u for u in v))
 _WINDOW = 16
 _EVERY = 64
 
@@ -50,44 +52,45 @@ def _cell_keys(group: np.ndarray, cell: np.ndarray) -> np.ndarray:
 def bodies(group: np.ndarray, x: np.ndarray, reach: np.ndarray, budget: int = 4_000_000) -> np.ndarray:
     """Smallest row index linked to each row by steps of at most its group's ``reach`` within its group.
 
-    All groups at once: rows are hashed into cells of side ``reach``; only rows of the same and of
-    adjacent cells are compared, ``budget`` pairs at a time. Exact; hash collisions cost time only.
+    All groups at once: rows are hashed into cells whose diagonal is the reach, so the rows of a cell are
+    one body at once; rows of different bodies in cells near each other are compared, ``budget`` pairs at
+    a time. Exact; rows of cells with the same hash are told apart.
     """
     n = len(x)
-    cell = np.floor(x / reach[:, None])
-    key = _cell_keys(group, cell)
-    order = np.argsort(key, kind="stable")
-    sorted_keys = key[order]
-    starts = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if n else np.zeros(0, int)
+    if not n:
+        return np.zeros(0, np.int64)
+    cell = np.floor(x / (reach[:, None] * (0.999999 / np.sqrt(3.0))))
+    order = np.lexsort((cell[:, 2], cell[:, 1], cell[:, 0], group))
+    g, c = group[order], cell[order]
+    starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]).any(1)))
     sizes = np.diff(np.append(starts, n))
-    cells = sorted_keys[starts]
-    first = order[starts]
+    g, c = g[starts], c[starts]
     label = np.arange(n)
-    for off in [(0, 0, 0), *_HALF]:
-        if off == (0, 0, 0):
-            a_cell = np.flatnonzero(sizes > 1)
-            b_cell = a_cell
-        else:
-            want = _cell_keys(group[first], cell[first] + np.array(off))
-            at = np.minimum(np.searchsorted(cells, want), len(cells) - 1) if len(cells) else np.zeros(0, int)
-            a_cell = np.flatnonzero(cells[at] == want)
-            b_cell = at[a_cell]
-        work = sizes[a_cell] * sizes[b_cell]
-        done = np.append(0, np.cumsum(work))
-        lo = 0
-        while lo < len(a_cell):
-            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + budget, side="right")) - 1)
-            w = work[lo:hi]
-            pair = np.repeat(np.arange(hi - lo), w)
-            k = np.arange(w.sum()) - np.repeat(done[lo:hi] - done[lo], w)
-            nb = sizes[b_cell[lo:hi]][pair]
-            a = order[starts[a_cell[lo:hi]][pair] + k // nb]
-            b = order[starts[b_cell[lo:hi]][pair] + k % nb]
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            near = (((x[a] - x[b]) ** 2).sum(1) <= reach[a] ** 2) & (group[a] == group[b])
+    label[order] = np.repeat(np.minimum.reduceat(order, starts), sizes)
+    keys = _cell_keys(g, c)
+    by = np.argsort(keys, kind="stable")
+    for off in _NEAR:
+        want = _cell_keys(g, c + np.array(off))
+        at = by[np.minimum(np.searchsorted(keys, want, sorter=by), len(keys) - 1)]
+        a_cell = np.flatnonzero((keys[at] == want) & (g[at] == g) & (c[at] == c + np.array(off)).all(1))
+        b_cell = at[a_cell]
+        # Pairs of cells that are not of one body yet; a pair may take several turns, from where it was left.
+        done = np.zeros(len(a_cell), np.int64)
+        while True:
+            apart = label[order[starts[a_cell]]] != label[order[starts[b_cell]]]
+            left = sizes[a_cell] * sizes[b_cell] - done
+            go = np.flatnonzero(apart & (left > 0))
+            if not len(go):
+                break
+            a_cell, b_cell, done, left = a_cell[go], b_cell[go], done[go], left[go]
+            take = np.minimum(left, np.maximum(0, budget - (np.cumsum(left) - left)))
+            pair = np.repeat(np.arange(len(take)), take)
+            k = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + done[pair]
+            nb = sizes[b_cell][pair]
+            a, b = order[starts[a_cell][pair] + k // nb], order[starts[b_cell][pair] + k % nb]
+            near = ((x[a] - x[b]) ** 2).sum(1) <= reach[a] ** 2
             label = linked(a[near], b[near], label)
-            lo = hi
+            done = done + take
     return label
 
 
@@ -242,14 +245,9 @@ def _split_giant(points: DataFrame, limits: DataFrame, rows_per_task: int) -> Da
     counts = now.groupBy("cloud_id").count().join(limits, "cloud_id").filter(F.col("count") > F.col("capacity"))
     now = cut(now.join(counts, "cloud_id"))
     total = now.count()
-    # Reaches are few (one per kind of set); each kind is grouped on its own.
-    reaches = [r[0] for r in now.select("reach").distinct().limit(1000).collect()]
-    named = None
-    for r in reaches:
-        part = reach_groups(now.filter(F.col("reach") == r), "node_id", "pos", 3, r, keys=["cloud_id"], cell_width=max(8.0 * r, 1e-9))
-        named = part if named is None else named.unionByName(part)
-    if named is None:
-        return points.sparkSession.createDataFrame([], OUT)
+    # Positions in units of the reach, so that sets of any reach are grouped together.
+    scaled = now.withColumn("pos", F.transform(F.col("pos").cast("array<double>"), lambda v: v / F.col("reach")))
+    named = reach_groups(scaled, "node_id", "pos", 3, 1.0, keys=["cloud_id"], cell_width=8.0)
     sizes = named.groupBy("cloud_id", "label").agg(F.count("*").alias("size"))
     rows = named.join(sizes, ["cloud_id", "label"]).join(now.withColumnRenamed("node_id", "id").drop("count"), ["cloud_id", "id"])
     rows = rows.repartitionByRange(max(1, -(-total // rows_per_task)), "cloud_id", "label", "id").sortWithinPartitions("cloud_id", "label", "id")

@@ -135,6 +135,27 @@ def test_repaired_counts_are_optimal():
         assert ((have - t) ** 2).sum() == pytest.approx(best)
 
 
+def test_many_swaps_take_few_exchanges():
+    e = np.array([10**9, 10**9, 10**9, 10**6])
+    have = quota.repaired_counts(e, np.array([7e8, 2e8, 99e6, 2e6]), np.array([5, 5, 5, 5]), 1_001_000_000)
+    assert have.sum() == 1_001_000_000 and have[3] == 10**6
+    assert np.ptp(have[:3] - np.array([7e8, 2e8, 99e6])) <= 1
+
+
+def test_bodies_of_points_that_coincide():
+    x = np.concatenate([np.zeros((20_000, 3)), np.full((20_000, 3), 0.9), np.full((5, 3), 9.0)])
+    label = split.bodies(np.zeros(len(x), np.int64), x, np.full(len(x), 1.6))
+    assert (label[:40_000] == 0).all() and (label[40_000:] == 40_000).all()
+    apart = split.bodies(np.zeros(len(x), np.int64), x, np.full(len(x), 0.5))
+    assert (apart[20_000:40_000] == 20_000).all()
+
+
+def test_bodies_are_single_linkage():
+    for seed in range(5):
+        x = np.random.default_rng(seed).uniform(0, 6, (300, 3))
+        assert (split.bodies(np.zeros(300, np.int64), x, np.full(300, 0.7)) == linkage(x, 0.7)).all()
+
+
 def test_quota_sample(spark):
     rows = [(i, "d", i % 3) for i in range(300)] + [(300 + i, "d", 3) for i in range(2)] + [(400, "d", None), (401, None, 1), (402, "d", 9)]
     rec = spark.createDataFrame([(*r, 5) for r in rows], "object_id long, dataset string, y long, sampled int")
@@ -242,6 +263,13 @@ def test_split_is_the_same_for_sets_of_any_size(spark):
     assert whole == parts
 
 
+def test_split_of_sets_with_many_reaches(spark):
+    sets = {c: scans(c, [12, 9]) for c in range(1200)}
+    points, lim = split_frames(spark, sets, {c: (15, 2, 1.0 + c / 5000) for c in sets})
+    got = split.split_oversized(points, lim, rows_per_set=10).filter("not shared").groupBy("cloud_id").count().collect()
+    assert len(got) == 1200 and {r["count"] for r in got} == {21}
+
+
 def test_cuts_prefer_bodies_and_are_local():
     body = np.repeat(np.arange(20), 30)
     none = np.zeros(len(body), bool)
