@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from stipple.llm.common import cut
 
-_UPPER = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
-_LOWER = "".join(chr(c) for c in range(0x61, 0x530) if chr(c).islower())
+_UPPER = "".join(chr(c) for c in range(0x41, 0x590) if chr(c).isupper())
+_LOWER = "".join(chr(c) for c in range(0x61, 0x590) if chr(c).islower())
 _UP, _LOW = re.escape(_UPPER), re.escape(_LOWER)
 _OPEN = "“„«‘‚‹「『\"'(\\[¿¡—–―★☆◆◇●■□▪•☞☛►▶※§†‡*"
 _ORNAMENTS = "★☆◆◇●■□▪•☞☛►▶※—–―*"
 _CLOSE = "”“»’›」』\"')\\]"
-_MARKS = ".!?…。！？｡．।॥؟۔;·"
+_MARKS = ".!?…。！？｡．।॥؟۔;·։"
 
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _GAP = re.compile(r" \| |\t+| {3,}")
@@ -57,6 +57,10 @@ _REPORTED = re.compile(rf"[{_CLOSE}]\s*[{_LOW}]+$")
 _LOW_RUN = re.compile(rf"[{_LOW}]{{4}}")
 _HYPHEN = "-‐‑¬=\xad⸗"
 _SPANS = {"cjk": [(0x3040, 0x30FF), (0x3400, 0x9FFF)], "thai": [(0x0E00, 0x0E7F)], "deva": [(0x0900, 0x097F)], "arab": [(0x0600, 0x06FF)]}
+# Scripts without capitals that end sentences with a mark of their own or with the common ones: Hebrew, Syriac,
+# Thaana and N'Ko; the other scripts of India and Ceylon; Lao, Tibetan and Burmese; Georgian; Hangul;
+# Ethiopic; Khmer and Mongolian; Georgian again; Hangul again.
+_SPANS["space"] = [(0x0590, 0x05FF), (0x0700, 0x07FF), (0x0980, 0x0DFF), (0x0E80, 0x109F), (0x10A0, 0x11FF), (0x1200, 0x139F), (0x1780, 0x18AF), (0x1C90, 0x1CBF), (0x3130, 0x318F), (0xAC00, 0xD7AF)]
 _THAI = re.compile(r"[\u0e00-\u0e7f]")
 
 
@@ -429,7 +433,8 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
 
 
 _CJK_TERMS = re.compile(r"[。！？!?｡]+[」』”\"）)]*|(?<![0-9.])[.．](?![0-9.])[」』]*|(?<=[぀-鿿])['·‘’](?=[぀-鿿])")
-_SPACE_TERMS = re.compile(r"[.!?।॥؟۔|…]+\s*[”»“\"')\]]*(?:\s+|$)")
+# Marks of one script only end a sentence whether or not a blank follows.
+_SPACE_TERMS = re.compile(r"[.!?।॥؟۔|…։។៕။།༎።፧፨᠃]+\s*[”»“\"')\]]*(?:\s+|$)|[។៕။།༎።፧፨᠃]+[”»“\"')\]]*")
 _JA_REPORT = re.compile(r"[^。！？、「」\s]{1,12}と[^。！？、「」\s]{1,6}た|[^。！？、「」\s]{1,8}[說説问問答道]")
 
 
@@ -505,15 +510,19 @@ def uncased_starts(text: str, lines: list[Line], script: str, lexicon: Lexicon,
 
 
 def _script(text: str) -> str:
-    """The script that decides how units are found: more than four tenths of the letters and vowel signs."""
+    """The script that decides how units are found: more than four tenths of the letters and vowel signs.
+
+    A text of a script with capitals that has none is read like a script without them.
+    """
+    plain = "cased" if any(c.isupper() for c in text) else "space"
     if text.isascii():
-        return "cased"
+        return plain
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = int((c > 0x40).sum()) or 1
     for name, spans in _SPANS.items():
         if sum(int(((c >= a) & (c <= b)).sum()) for a, b in spans) > 0.4 * letters:
             return name
-    return "cased"
+    return plain
 
 
 def _stream_starts(text: str | None, label: str | None, boxes: np.ndarray | None, lexicon: Lexicon) -> list[tuple[list[Line], list[int]]]:

@@ -144,6 +144,17 @@ def test_units_of_a_script_with_capitals(text, n):
         ("هذه الجسر كان أمس؟ كل السفينة فتح، بين اللجنة.", 2, "ar"),
         ("ตลาดปิดที่เรือ เก่าสะพานขาย 13.37 บาท และหลาย", 2, "th"),
         ("Die neue baute 5. Markt. Der Garten baute 14. Markt Die neue.", 3, "de"),
+        ("오늘은 비가 왔다. 우리는 집에 있었다! 내일은 갈까?", 3, "ko"),
+        ("הספינה הגיעה אתמול. הנמל נפתח? הוועדה התכנסה.", 3, "he"),
+        ("জাহাজ এসেছে। বন্দর খোলা হল। কমিটি বসেছে।", 3, "bn"),
+        ("கப்பல் வந்தது. துறைமுகம் திறந்தது. குழு கூடியது.", 3, "ta"),
+        ("ఓడ వచ్చింది. రేవు తెరిచారు. సంఘం కూడింది.", 3, "te"),
+        ("გემი მოვიდა. პორტი გაიხსნა. კომიტეტი შეიკრიბა.", 3, "ka"),
+        ("នាវាមកដល់។កំពង់ផែបើក។ គណៈកម្មាធិការជួបជុំ។", 3, "km"),
+        ("သင်္ဘောရောက်သည်။ဆိပ်ကမ်းဖွင့်သည်။ ကော်မတီစုသည်။", 3, "my"),
+        ("መርከቡ ደረሰ። ወደቡ ተከፈተ። ኮሚቴው ተሰበሰበ።", 3, "am"),
+        ("Նավը եկավ։ Նավահանգիստը բացվեց։ Հանձնաժողովը հավաքվեց։", 3, "hy"),
+        ("the crew opened. a fair sold near dr. wickbel. its committee sold!", 3, "en"),
     ],
 )
 def test_units_of_other_scripts(text, n, lang):
