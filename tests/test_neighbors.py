@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stipple.functions import kernels
 from stipple.operators import neighbors
 from stipple.operators.select import block_select
 
@@ -37,6 +38,26 @@ def test_knn_in_tiles_equals_one_tile(spark, cloud):
     assert graph(neighbors.knn(p, 4, query_block=50, point_block=70), 4) == brute(x, 4).tolist()
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_knn_of_a_set_in_slabs_equals_brute_force(spark, cloud, dims):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(500, dims)), np.zeros((90, dims)), r.normal(size=(10, dims)) * 50]).round(2)
+    p = cloud(np.concatenate([x, x[:40]]), [0] * 600 + [1] * 40)
+    got = neighbors.knn(p, 4, rows_per_task=80)
+    assert graph(got.filter("cloud_id = 0"), 4) == brute(x, 4).tolist()
+    assert graph(got.filter("cloud_id = 1"), 4) == brute(x[:40], 4).tolist()
+    q = cloud(r.normal(size=(30, dims)) * 3)
+    assert graph(neighbors.knn(p, 5, queries=q, rows_per_task=80), 5) == brute(x, 5, np.array([v["pos"] for v in q.orderBy("node_id").collect()])).tolist()
+
+
+def test_ranking_by_boxes_equals_ranking_all():
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(3000, 2)), r.integers(0, 4, (1000, 2))]).round(1)
+    y = np.concatenate([x[:700], r.normal(size=(50, 2)) * 9])
+    a, b = kernels.near_k(x, np.arange(4000), y, 7), kernels.top_k(x, np.arange(4000), y, 7)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 def test_knn_kernel_equals_window(spark, cloud):
     x = np.random.default_rng(2).normal(size=(40, 2)).round(1)
     p = cloud(x, [i % 2 for i in range(40)])
