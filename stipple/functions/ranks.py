@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from stipple.lineage import cut, partitions
 
 
+_SPREAD = 1 << 22
+
+
 def ranked(df: DataFrame, sets: Sequence[str], order: Sequence[Column | str], name: str, bucket: Column | None = None) -> DataFrame:
     """``df`` with the 0-based position of each row in its set.
 
@@ -21,6 +24,13 @@ def ranked(df: DataFrame, sets: Sequence[str], order: Sequence[Column | str], na
     if bucket is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*sets).orderBy(*order)) - 1)
     keyed = cut(df.withColumn("__b", bucket))
+    ends = keyed.agg(F.max("__b") - F.min("__b")).first()[0]
+    if ends is not None and ends > _SPREAD:
+        # Ids that are hashes: buckets of a set are joined so that it has no more than its rows call for.
+        span = keyed.groupBy(*sets).agg(F.min("__b").alias("__l"), F.max("__b").alias("__h"), F.count("*").alias("__c"))
+        wide = F.greatest(F.lit(1.0), (F.col("__h").cast("double") - F.col("__l")) / F.ceil(F.col("__c") / F.lit(65_536.0)))
+        keyed = keyed.join(span, list(sets)) if sets else keyed.crossJoin(F.broadcast(span))
+        keyed = cut(keyed.withColumn("__b", F.floor((F.col("__b").cast("double") - F.col("__l")) / wide).cast("long")).drop("__l", "__h", "__c"))
     counts = keyed.groupBy(*sets, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*sets).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*sets, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))

@@ -7,7 +7,7 @@ choices order nodes by a hash of (seed, epoch, set, node), so they are the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stipple.functions import rng
@@ -104,7 +104,7 @@ def cluster_select(points: DataFrame, deterministic: bool = False, pick: int | N
     if deterministic:
         n = F.lit(int(epoch if pick is None else pick))
         sizes = ids.groupBy(*key).agg(F.count("*").alias("m"))
-        rows = ids.join(sizes, list(key)).withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("node_id")) - 1)
+        rows = ranked(ids, list(key), ["node_id"], "i", id_bucket("node_id")).join(sizes, list(key))
         chosen = rows.filter(F.col("i") == n % F.col("m"))
     else:
         u = rng.uniform(seed, f"cluster{epoch}", "cloud_id", "node_id")
@@ -136,11 +136,11 @@ def fps_select(points: DataFrame, max_num_points: int = 10**7, selection_factor:
         return pa.table([cloud, pa.array(ids[order][picks]), pa.array(np.arange(len(picks)))], names=["cloud_id", "node_id", "sel_pos"])
 
     shape = f"cloud_id {kind}, node_id long, sel_pos long"
-    large = [r["cloud_id"] for r in counts.filter(F.col("n") > rows_per_set).select("cloud_id").limit(10_000).collect()]
-    if not large:
+    large = cut(counts.filter(F.col("n") > rows_per_set).select("cloud_id"))
+    if not large.limit(1).count():
         return rows.groupBy("cloud_id").applyInArrow(run, shape)
-    out = rows.filter(~F.col("cloud_id").isin(large)).groupBy("cloud_id").applyInArrow(run, shape)
-    return out.unionByName(_fps_rounds(rows.filter(F.col("cloud_id").isin(large)), shape))
+    out = rows.join(large, "cloud_id", "left_anti").groupBy("cloud_id").applyInArrow(run, shape)
+    return out.unionByName(_fps_rounds(rows.join(large, "cloud_id", "left_semi"), shape))
 
 
 def _fps_rounds(rows: DataFrame, shape: str) -> DataFrame:

@@ -373,12 +373,44 @@ def fps_select(spark: SparkSession, at: str) -> DataFrame:
     return select.fps_select(_vectors(spark, at, True), max_num_points=8).select("cloud_id", "node_id", F.col("sel_pos").cast("int").alias("sel_pos"))
 
 
-@_query()
+_FPS_SCANS = f"""
+WITH RECURSIVE {_pts()},
+sized AS (SELECT cloud_id, node_id AS id, x, y_, z, count(*) OVER (PARTITION BY cloud_id) AS n FROM pts),
+p AS (SELECT cloud_id, id, x, y_, z, least(greatest(trunc(n::double * 0.05::double)::bigint, 1), n) AS size FROM sized),
+s(step, cloud_id, id, x, y_, z, size, d, pick) AS (
+  SELECT 1, cloud_id, id, x, y_, z, size, 'inf'::double, id = min(id) OVER (PARTITION BY cloud_id) FROM p
+  UNION ALL
+  SELECT step + 1, cloud_id, id, x, y_, z, size, d2, row_number() OVER (PARTITION BY cloud_id ORDER BY d2 DESC, id) = 1 FROM (
+    SELECT s.step, s.cloud_id, s.id, s.x, s.y_, s.z, s.size,
+           CASE WHEN s.id = q.id THEN -1.0::double ELSE least(s.d, (s.x - q.x) ** 2 + (s.y_ - q.y_) ** 2 + (s.z - q.z) ** 2) END AS d2
+    FROM s JOIN s q ON s.cloud_id = q.cloud_id AND q.pick WHERE s.step < s.size))
+SELECT cloud_id, step - 1 AS node_id, round(x, 6) AS x, round(y_, 6) AS y_, round(z, 6) AS z FROM s WHERE pick"""
+
+
+@_query(_FPS_SCANS)
 def fps_sample(spark: SparkSession, at: str) -> DataFrame:
     p = scan_points(spark, at)
     return _xyz(apply_selection(p, select.fps_select(p, selection_factor=0.05)))
 
 
+# --- classes by name
+
+_ROOM_NAMES = ", ".join(f"({i}, '{n}', {c[0]}, {c[1]}, {c[2]})" for i, n in enumerate(labels.ROOM_CLASSES) for c in [labels.ROOM_COLORS[n]])
+
+
+@_query(f"""
+WITH {_pts("y")}, names(y, name, r, g, b) AS (VALUES {_ROOM_NAMES}),
+scan_t AS (SELECT cloud_id, max(received_at) AS t FROM scans WHERE cloud_id IS NOT NULL GROUP BY cloud_id),
+scan AS (SELECT s.cloud_id, max(s.dataset) AS dataset FROM scans s JOIN scan_t t ON s.cloud_id = t.cloud_id AND s.received_at IS NOT DISTINCT FROM t.t GROUP BY s.cloud_id)
+SELECT name, count(*) AS nodes, r, g, b FROM pts JOIN scan USING (cloud_id) JOIN names USING (y) WHERE dataset = 'S3DIS' GROUP BY name, r, g, b""")
+def class_names(spark: SparkSession, at: str) -> DataFrame:
+    """Nodes of the rooms per named class, with the class's colour."""
+    scans = current_rows(_table(spark, at, "scans"), ["cloud_id"], ["dataset"]).filter("dataset = 'S3DIS'")
+    counts = scan_points(spark, at, "y").join(scans, "cloud_id").groupBy("dataset", "y").agg(F.count("*").alias("nodes"))
+    named = counts.join(F.broadcast(labels.class_table(spark)), ["dataset", "y"])
+    return named.select("name", "nodes", *[F.col("color")[i].alias(c) for i, c in enumerate("rgb")])
+
+
 # --- density
 
 _DENSITY = f"""

@@ -39,6 +39,8 @@ ROOM_VALIDATION = [
 ]
 SCANOBJECT_CLASSES = ["bag", "bed", "bin", "box", "cabinets", "chair", "desk", "display", "door", "pillow", "shelves", "sink", "sofa", "table", "toilet"]
 SCANOBJECT_VARIANTS = [None, "PB_T25", "PB_T25_R", "PB_T50_R", "PB_T50_RS"]
+# What the file names of the variants end with.
+SCANOBJECT_FILES = {None: "", "PB_T25": "_augmented25_norot", "PB_T25_R": "_augmented25rot", "PB_T50_R": "_augmentedrot", "PB_T50_RS": "_augmentedrot_scale75"}
 CORRUPTIONS = ["scale", "jitter", "rotate", "dropout_global", "dropout_local", "add_global", "add_local"]
 KITTI_SEQUENCES = {"train": [0, 1, 2, 3, 4, 5, 6, 7, 9, 10], "val": [8], "test": [8], "pred": list(range(11, 22))}
 
@@ -71,6 +73,14 @@ def label_table(spark: SparkSession, lookup: dict[int, int]) -> DataFrame:
     return spark.createDataFrame(sorted(lookup.items()), "id int, y int")
 
 
+def class_table(spark: SparkSession) -> DataFrame:
+    """``(dataset, y, name, written, color)``: the named classes, the raw id a class is written as, and its colour (of 255), where there is one."""
+    rows = [("SemanticKITTI", i, n, KITTI_ID_WRITTEN[i], None) for i, n in enumerate(KITTI_CLASSES)]
+    rows += [("S3DIS", i, n, None, list(ROOM_COLORS[n])) for i, n in enumerate(ROOM_CLASSES)]
+    rows += [("ScanObjectNN", i, n, None, None) for i, n in enumerate(SCANOBJECT_CLASSES)]
+    return spark.createDataFrame(rows, "dataset string, y long, name string, written int, color array<int>")
+
+
 def room_split(area: Column, room: Column, fold: int = 5) -> Column:
     """Area folds: the fold's area is test, named rooms of other areas are val, the rest train; fold 0 means area 6."""
     test = 6 if fold == 0 else fold

@@ -7,6 +7,7 @@ below the root unless a manifest gives one; ``node_id`` is the position in the f
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -16,11 +17,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipple.functions.ranks import ranked
+from stipple.operators.model import filter_sets
 from stipple.sources import labels
 
 POINTS = "path string, node_id long, pos array<float>"
 
 
+def _steps(reader):
+    """Adds to a reader what is done with its points before they are returned.
+
+    ``pre_filter`` is a predicate over one row a set: its number of nodes ``n`` and the columns that do not
+    belong to nodes. ``pre_transform`` and then ``transform`` are functions of the points.
+    """
+
+    @functools.wraps(reader)
+    def read(*args, pre_filter=None, pre_transform=None, transform=None, **more):
+        out = reader(*args, **more)
+        points, rest = (out[0], out[1:]) if isinstance(out, tuple) else (out, None)
+        if pre_filter is not None:
+            own = [c for c in points.columns if c not in ("cloud_id", "node_id", "pos", "color", "intensity", "y")]
+            sets = points.groupBy("cloud_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in own])
+            points = filter_sets(points, sets, pre_filter)
+        for step in (pre_transform, transform):
+            points = step(points) if step is not None else points
+        return points if rest is None else (points, *rest)
+
+    return read
+
+
 def _decoded(spark: SparkSession, root: str, pattern: str, schema: str, decode: Callable[[bytes], dict[str, list]]) -> DataFrame:
     """Rows of every file under ``root`` whose name matches: the file's path and what ``decode`` makes of it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
@@ -57,6 +81,7 @@ def _lidar_labels(spark: SparkSession, root: str, pattern: str, kind: str) -> Da
     return _decoded(spark, root, pattern, "path string, node_id long, label long", decode)
 
 
+@_steps
 def read_kitti(spark: SparkSession, root: str, split: str = "trainval") -> DataFrame:
     """``(cloud_id, sequence, split, node_id, pos, intensity, y)`` of ``sequences/NN/velodyne/*.bin`` and ``labels/*.label``.
 
@@ -78,12 +103,14 @@ def read_kitti(spark: SparkSession, root: str, split: str = "trainval") -> DataF
     return out.select(F.xxhash64("sequence", "scan").alias("cloud_id"), "sequence", "scan", labels.sequence_split(F.col("sequence")).alias("split"), "node_id", "pos", "intensity", "y")
 
 
-def read_nuscenes(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+@_steps
+def read_nuscenes(spark: SparkSession, root: str, manifest: DataFrame, split: str = "trainvaltestpred") -> DataFrame:
     """``(cloud_id, split, node_id, pos, intensity, y)`` of the files in ``manifest(cloud_id, split, lidar_path, label_path)``.
 
     Paths are relative to ``root``. Five floats a point, the fifth is dropped, intensity over 255; label
-    bytes; a null label path gives y = -1.
+    bytes; a null label path gives y = -1. Of the manifest the splits written in ``split`` are read.
     """
+    manifest = manifest.filter(F.col("split").isin(labels.split_names(split, ["train", "val", "test", "pred"])))
     below = re.escape(root.rstrip("/").removeprefix("file:")) + "/(.*)$"
 
     def relative(df: DataFrame, name: str) -> DataFrame:
@@ -95,6 +122,7 @@ def read_nuscenes(spark: SparkSession, root: str, manifest: DataFrame) -> DataFr
     return out.select("cloud_id", "split", "node_id", "pos", "intensity", "y")
 
 
+@_steps
 def read_rooms(spark: SparkSession, root: str, fold: int = 5) -> DataFrame:
     """``(cloud_id, area, room, split, node_id, pos, color, y)`` of ``Area_i/room/Annotations/label_k.txt``.
 
@@ -114,6 +142,7 @@ def read_rooms(spark: SparkSession, root: str, fold: int = 5) -> DataFrame:
     return ranked(rows, ["cloud_id"], ["path", "start", "i"], "node_id").drop("path", "start", "i")
 
 
+@_steps
 def read_off(spark: SparkSession, root: str, num_loops: int = 1) -> tuple[DataFrame, DataFrame]:
     """Points and faces of OFF meshes: ``(cloud_id, split, loop, node_id, pos, y)`` and ``(cloud_id, face_id, v)``.
 
@@ -149,35 +178,83 @@ def read_off(spark: SparkSession, root: str, num_loops: int = 1) -> tuple[DataFr
     return points.withColumn("loop", loops), f
 
 
-def read_hdf5_objects(spark: SparkSession, root: str, pattern: str = "*.h5", swap_yz: bool = True, per_point: str | None = None) -> DataFrame:
-    """``(cloud_id, path, node_id, pos, y[, category])`` of HDF5 files with ``data (M, P, 3)`` and ``label``.
+def hdf5_fields(content: bytes) -> dict[str, np.ndarray]:
+    """The arrays of an HDF5 file by name. Needs h5py."""
+    import io
 
-    y is the object's label; with ``per_point`` (the name of a field (M, P)) y is per point and the label
-    becomes ``category``. y and z are exchanged unless told otherwise. Needs h5py on the executors.
-    """
-    try:
-        import h5py  # noqa: F401
-    except ImportError as e:
-        raise ImportError("reading HDF5 needs h5py; export the files to Parquet and use read_parquet_objects") from e
+    import h5py
 
-    def decode(content: bytes) -> dict:
-        import io
+    with h5py.File(io.BytesIO(content)) as f:
+        return {k: np.asarray(v) for k, v in f.items()}
 
-        import h5py
 
-        with h5py.File(io.BytesIO(content)) as f:
-            data, label = np.asarray(f["data"], np.float32), np.asarray(f["label"]).reshape(len(f["data"]), -1)[:, 0].astype(np.int64)
-            y = np.asarray(f[per_point]).reshape(len(data), -1).astype(np.int64) if per_point else np.repeat(label[:, None], data.shape[1], 1)
-        if swap_yz:
-            data = data[:, :, [0, 2, 1]]
-        m, p = data.shape[:2]
-        return {"node_id": np.tile(np.arange(p), m), "pos": _lists(data.reshape(-1, 3)), "item": np.repeat(np.arange(m), p), "y": y.ravel(), "category": np.repeat(label, p)}
+def object_rows(fields: dict[str, np.ndarray], swap_yz: bool, per_point: str | None) -> dict[str, np.ndarray | pa.Array]:
+    """Columns, one row per point, of the arrays ``data (M, P, 3)``, ``label`` and ``per_point (M, P)``."""
+    data, label = np.asarray(fields["data"], np.float32), np.asarray(fields["label"]).reshape(len(fields["data"]), -1)[:, 0].astype(np.int64)
+    if swap_yz:
+        data = data[:, :, [0, 2, 1]]
+    m, p = data.shape[:2]
+    y = np.asarray(fields[per_point]).reshape(m, -1).astype(np.int64) if per_point else np.repeat(label[:, None], p, 1)
+    return {"node_id": np.tile(np.arange(p), m), "pos": _lists(data.reshape(-1, 3)), "item": np.repeat(np.arange(m), p), "y": y.ravel(), "category": np.repeat(label, p)}
 
-    rows = _decoded(spark, root, pattern, POINTS + ", item long, y long, category long", decode)
+
+@_steps
+def read_hdf5_objects(spark: SparkSession, root: str, pattern: str = "*.h5", swap_yz: bool = True, per_point: str | None = None, fields: Callable[[bytes], dict[str, np.ndarray]] = hdf5_fields) -> DataFrame:
+    """``(path, node_id, pos, y[, category], cloud_id)`` of files with ``data (M, P, 3)`` and ``label``.
+
+    y is the object's label; with ``per_point`` (the name of a field (M, P)) y is per point and the label
+    becomes ``category``. y and z are exchanged unless told otherwise. ``fields`` gives a file's arrays by
+    name; for HDF5 it needs h5py on the executors.
+    """
+    if fields is hdf5_fields:
+        try:
+            import h5py  # noqa: F401
+        except ImportError as e:
+            raise ImportError("reading HDF5 needs h5py; export the files to Parquet and use read_parquet_objects") from e
+    rows = _decoded(spark, root, pattern, POINTS + ", item long, y long, category long", lambda content: object_rows(fields(content), swap_yz, per_point))
     rows = rows.withColumn("cloud_id", F.xxhash64("path", "item")).drop("item")
     return rows if per_point else rows.drop("category")
 
 
+@_steps
+def read_modelnet40(spark: SparkSession, root: str, split: str = "train", **fields) -> DataFrame:
+    """``(cloud_id, split, node_id, pos, y)`` of the files ``ply_data_train*.h5`` or, if ``split`` names no train, ``ply_data_test*.h5``."""
+    part = "train" if "train" in split else "test"
+    return read_hdf5_objects(spark, root, f"ply_data_{part}*.h5", **fields).select("cloud_id", F.lit(part).alias("split"), "node_id", "pos", "y")
+
+
+@_steps
+def read_modelnet_c(spark: SparkSession, root: str, split: str = "clean", **fields) -> DataFrame:
+    """``(cloud_id, split, corruption, level, node_id, pos, y)`` of the file of a corruption split; ``val`` is ``clean``."""
+    return _corrupted(spark, root, split, ["y"], **fields)
+
+
+@_steps
+def read_shapenet_c(spark: SparkSession, root: str, split: str = "clean", **fields) -> DataFrame:
+    """As ``read_modelnet_c`` with parts: y is the part of each point (``pid``), ``category`` the object's label; axes as they are."""
+    return _corrupted(spark, root, split, ["y", "category"], swap_yz=False, per_point="pid", **fields)
+
+
+def _corrupted(spark: SparkSession, root: str, split: str, kept: list[str], **how) -> DataFrame:
+    split = "clean" if split == "val" else split
+    if split not in labels.corruption_splits():
+        raise ValueError(f"no such split: {split}")
+    kind, level = labels.corruption(F.lit(split))
+    return read_hdf5_objects(spark, root, f"{split}.h5", **how).select("cloud_id", F.lit(split).alias("split"), kind.alias("corruption"), level.alias("level"), "node_id", "pos", *kept)
+
+
+@_steps
+def read_scanobject(spark: SparkSession, root: str, split: str = "train", variant: str | None = None, background: bool = False, **fields) -> DataFrame:
+    """``(cloud_id, split, variant, node_id, pos, y)`` of one variant, with or without the points of the background."""
+    if variant not in labels.SCANOBJECT_VARIANTS:
+        raise ValueError(f"no such variant: {variant}")
+    part = "train" if "train" in split else "test"
+    name = ("training" if part == "train" else "test") + "_objectdataset" + labels.SCANOBJECT_FILES[variant] + ".h5"
+    rows = read_hdf5_objects(spark, f"{root}/h5_files/main_split{'' if background else '_nobg'}", name, **fields)
+    return rows.select("cloud_id", F.lit(part).alias("split"), F.lit(variant).cast("string").alias("variant"), "node_id", "pos", "y")
+
+
+@_steps
 def read_parquet_objects(spark: SparkSession, path: str, swap_yz: bool = True) -> DataFrame:
     """The same from a Parquet export with one row per object: ``(object_id, pos ARRAY<ARRAY<FLOAT>>, y, ...)``."""
     df = spark.read.parquet(path)

@@ -180,3 +180,15 @@ def test_ranks_of_odd_numbers(spark):
     out = {r["i"]: r["r"] for r in ranked(df, ["c"], ["v", "i"], "r", log_bucket("v")).collect()}
     assert [out[i] for i in (7, 3, 2, 5, 6, 0, 1, 4)] == list(range(8))
     assert ranked(df.withColumn("i", F.lit(None).cast("long")), ["c"], ["v"], "r", id_bucket("i")).count() == 8
+
+
+def test_ranks_of_ids_that_are_hashes(spark):
+    from stipple.functions.ranks import id_bucket, ranked
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("cloud_id"), F.xxhash64("id").alias("node_id"))
+    got = {}
+    for r in ranked(df, ["cloud_id"], ["node_id"], "i", id_bucket("node_id")).collect():
+        got.setdefault(r["cloud_id"], []).append((r["i"], r["node_id"]))
+    for rows in got.values():
+        rows.sort()
+        assert [i for i, _ in rows] == list(range(1500)) and [n for _, n in rows] == sorted(n for _, n in rows)

@@ -57,6 +57,54 @@ def test_hdf5_is_optional(spark, tmp_path):
             readers.read_hdf5_objects(spark, str(tmp_path))
 
 
+def stored(path, **arrays):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "wb") as f:
+        np.savez(f, **arrays)
+
+
+def test_named_object_readers(spark, tmp_path):
+    def fields(content):
+        import io
+
+        return dict(np.load(io.BytesIO(content)))
+
+    data = np.arange(12.0).reshape(2, 2, 3)
+    for name, y in (("ply_data_train0", 1), ("ply_data_train1", 2), ("ply_data_test0", 3)):
+        stored(tmp_path / "m" / f"{name}.h5", data=data, label=np.full((2, 1), y))
+    train = readers.read_modelnet40(spark, str(tmp_path / "m"), "trainval", fields=fields).collect()
+    assert len(train) == 8 and {r["y"] for r in train} == {1, 2} and len({r["cloud_id"] for r in train}) == 4
+    assert min(r["pos"] for r in train) == [0, 2, 1] and {r["split"] for r in train} == {"train"}
+    assert {r["y"] for r in readers.read_modelnet40(spark, str(tmp_path / "m"), "test", fields=fields).collect()} == {3}
+
+    for name in ("clean", "scale_4"):
+        stored(tmp_path / "c" / f"{name}.h5", data=data, label=np.array([5, 6]), pid=np.array([[0, 1], [2, 3]]))
+    got = readers.read_modelnet_c(spark, str(tmp_path / "c"), "scale_4", fields=fields).collect()
+    assert {(r["corruption"], r["level"], r["y"]) for r in got} == {("scale", 4, 5), ("scale", 4, 6)}
+    parts = sorted((r["y"], r["category"], r["pos"]) for r in readers.read_shapenet_c(spark, str(tmp_path / "c"), "val", fields=fields).collect())
+    assert parts == [(0, 5, [0, 1, 2]), (1, 5, [3, 4, 5]), (2, 6, [6, 7, 8]), (3, 6, [9, 10, 11])]
+    with pytest.raises(ValueError):
+        readers.read_modelnet_c(spark, str(tmp_path / "c"), "train", fields=fields)
+
+    stored(tmp_path / "s" / "h5_files" / "main_split_nobg" / "test_objectdataset_augmentedrot.h5", data=data, label=np.array([7, 8]))
+    got = readers.read_scanobject(spark, str(tmp_path / "s"), "test", "PB_T50_R", fields=fields).collect()
+    assert {(r["variant"], r["split"], r["y"]) for r in got} == {("PB_T50_R", "test", 7), ("PB_T50_R", "test", 8)}
+    with pytest.raises(ValueError):
+        readers.read_scanobject(spark, str(tmp_path / "s"), "test", "PB_T75", fields=fields)
+
+
+def test_steps_of_readers(spark, tmp_path):
+    for i, n in ((0, 3), (80, 2)):
+        (tmp_path / f"tr_reg_{i:03d}.off").write_text(f"OFF\n{n} 0 0\n" + "0 1 2\n" * n)
+    points, _ = readers.read_off(spark, str(tmp_path), pre_filter=(F.col("n") > 2) & (F.col("split") == "train"), pre_transform=lambda p: p.withColumn("z", F.lit(1)), transform=lambda p: p.withColumn("z", F.col("z") + 1))
+    assert {(r["cloud_id"], r["z"]) for r in points.collect()} == {(0, 2)}
+
+
+def test_class_table(spark):
+    rows = labels.class_table(spark).collect()
+    assert len(rows) == 19 + 13 + 15 and {(r["name"], r["written"]) for r in rows if r["dataset"] == "SemanticKITTI" and r["y"] == 0} == {("car", 10)}
+
+
 def test_parquet_objects_and_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, [[1.0, 2.0, 3.0]], 4, "d", "train")], "object_id long, pos array<array<float>>, y long, dataset string, split string")
     df.write.parquet(str(tmp_path / "o"))
