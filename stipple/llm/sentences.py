@@ -48,6 +48,8 @@ _REPORT = re.compile(r"[,،、，]\s?[”»“\"」]\s*([^\s.,…،。、」]+)"
 # at the start of a line or after a blank, or (lost blank) right after a mark or closing quotation mark.
 _START = re.compile(rf"(?:(?<=\s)|^|(?<=[{_LOW}][.!?])|(?<=[{_LOW}][.!?][”»]))([{_OPEN}]*\s?[{_OPEN}]*)([$£€]?[0-9][^\s]*|[{_UP}][^\s.,!?;:”“»«\"]*)", re.M)
 _TAIL = re.compile(rf"([{re.escape(_MARKS)}]+)\s*[{_CLOSE}\s]*$")
+_TAILS = set(_MARKS) | set("”»“’›」』\"')]")
+_NAMED = re.compile(r"\s*[^\W\d_]+:")
 _CLOSER_TAIL = re.compile(rf"[{_CLOSE}]\s*$")
 _ELLIPSIS = re.compile(r"(?:…|\.\s?\.\s?\.)$")
 _DOTS = re.compile(rf"(?:[^\W\d_]{{1,2}}\.){{2,}}$")
@@ -219,14 +221,15 @@ class Line:
 
 def page_lines(text: str, boxes: np.ndarray | None) -> tuple[list[Line], bool]:
     """The page's lines, with lines of two columns that were run together cut in two; whether boxes hold."""
-    spans = [(m.start(), m.end()) for m in _LINE.finditer(text) if not text[m.start() : m.end()].isspace()]
+    spans = [m.span() for m in _LINE.finditer(text) if not m.group().isspace()]
     known = boxes is not None and len(boxes) == len(spans)
-    gaps = [_GAP.search(text, a, b) for a, b in spans]
+    corners = boxes.tolist() if known else []
+    gaps = [_GAP.search(text, a, b) for a, b in spans] if " | " in text or "\t" in text or "   " in text else [None] * len(spans)
     joined = sum(g is not None for g in gaps)
     split = joined >= 2 and joined >= 0.4 * len(spans)
     lines = []
     for i, ((a, b), g) in enumerate(zip(spans, gaps, strict=True)):
-        box = tuple(boxes[i].tolist()) if known else None
+        box = corners[i] if known else None
         if split and g is not None and g.start() > a and g.end() < b:
             lines += [Line(a, g.start(), box, 0), Line(g.end(), b, box, 1)]
         else:
@@ -377,7 +380,7 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
             last = prev[-1]
             if last in _HYPHEN and at == len(part) - len(part.lstrip()):
                 continue
-            tail = _TAIL.search(prev)
+            tail = _TAIL.search(prev) if last in _TAILS else None
             marks = tail.group(1) if tail else ""
             stem = prev[: tail.end(1)] if tail else prev
             if marks == "·" and last == "·" and not token[0].isupper():
@@ -414,11 +417,11 @@ def cased_starts(text: str, lines: list[Line], common: set[str], lexicon: Lexico
                     ok = False
             elif last in ":":
                 ok = False
-            elif last == "," or _CLOSER_TAIL.search(prev):
+            elif last == "," or last in _TAILS and _CLOSER_TAIL.search(prev):
                 ok = known and not re.search(r",\s*[”»“\"]$", prev)
             else:
                 ok = known
-                if not ok and k + 1 and re.match(r"\s*[^\W\d_]+:", part[m.end() :] or ""):
+                if not ok and k + 1 and _NAMED.match(part, m.end()):
                     ok = True
             if opener.startswith("(") and not (marks and not dotted and not ellipsis):
                 ok = False
@@ -514,11 +517,13 @@ def _script(text: str) -> str:
 
     A text of a script with capitals that has none is read like a script without them.
     """
-    plain = "cased" if any(c.isupper() for c in text) else "space"
+    plain = "space" if text == text.lower() else "cased"
     if text.isascii():
         return plain
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = int((c > 0x40).sum()) or 1
+    if int(((c >= 0x590) & (c < 0x1E00) | (c >= 0x3000)).sum()) <= 0.4 * letters:
+        return plain
     for name, spans in _SPANS.items():
         if sum(int(((c >= a) & (c <= b)).sum()) for a, b in spans) > 0.4 * letters:
             return name
