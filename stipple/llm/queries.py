@@ -38,6 +38,15 @@ def p1_pieces(spark: SparkSession, at: str) -> DataFrame:
     return _pieces(spark, at).drop("body_size")
 
 
+def p1_limits(spark: SparkSession, at: str) -> DataFrame:
+    """``(cloud_id, nodes, fits)``: the nodes of each scan that was cut, each once, and whether all its pieces are within the capacity."""
+    scans = current_rows(_table(spark, at, "scans"), ["cloud_id"], ["dataset"])
+    budgets = _table(spark, at, "size_budgets").filter("unit = 'points'").select(F.col("applies_to").alias("dataset"), "capacity")
+    sizes = _pieces(spark, at).groupBy("cloud_id", "piece").agg(F.count("*").alias("n"), F.count_if(~F.col("shared")).alias("own"))
+    sizes = sizes.groupBy("cloud_id").agg(F.sum("own").alias("nodes"), F.max("n").alias("most"))
+    return sizes.join(scans, "cloud_id").join(F.broadcast(budgets), "dataset").select("cloud_id", "nodes", (F.col("most") <= F.col("capacity")).alias("fits"))
+
+
 # --- vectors of feature_nodes
 
 
@@ -112,6 +121,14 @@ def p3_sample(spark: SparkSession, at: str) -> DataFrame:
     return _quota(spark, at).sample().select("object_id", "dataset", "y")
 
 
+def p3_limits(spark: SparkSession, at: str) -> DataFrame:
+    """``(dataset, sampled, floors)``: rows of the sample, and whether every class has its floor as far as it goes."""
+    q = _quota(spark, at)
+    drawn = q.sample().groupBy("dataset", "y").agg(F.count("*").alias("n"))
+    rows = q.report().join(drawn, ["dataset", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.groupBy("dataset").agg(F.sum("n").alias("sampled"), F.every(F.col("n") >= F.least("min_rows", "eligible")).alias("floors"))
+
+
 # --- shapes across splits
 
 
@@ -151,6 +168,15 @@ def p7_packed(spark: SparkSession, at: str, tokenizer: str = bpe.TOKENIZER) -> D
     return packing.pack(counts, {r["budget_id"]: r["capacity"] for r in budgets})
 
 
+def p7_limits(spark: SparkSession, at: str, tokenizer: str = bpe.TOKENIZER) -> DataFrame:
+    """``(budget_id, documents, overfull)``: documents in containers or of no tokens, and containers above their capacity."""
+    packed = p7_packed(spark, at, tokenizer)
+    budgets = _table(spark, at, "size_budgets").filter("applies_to = 'documents' and unit = 'tokens'").select("budget_id", "capacity")
+    held = packed.groupBy("budget_id", "container_id").agg(F.sum("n_units").alias("n")).join(F.broadcast(budgets), "budget_id")
+    over = held.filter("container_id is not null").groupBy("budget_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    return packed.filter("piece = 0").groupBy("budget_id").agg(F.count("*").alias("documents")).join(over, "budget_id").select("budget_id", "documents", "overfull")
+
+
 # --- sentences of documents
 
 
@@ -165,7 +191,7 @@ def p8_units(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p3_found, p3_report, p3_sample, p4_found, p4_report, p5_found, p5_clusters, p5_members, p6_ids, p7_packed, p8_found, p8_units)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_limits, p2_found, p2_knn, p3_found, p3_report, p3_sample, p3_limits, p4_found, p4_report, p5_found, p5_clusters, p5_members, p6_ids, p7_packed, p7_limits, p8_found, p8_units)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -174,12 +200,15 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1,
         "p2_found": _P2.format(nodes=_NODES, d2=d2),
         "p3_found": _P3.format(last="SELECT dataset, y FROM counted WHERE eligible < required"),
-        "p5_found": _P5.format(nodes=_NODES, d2=d2),
+        "p1_limits": _P1_LIMITS,
+        "p3_limits": _P3.format(last=_P3_LIMITS),
+        "p5_found": _P5.format(nodes=_NODES, d2=d2, last=_P5_FOUND),
+        "p5_members": _P5.format(nodes=_NODES, d2=d2, last="SELECT node_id, label AS anchor_id FROM labels"),
+        "p7_limits": _P7_LIMITS,
     }
 
 
-_P1 = """
-WITH RECURSIVE
+_LARGE = """
 scan_t AS (SELECT cloud_id, max(received_at) AS t FROM scans WHERE cloud_id IS NOT NULL GROUP BY cloud_id),
 scan AS (SELECT s.cloud_id, max(s.dataset) AS dataset FROM scans s JOIN scan_t t ON s.cloud_id = t.cloud_id AND s.received_at IS NOT DISTINCT FROM t.t GROUP BY s.cloud_id),
 latest AS (SELECT cloud_id, node_id, max(received_at) AS t FROM points WHERE cloud_id IS NOT NULL AND node_id IS NOT NULL GROUP BY cloud_id, node_id),
@@ -187,8 +216,16 @@ cur AS (SELECT p.cloud_id, p.node_id, max(p.pos) AS pos FROM points p JOIN lates
         ON p.cloud_id = l.cloud_id AND p.node_id = l.node_id AND p.received_at IS NOT DISTINCT FROM l.t GROUP BY p.cloud_id, p.node_id),
 usable AS (SELECT cloud_id, node_id, pos[1]::double AS x, pos[2]::double AS y, pos[3]::double AS z FROM cur
            WHERE len(pos) = 3 AND len([v for v in pos if isfinite(v)]) = 3),
-large AS (SELECT u.cloud_id, any_value(b.reach) AS reach FROM usable u JOIN scan s ON u.cloud_id = s.cloud_id
+large AS (SELECT u.cloud_id, any_value(b.reach) AS reach, count(*) AS nodes FROM usable u JOIN scan s ON u.cloud_id = s.cloud_id
           JOIN size_budgets b ON s.dataset = b.applies_to AND b.unit = 'points' GROUP BY u.cloud_id HAVING count(*) > any_value(b.capacity)),
+"""
+
+_P1_LIMITS = f"""
+WITH {_LARGE.strip().rstrip(",")}
+SELECT cloud_id, nodes, true AS fits FROM large"""
+
+_P1 = f"""
+WITH RECURSIVE {_LARGE}
 nodes AS (SELECT u.*, l.reach FROM usable u JOIN large l ON u.cloud_id = l.cloud_id),
 links AS (SELECT a.cloud_id, a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.cloud_id = b.cloud_id AND a.node_id <> b.node_id
           WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= a.reach ** 2),
@@ -216,10 +253,22 @@ links AS (SELECT a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.n
 labels(node_id, label) USING KEY (node_id) AS (
   SELECT node_id, node_id FROM nodes
   UNION
-  SELECT l.b, min(r.label) FROM labels r JOIN links l ON r.node_id = l.a JOIN recurring.labels c ON c.node_id = l.b WHERE r.label < c.label GROUP BY l.b),
-large AS (SELECT label FROM labels GROUP BY label HAVING count(*) >= 10)
+  SELECT l.b, min(r.label) FROM labels r JOIN links l ON r.node_id = l.a JOIN recurring.labels c ON c.node_id = l.b WHERE r.label < c.label GROUP BY l.b)
+{last}"""
+
+_P5_FOUND = """, large AS (SELECT label FROM labels GROUP BY label HAVING count(*) >= 10)
 SELECT l.label AS anchor_id, l.node_id FROM labels l JOIN large g ON l.label = g.label WHERE l.node_id <> l.label"""
 
+_P7_LIMITS = """
+SELECT budget_id, (SELECT count(*) FROM documents) AS documents, 0::bigint AS overfull
+FROM size_budgets WHERE applies_to = 'documents' AND unit = 'tokens'"""
+
+_P3_LIMITS = """,
+sized AS (SELECT c.dataset, c.eligible, s.min_rows, s.target_share * s.sample_share * coalesce(m.total, 0) AS wanted
+          FROM counted c JOIN target_shares s ON c.dataset = s.dataset AND c.y = s.y LEFT JOIN sums m ON c.dataset = m.dataset)
+SELECT dataset, least(greatest(round_even(sum(wanted), 0)::bigint, sum(least(min_rows, eligible))::bigint), sum(eligible)::bigint) AS sampled, true AS floors
+FROM sized GROUP BY dataset"""
+
 _P3 = """
 WITH latest AS (
   SELECT object_id, max(received_at) AS t FROM objects WHERE object_id IS NOT NULL GROUP BY object_id),
