@@ -121,6 +121,21 @@ def test_knn_forest_copies_and_a_far_row(spark):
     assert (got == want).all()
 
 
+def test_knn_forest_of_twenty_thousand_equal_vectors_in_many_stretches(spark):
+    r = np.random.default_rng(13)
+    x = np.concatenate([np.full((20_000, 4), 1.5), r.normal(0, 1, (600, 4))])
+    edges = knn_forest.knn_forest(frame(spark, x, 0), "node_id", "pos", 4, 3, leaf=64, rows_per_task=200).toPandas().sort_values(["node", "rank"])
+    got = edges["neighbor"].to_numpy().reshape(-1, 3)
+    assert len(got) == len(x)
+    first = np.array([[j for j in range(4) if j != i][:3] for i in range(20_000)])
+    assert (got[:20_000] == first).all()
+    near = np.concatenate([np.arange(4), np.arange(20_000, 20_600)])
+    d = ((x[20_000:, None] - x[near][None]) ** 2).sum(2)
+    d[np.arange(600), np.arange(600) + 4] = np.inf
+    want = near[np.lexsort((np.broadcast_to(near, d.shape), d), axis=1)[:, :3]]
+    assert (got[20_000:] == want).all()
+
+
 def test_repaired_counts_are_optimal():
     r = np.random.default_rng(5)
     for seed in range(30):
