@@ -67,5 +67,20 @@ def dropped(table: DataFrame) -> None:
     fs.delete(path, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for files that tasks write; deleted by ``removed`` or with the session."""
+    at = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    path, fs = _path(spark, at)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of ``folder``."""
+    path, fs = _path(spark, at)
+    fs.delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stipple.lineage import cut, dropped, ensure_checkpoint_dir, partitions, written
+from stipple.lineage import cut, dropped, ensure_checkpoint_dir, folder, partitions, removed, written
 from stipple.operators.model import current_rows, finite
 
-__all__ = ["current_rows", "cut", "dropped", "ensure_checkpoint_dir", "finite", "partitions", "written"]
+__all__ = ["current_rows", "cut", "dropped", "ensure_checkpoint_dir", "finite", "folder", "partitions", "removed", "written"]

@@ -6,13 +6,15 @@ differences and edge lengths relative to one edge, and on which sides points lie
 symbol. A shape has a few passages for each of its points, so a fifth of missing or added points leaves
 many of them intact. Both conventions for the vertical axis give a text.
 
-Passages are routed to shards by a hash of themselves. Each shard builds one Aho-Corasick automaton over
-its evaluation passages, each different one once, and scans its part of the texts of all training shapes,
-in which passages also stand with the quantities nearest to the border of their bin on the other side.
-Matched intervals are merged into the coverage of each evaluation record by each training record; only
-passages that agree on the turn and the scale between the two count together. Pairs above a small
-coverage are checked exactly: the common passages give poses, those that carry the most points to points
-are refined, and the share of points that fall on each other decides.
+The evaluation passages are written once, in sorted blocks of whole shapes, to the shared folder. Every task
+of training shapes describes its shapes once, in passages that also stand with the quantities nearest to the
+border of their bin on the other side, and looks them up in each block, which it maps and does not load: an
+Aho-Corasick automaton over the heads of all evaluation passages is run over the text of the training
+heads, and passages whose head it finds are searched among the sorted ones. So all that two shapes have in
+common is found in one task, and neither passages nor what they have in common are shuffled. Only passages
+that agree on the turn and the scale between two shapes count together. Pairs above a small coverage are
+checked exactly at once: the common passages give poses, those that carry the most points to points are
+refined, and the share of points that fall on each other decides.
 
 Copies with the very same points are one representative until the end.
 """
@@ -20,22 +22,26 @@ Copies with the very same points are one representative until the end.
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipple.llm.common import cut, partitions, written
+from stipple.llm.common import cut, dropped, folder, partitions, removed, written
 
 BIN = 0.075
 LEAST = 128
 PROBES = 2
 _DELIMITER = "\x01"
-_QUANTITIES = 7
-_WIDTH = _QUANTITIES + 2
+_SYMBOLS = 8
+_HEAD = 4
+_SYMBOL_BITS = 7
 
 
 def tetrahedra(p: np.ndarray) -> np.ndarray:
@@ -44,26 +50,30 @@ def tetrahedra(p: np.ndarray) -> np.ndarray:
     Shapes of few points take more of the farthest points, and more choices of the other two, so that all
     have about ``LEAST`` rows or more.
     """
-    d = np.sqrt(((p[:, :, None] - p[:, None]) ** 2).sum(3))
+    x, y, z = (p[:, :, None, k] - p[:, None, :, k] for k in range(3))
+    d = np.sqrt(x * x + y * y + z * z)
     shapes, n = d.shape[:2]
     depth = max(1, min(3, 40 // n))
     ranks = min(n - 1, -(-LEAST // (n * depth * depth)))
-    far = np.argsort(-d, axis=2, kind="stable")[:, :, :ranks]
     at = np.arange(shapes)[:, None]
     first = np.broadcast_to(np.arange(n), (shapes, n))
 
-    def farthest(v: np.ndarray) -> list[np.ndarray]:
-        if depth == 1:
-            return [v.argmax(2)]
-        return list(np.moveaxis(np.argsort(-v, axis=2, kind="stable")[:, :, :depth], 2, 0))
+    def farthest(v: np.ndarray, most: int) -> list[np.ndarray]:
+        """The places of the ``most`` largest, of equal ones the first."""
+        out = [v.argmax(2)]
+        if most > 1:
+            v = v.copy()
+        for _ in range(most - 1):
+            np.put_along_axis(v, out[-1][..., None], -np.inf, 2)
+            out.append(v.argmax(2))
+        return out
 
     out = []
-    for r in range(ranks):
-        a = far[:, :, r]
+    for a in farthest(d, ranks):
         near = np.minimum(d, d[at, a])
-        for b in farthest(near):
+        for b in farthest(near, depth):
             last = np.minimum(near, d[at, b])
-            out += [np.stack([first, a, b, c], 2) for c in farthest(last)]
+            out += [np.stack([first, a, b, c], 2) for c in farthest(last, depth)]
     return np.concatenate(out, 1)
 
 
@@ -215,12 +225,13 @@ def shared_share(e: np.ndarray, t: np.ndarray, qe: np.ndarray | None = None, qt:
     fits = _fits(e[qe], t[qt])
     # How many points each pose puts near a point, a bounded number of distances at a time.
     close = np.zeros(len(qe), int)
+    whole = np.concatenate([-2.0 * t.T, (t * t).sum(1)[None]])
     step = max(1, 200_000 // (len(e) * len(t)))
     for lo in range(0, len(qe), step):
         scale, turn, a0, b0 = (v[lo : lo + step] for v in fits)
         y = scale[:, None, None] * ((e[None] - a0[:, None]) @ turn.transpose(0, 2, 1)) + b0[:, None]
-        d = (y * y).sum(2)[:, :, None] + (t * t).sum(1) - 2.0 * y @ t.T
-        close[lo : lo + step] = (d.min(2) <= (2.0 * tolerance * extent) ** 2).sum(1)
+        d = (np.concatenate([y, np.ones((*y.shape[:2], 1))], 2) @ whole).min(2) + (y * y).sum(2)
+        close[lo : lo + step] = (d <= (2.0 * tolerance * extent) ** 2).sum(1)
     close[fits[0] <= 0] = 0
     for i in np.argsort(-close, kind="stable"):
         if close[i] < 0.5 * most:
@@ -284,8 +295,163 @@ def _groups(pts: list[np.ndarray], most: int = 200_000) -> Iterator[list[int]]:
             yield own[lo : lo + step]
 
 
+def _keys(symbols: np.ndarray) -> np.ndarray:
+    """A passage's symbols as one number, the first in front."""
+    out = np.zeros(symbols.shape[:-1], np.uint64)
+    for k in range(symbols.shape[-1]):
+        out = out << np.uint64(_SYMBOL_BITS) | symbols[..., k].astype(np.uint64)
+    return out
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """The numbers of the first ``_HEAD`` symbols of sorted passages, each different one once."""
+    return np.unique(keys >> np.uint64((_SYMBOLS - _HEAD) * _SYMBOL_BITS))
+
+
+def _text(heads: np.ndarray) -> np.ndarray:
+    """``(heads, _HEAD + 1)`` characters: a delimiter and the symbols of each head."""
+    shift = np.arange(_HEAD - 1, -1, -1).astype(np.uint64) * np.uint64(_SYMBOL_BITS)
+    symbols = (heads[:, None] >> shift & np.uint64((1 << _SYMBOL_BITS) - 1)).astype(np.uint8)
+    return np.concatenate([np.full((len(heads), 1), ord(_DELIMITER), np.uint8), symbols], 1)
+
+
+def _automaton(heads: np.ndarray) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for w in _text(heads):
+        out.add_word(w.tobytes().decode("ascii"), 1)
+    out.make_automaton()
+    return out
+
+
+def _least(v: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return v.astype(np.min_scalar_type(int(v.max()) if len(v) else 0))
+
+
+def _of_runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``start[0], start[0] + 1, ...`` for ``count[0]`` numbers, then those of the next run."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _described(pts: list[np.ndarray], variants: bool) -> dict[str, np.ndarray]:
+    """Passages of shapes in both conventions: ``key``, ``who`` (2 x shape + convention), ``number``, ``turn``, ``size``; ``tets`` of all, those of ``who`` from ``tets_at[who]`` on."""
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "who", "number", "turn", "size")}
+    tets: list[np.ndarray] = [np.zeros((0, 4), int)] * (2 * len(pts))
+    for own in _groups(pts):
+        p = np.stack([pts[i] for i in own])
+        for up in (0, 1):
+            s, number, q, pose = passages(p if up == 0 else p[:, :, [0, 2, 1]], variants)
+            for i, t in zip(own, q, strict=True):
+                tets[2 * i + up] = t
+            parts["key"].append(_keys(s).ravel())
+            parts["who"].append(np.repeat(np.array(own, np.int32) * 2 + up, s.shape[1]))
+            parts["number"].append(np.tile(number.astype(np.int32), len(own)))
+            parts["turn"].append((pose & 255).astype(np.uint8).ravel())
+            parts["size"].append((pose >> 8).astype(np.int16).ravel())
+    out = {k: np.concatenate(v) for k, v in parts.items()}
+    return out | {"tets": _least(np.concatenate(tets)), "tets_at": np.cumsum([0, *map(len, tets)])}
+
+
+def _filesystem(at: str) -> tuple[files.FileSystem, str]:
+    """The file system and path of a folder as Spark names it (``file:/x`` too)."""
+    return files.FileSystem.from_uri(at[5:] if at.startswith("file:/") and not at.startswith("file://") else at)
+
+
+def _store(at: str, ids: np.ndarray, pts: list[np.ndarray], stored: np.dtype) -> str:
+    """Writes a block of the index and returns its name: arrays that can be mapped, the passages sorted, each different one once with its run of entries."""
+    name, d = uuid.uuid4().hex, _described(pts, False)
+    order = np.argsort(d["key"], kind="stable")
+    key = d.pop("key")[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    d |= {k: _least(d[k][order]) if k == "number" else d[k][order] for k in ("who", "number", "turn", "size")}
+    d |= {"key": key[first], "key_at": np.append(first, len(key)).astype(np.uint32), "heads": _heads(key[first]), "ids": ids}
+    d |= {"pts": np.concatenate(pts).astype(stored), "pts_at": np.cumsum([0, *map(len, pts)])}
+    fs, root = _filesystem(at)
+    fs.create_dir(f"{root}/{name}", recursive=True)
+    for k, v in d.items():
+        with fs.open_output_stream(f"{root}/{name}/{k}.npy") as f:
+            np.lib.format.write_array(f, np.ascontiguousarray(v), allow_pickle=False)
+    return name
+
+
+def _mapped(at: str, name: str, copies: str) -> dict[str, np.ndarray]:
+    """A block of the index as mapped arrays; of a folder that is not local a copy is made in ``copies``."""
+    fs, root = _filesystem(at)
+    if not isinstance(fs, files.LocalFileSystem):
+        files.copy_files(f"{root}/{name}", f"{copies}/{name}", source_filesystem=fs)
+        root = copies
+    names = "who number turn size key key_at heads ids pts pts_at tets tets_at".split()
+    return {k: np.load(f"{root}/{name}/{k}.npy", mmap_mode="r").view(np.ndarray) for k in names}
+
+
+def agreeing(row: np.ndarray, number: np.ndarray, turn: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+    """For each of ``rows`` pairs how many different passages (``number``) agree on the turn and the steps of size between the two."""
+    # Cells of a sixteenth of a turn and an eighth of an octave overlap by half; a passage counts once in a cell.
+    most = np.zeros(rows, np.int64)
+    if not len(row):
+        return most
+    size, number = size - size.min(), number.astype(np.int64)
+    sizes, numbers = int(size.max()) // 2 + 2, int(number.max()) + 1
+    for dt in (0, 8):
+        for ds in (0, 1):
+            cell = (row * 16 + ((turn + dt & 255) >> 4)) * sizes + (size + ds >> 1)
+            cell = np.unique(cell * numbers + number) // numbers
+            new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            np.maximum.at(most, cell[new] // (16 * sizes), np.diff(np.append(new, len(cell))))
+    return most
+
+
+def _common(t: dict[str, np.ndarray], ids: np.ndarray, e: dict[str, np.ndarray], distinct: np.ndarray, back: np.ndarray, least: int, most_votes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pairs of training shapes ``t`` and shapes of the block ``e`` with ``least`` agreeing passages or more.
+
+    ``distinct`` are the different passages of ``t`` and ``back`` the place of each passage in them (-1: not to be
+    found). Each pair is ``(who of e, who of t, numbers in e, numbers in t)``, those of one pair of
+    shapes together, the convention with the most passages first. Whole training shapes at a time.
+    """
+    place = np.searchsorted(e["key"], distinct)
+    found = e["key"][np.minimum(place, len(e["key"]) - 1)] == distinct
+    start = e["key_at"][place].astype(np.int64)
+    count = np.where(found, e["key_at"][np.minimum(place + 1, len(e["key_at"]) - 1)] - start, 0)
+    n = np.where(back >= 0, count[back], 0) if len(count) else np.zeros(len(back), np.int64)
+    hit = np.flatnonzero(n)
+    hit = hit[np.argsort(t["who"][hit] >> 1, kind="stable")]
+    shape, total = t["who"][hit] >> 1, np.cumsum(n[hit])
+    ends = np.flatnonzero(np.append(shape[1:] != shape[:-1], True)) + 1 if len(hit) else np.zeros(0, int)
+    lo = 0
+    while lo < len(hit):
+        # As many shapes as have so many votes, one at least.
+        k = np.searchsorted(total[ends - 1], (total[lo - 1] if lo else 0) + most_votes, side="right") - 1
+        hi = max(int(ends[max(k, 0)]), int(ends[np.searchsorted(ends, lo, side="right")]))
+        own, lo = hit[lo:hi], hi
+        at, who = _of_runs(start[back[own]], n[own]), np.repeat(own, n[own])
+        pair = t["who"][who].astype(np.int64) * (2 * len(e["ids"])) + e["who"][at]
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        many = np.diff(np.append(new, len(pair)))
+        new, many = new[many >= least], many[many >= least]
+        if not len(new):
+            continue
+        te, ee = pair[new] // (2 * len(e["ids"])), pair[new] % (2 * len(e["ids"]))
+        other = ids[te >> 1] != e["ids"][ee >> 1]
+        new, many, te, ee = new[other], many[other], te[other], ee[other]
+        if not len(new):
+            continue
+        votes = order[_of_runs(new, many)]
+        at, who, row = at[votes], who[votes], np.repeat(np.arange(len(new)), many)
+        ke, kt = e["number"][at], t["number"][who]
+        turn, size = t["turn"][who].astype(np.int64) - e["turn"][at] & 255, t["size"][who].astype(np.int64) - e["size"][at]
+        agree = agreeing(row, ke, turn, size, len(new))
+        from_, kept = np.append(0, np.cumsum(many)), np.flatnonzero(agree >= least)
+        ee, te, agree = ee[kept], te[kept], agree[kept]
+        for i in np.lexsort((ee % 2 * 2 + te % 2, -agree, ee >> 1, te >> 1)):
+            own = slice(from_[kept[i]], from_[kept[i] + 1])
+            both = np.unique(ke[own].astype(np.int64) << 32 | kt[own])
+            yield int(ee[i]), int(te[i]), both >> 32, both & 0xFFFFFFFF
+
+
 def near_copies(
-    records: DataFrame, id_col: str, pos_col: str, train_col: str, least_points: int = 8, least_passages: int = 5, share: float = 0.68, passages_per_shard: int = 60_000, texts_per_shard: int = 600_000
+    records: DataFrame, id_col: str, pos_col: str, train_col: str, least_points: int = 8, least_passages: int = 5, share: float = 0.68, shapes_per_block: int = 12_000, shapes_per_file: int = 1_000
 ) -> DataFrame:
     """``(eval_id, train_id)``: every evaluation record with each training record of the same shape.
 
@@ -293,152 +459,100 @@ def near_copies(
     fewer than ``least_points`` different finite points (null, empty and unreadable ones among them) are
     left out. ``least_passages`` is how many passages two records must have in common to be compared,
     ``share`` how much of the larger one must coincide. No partner is dropped: a record with many
-    partners is returned with all. Empty tables give an empty result; other columns are ignored. The number
-    of shards follows from the passages of both sides, so a shard's task holds about as many at any size.
+    partners is returned with all. Empty tables give an empty result; other columns are ignored. A block of
+    the index has about ``shapes_per_block`` evaluation shapes, so that a task can sort it. All is done when
+    this returns but for the last joins of ids.
     """
     spark = records.sparkSession
+    kind = records.schema[pos_col].dataType
+    number = "float" if kind.simpleString() == "array<array<float>>" else "double"
+    stored = np.dtype(np.float32 if number == "float" else np.float64)
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pts = _points(b.column(2))
             ok = [i for i, p in enumerate(pts) if len(p) >= least_points]
             key = [hashlib.blake2b(pts[i].tobytes(), digest_size=16).hexdigest() for i in ok]
-            flat = pa.array([pts[i].ravel() for i in ok], pa.list_(pa.float64()))
+            flat = pa.array([pts[i].ravel().astype(stored) for i in ok], pa.list_(pa.from_numpy_dtype(stored)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok, pa.int64())), b.column(1).take(pa.array(ok, pa.int64())), pa.array(key, pa.string()), flat], names=["id", "train", "key", "pts"])
 
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train_col, F.lit(False)).alias("train"), F.col(pos_col).alias("pos"))
-    rows = cut(rows.mapInArrow(shapes, "id long, train boolean, key string, pts array<double>"))
+    rows = written(rows.mapInArrow(shapes, f"id long, train boolean, key string, pts array<{number}>"))
     named = rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
-    members = cut(rows.join(named, "key").select("id", "train", "rep", "in_train", "in_eval"))
-    reps = cut(rows.join(members.filter("id = rep").select("id", "in_train", "in_eval"), "id").select(F.col("id").alias("rep"), "in_train", "in_eval", "pts"))
-    sides = reps.agg(F.count_if("in_eval"), F.count_if("in_train")).first()
-    # About 2 x 240 passages a shape, four variants of each on the training side.
-    shards = max(partitions(spark), -(-sides[0] * 480 // passages_per_shard), -(-sides[1] * 1920 // texts_per_shard))
-
-    def texts(train: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches, 500):
-                reps_, col = b.column(0).to_numpy(), b.column(1)
-                pts = [v.values.to_numpy().reshape(-1, 3) for v in col]
-                to_, who_, at_, text_, pose_ = [], [], [], [], []
-                for own in _groups(pts):
-                    p = np.stack([pts[i] for i in own])
-                    for up in (0, 1):
-                        s, number, _, pose = passages(p if up == 0 else p[:, :, [0, 2, 1]], train)
-                        m = s.shape[1]
-                        s, who = s.reshape(-1, _WIDTH - 1), np.repeat(np.array(own), m) * 2 + up
-                        to_.append((_hashes(s) % np.uint64(shards)).astype(np.int64))
-                        who_.append(who)
-                        at_.append(np.tile(number, len(own)).astype(np.int32) if not train else np.zeros(len(s), np.int32))
-                        text_.append(s)
-                        pose_.append(pose.ravel())
-                if not to_:
-                    continue
-                to, who, at, text, pose = (np.concatenate(v) for v in (to_, who_, at_, text_, pose_))
-                order = np.argsort(to, kind="stable")
-                to, who, at, text, pose = to[order], who[order], at[order], text[order], pose[order]
-                text = np.concatenate([np.full((len(text), 1), ord(_DELIMITER), np.uint8), text], 1)
-                first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                last = np.append(first[1:], len(to))
-                ends = pa.array(np.append(first, len(to)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (reps_[who // 2] * 2 + who % 2, at, pose.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[first].astype(np.int32)), *lists, pa.array([text[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())], names=["shard", "who", "at", "pose", "text"]
-                )
-
-        return run
-
-    kind = "shard int, who array<long>, at array<int>, pose array<int>, text binary"
-    wanted = reps.filter("in_eval").select("rep", "pts").mapInArrow(texts(False), kind)
-    corpus = reps.filter("in_train").select("rep", "pts").mapInArrow(texts(True), kind)
-
-    shape = pa.schema([("e", pa.int64()), ("t", pa.int64()), ("ups", pa.int32()), ("votes", pa.list_(pa.int64()))])
-
-    def scan(evals: pa.Table, trains: pa.Table) -> pa.Table:
-        if not len(evals) or not len(trains):
-            return shape.empty_table()
-        word = np.frombuffer(b"".join(evals["text"].to_pylist()), f"S{_WIDTH}")
-        owner, number, pose = (evals[c].combine_chunks().flatten().to_numpy() for c in ("who", "at", "pose"))
-        order = np.argsort(word, kind="stable")
-        word, owner, number, pose = word[order], owner[order], number[order], pose[order].astype(np.int64)
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        count = np.diff(np.append(first, len(word)))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, w in enumerate(word[first].tolist()):
-            automaton.add_word(w.decode("ascii"), i)
-        automaton.make_automaton()
-        found: list[np.ndarray] = []
-        for who, turns, text in zip(trains["who"].combine_chunks(), trains["pose"].combine_chunks(), trains["text"].to_pylist(), strict=True):
-            hits = np.array(list(automaton.iter(text.decode("ascii"))), np.int64).reshape(-1, 2)
-            if len(hits):
-                at = hits[:, 0] // _WIDTH
-                n = count[hits[:, 1]]
-                i = np.repeat(first[hits[:, 1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                t, own = np.repeat(who.values.to_numpy()[at], n), np.repeat(turns.values.to_numpy()[at].astype(np.int64), n)
-                # A vote: the passage, the turn from one record to the other, and the steps of size between them.
-                vote = number[i].astype(np.int64) << 32 | ((own - pose[i]) & 255) << 16 | ((own >> 8) - (pose[i] >> 8)) + (1 << 15)
-                found.append(np.stack([owner[i], t, vote])[:, owner[i] // 2 != t // 2])
-        if not found:
-            return shape.empty_table()
-        e, t, vote = np.concatenate(found, 1)
-        order = np.lexsort((vote, t, e))
-        e, t, vote = e[order], t[order], vote[order]
-        new = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (t[1:] != t[:-1]))) if len(e) else np.zeros(0, int)
-        votes = pa.ListArray.from_arrays(pa.array(np.append(new, len(e)).astype(np.int32)), pa.array(vote))
-        return pa.table([pa.array(e[new] // 2), pa.array(t[new] // 2), pa.array((e[new] % 2 * 2 + t[new] % 2).astype(np.int32)), votes], schema=shape)
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            votes = b.column("votes")
-            row = np.repeat(np.arange(b.num_rows), votes.value_lengths().to_numpy())
-            vote = votes.flatten().to_numpy()
-            turn, size, number = (vote >> 16) & 255, vote & 0xFFFF, vote >> 32
-            # Cells of a sixteenth of a turn and an eighth of an octave overlap by half; a passage counts once in a cell.
-            most = np.zeros(b.num_rows, np.int64)
-            for dt in (0, 8):
-                for ds in (0, 1):
-                    key = np.unique(np.stack([row, ((turn + dt) & 255) >> 4, (size + ds) >> 1, number]), axis=1)
-                    new = np.flatnonzero(np.append(True, (key[:3, 1:] != key[:3, :-1]).any(0))) if key.shape[1] else np.zeros(0, int)
-                    np.maximum.at(most, key[0][new], np.diff(np.append(new, key.shape[1])))
-            keep = np.flatnonzero(most >= least_passages)
-            yield b.select(["e", "t", "ups"]).take(pa.array(keep)).append_column("n", pa.array(most[keep]))
-
-    hits = wanted.groupBy("shard").cogroup(corpus.groupBy("shard")).applyInArrow(scan, "e long, t long, ups int, votes array<long>")
-    covered = hits.groupBy("e", "t", "ups").agg(F.flatten(F.collect_list("votes")).alias("votes")).filter(F.size("votes") >= least_passages)
-    covered = covered.mapInArrow(agree, "e long, t long, ups int, n long")
-    # The convention with the most common passages first; the others are tried where it fails.
-    best = covered.groupBy("e", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "ups"))), lambda v: v["ups"]).alias("ups"))
-    best = written(best)
-    pairs = best.join(reps.select(F.col("rep").alias("e"), F.col("pts").alias("pe")), "e").join(reps.select(F.col("rep").alias("t"), F.col("pts").alias("pt")), "t")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    members = cut(rows.select("id", "train", "key").join(named, "key").select("id", "train", "rep", "in_train", "in_eval"))
+    owners = members.filter("id = rep").select("id", "in_train", "in_eval")
+    sides = owners.agg(F.count_if("in_eval"), F.count("*")).first()
+    parts = max(partitions(spark), -(-sides[1] // shapes_per_file))
+    reps = written(rows.select("id", "pts").repartition(parts, "id").join(owners.repartition(parts, "id"), "id").select(F.col("id").alias("rep"), "in_train", "in_eval", "pts"))
+    dropped(rows)
+    at = folder(spark)
+
+    def points(col: pa.Array) -> list[np.ndarray]:
+        return [v.values.to_numpy().reshape(-1, 3).astype(np.float64) for v in col]
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, pts = [], []
+
+        def block() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([_store(at, np.concatenate(ids), pts, stored)])], names=["name"])
+            ids.clear()
+            pts.clear()
+            return out
+
         for b in _slices(batches, 1000):
-            ups = b.column("ups").to_pylist()
-            pts = [[v.values.to_numpy().reshape(-1, 3) for v in b.column(c)] for c in ("pe", "pt")]
-            # Each shape of the batch is described once in each convention that is asked for.
-            known: list[dict[tuple[int, int], tuple]] = [{}, {}]
-            for side, c in enumerate(("e", "t")):
-                names = b.column(c).to_pylist()
-                wanted = {(n, (u // 2, u % 2)[side]): i for i, n in enumerate(names) for u in ups[i]}
-                rows, keys = list(wanted.values()), list(wanted)
-                for own in _groups([pts[side][i] for i in rows]):
-                    p = np.stack([_turned(pts[side][rows[j]], keys[j][1]) for j in own])
-                    known[side].update(zip((keys[j] for j in own), described(p, side == 1), strict=True))
-            todo, place = [], []
-            for k, (e, t) in enumerate(zip(b.column("e").to_pylist(), b.column("t").to_pylist(), strict=True)):
-                pe, pt = pts[0][k], pts[1][k]
-                if min(len(pe), len(pt)) >= share * max(len(pe), len(pt)):
-                    for u in ups[k]:
-                        todo.append((_turned(pe, u // 2), _turned(pt, u % 2), *tetrahedra_in_common(known[0][e, u // 2], known[1][t, u % 2])))
-                        place.append(k)
-            keep = []
-            for k, (pe, pt, qe, qt), good in zip(place, todo, carried(todo), strict=True):
-                if len(good) and not (keep and keep[-1] == k) and shared_share(pe, pt, qe[good], qt[good]) >= share:
-                    keep.append(k)
-            yield b.select(["e", "t"]).take(pa.array(keep, pa.int64()))
-
-    # The join leaves the pairs of a training shape together, so most are described once.
-    same = pairs.select("e", "t", "ups", "pe", "pt").mapInArrow(verify, "e long, t long")
+            ids.append(b.column(0).to_numpy())
+            pts.extend(points(b.column(1)))
+            if len(pts) >= shapes_per_block:
+                yield block()
+        if pts:
+            yield block()
+
+    blocks = max(4, -(-sides[0] // shapes_per_block))
+    names = [r["name"] for r in reps.filter("in_eval").select("rep", "pts").repartition(blocks).mapInArrow(store, "name string").collect()]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as copies:
+            index = [_mapped(at, name, copies) for name in names]
+            automaton = _automaton(np.unique(np.concatenate([e["heads"] for e in index]))) if index else None
+            for b in _slices(batches, 500):
+                if index:
+                    yield from compare(b, index, automaton)
+
+    def compare(b: pa.RecordBatch, index: list[dict[str, np.ndarray]], automaton: ahocorasick.Automaton) -> Iterator[pa.RecordBatch]:
+        ids, pts = b.column(0).to_numpy(), points(b.column(1))
+        t = _described(pts, True)
+        distinct, back = np.unique(t.pop("key"), return_inverse=True)
+        heads = _heads(distinct)
+        known = np.zeros(len(heads), bool)
+        known[[end // (_HEAD + 1) for end, _ in automaton.iter(_text(heads).tobytes().decode("ascii"))]] = True
+        known = known[np.searchsorted(heads, distinct >> np.uint64((_SYMBOLS - _HEAD) * _SYMBOL_BITS))]
+        distinct, back = distinct[known], np.where(known, np.cumsum(known) - 1, -1)[back]
+        for e in index:
+            todo = []
+            for pair in _common(t, ids, e, distinct, back, least_passages):
+                if len(todo) >= 1000 and (pair[0] >> 1, pair[1] >> 1) != (todo[-1][0] >> 1, todo[-1][1] >> 1):
+                    yield verified(e, t, ids, pts, todo)
+                    todo = []
+                todo.append(pair)
+            yield verified(e, t, ids, pts, todo)
+
+    def verified(e: dict[str, np.ndarray], t: dict[str, np.ndarray], ids: np.ndarray, pts: list[np.ndarray], todo: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        place, poses = [], []
+        for we, wt, ke, kt in todo:
+            pe, pt = e["pts"][e["pts_at"][we >> 1] : e["pts_at"][(we >> 1) + 1]], pts[wt >> 1]
+            if min(len(pe), len(pt)) >= share * max(len(pe), len(pt)):
+                qe, qt = (v["tets"][v["tets_at"][who] + k] for v, who, k in ((e, we, ke), (t, wt, kt)))
+                poses.append((_turned(pe.astype(np.float64), we & 1), _turned(pt, wt & 1), qe, qt))
+                place.append((we >> 1, wt >> 1))
+        keep: list[tuple[int, int]] = []
+        for k, (pe, pt, qe, qt), good in zip(place, poses, carried(poses), strict=True):
+            if len(good) and not (keep and keep[-1] == k) and shared_share(pe, pt, qe[good], qt[good]) >= share:
+                keep.append(k)
+        return pa.RecordBatch.from_arrays([pa.array([v[k[i]] for k in keep], pa.int64()) for i, v in enumerate((e["ids"], ids))], names=["e", "t"])
+
+    same = written(reps.filter("in_train").select("rep", "pts").mapInArrow(search, "e long, t long"))
+    removed(spark, at)
+    dropped(reps)
     same = same.unionByName(members.filter("in_train and in_eval and id = rep").select(F.col("rep").alias("e"), F.col("rep").alias("t")))
     left = members.filter("not train").select(F.col("rep").alias("e"), F.col("id").alias("eval_id"))
     right = members.filter("train").select(F.col("rep").alias("t"), F.col("id").alias("train_id"))

@@ -212,6 +212,24 @@ def test_near_copies(spark):
     assert overlap.near_copies(df.filter("false"), "object_id", "pos", "train").count() == 0
 
 
+def test_near_copies_shuffle_shapes_and_not_their_passages(spark):
+    r = np.random.default_rng(16)
+    base = [r.uniform(-1, 1, (60, 3)) for _ in range(120)]
+    rows = [(i, True, p) for i, p in enumerate(base)] + [(200 + i, False, moved(p, i, noise=0.005)) for i, p in enumerate(base)]
+    df = spark.createDataFrame([(i, t, [[float(v) for v in x] for x in p]) for i, t, p in rows], "object_id long, train boolean, pos array<array<double>>")
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    # Blocks and files of a few shapes: pairs of shapes lie in different ones.
+    got = sorted(tuple(x) for x in overlap.near_copies(df, "object_id", "pos", "train", shapes_per_block=20, shapes_per_file=30).collect())
+    assert got == [(200 + i, i) for i in range(120)]
+    assert shuffled() - before < 4 * len(rows) * 60 * 3 * 8
+
+
 def test_near_copies_at_the_limits_of_noise_and_missing_points():
     for n, least in ((12, 0.9), (20, 0.9), (48, 0.9)):
         met = 0
