@@ -363,7 +363,9 @@ def _store(at: str, ids: np.ndarray, pts: list[np.ndarray], stored: np.dtype) ->
     order = np.argsort(d["key"], kind="stable")
     key = d.pop("key")[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    d |= {k: _least(d[k][order]) if k == "number" else d[k][order] for k in ("who", "number", "turn", "size")}
+    d |= {k: _least(d[k][order]) if k in ("who", "number") else d[k][order] for k in ("who", "number", "turn", "size")}
+    if len(key) and -128 <= d["size"].min() and d["size"].max() <= 127:
+        d["size"] = d["size"].astype(np.int8)
     d |= {"key": key[first], "key_at": np.append(first, len(key)).astype(np.uint32), "heads": _heads(key[first]), "ids": ids}
     d |= {"pts": np.concatenate(pts).astype(stored), "pts_at": np.cumsum([0, *map(len, pts)])}
     fs, root = _filesystem(at)
